@@ -32,11 +32,12 @@ def menu_rank(split: Column) -> Column:
 
 def normalize_label(label: Column) -> Column:
     """Class name of a number or text label; other text stays, blank becomes NULL."""
-    text = F.lower(F.trim(label.cast("string")))
+    trimmed = F.regexp_replace(label.cast("string"), r"^\s+|\s+$", "")
+    text = F.lower(trimmed)
     return (
         F.when(text.isin(*S.POSITIVE_SPELLINGS), S.POSITIVE_CLASS)
         .when(text.isin(*S.NEGATIVE_SPELLINGS), S.NEGATIVE_CLASS)
-        .when(text.isin("", "nan"), F.lit(None).cast("string"))
+        .when(trimmed.isin("", "NaN"), F.lit(None).cast("string"))  # NaN: a missing number
         .otherwise(text)
     )
 
@@ -85,7 +86,7 @@ def score_and_decide(raw: Column, raw_threshold: Column, kind: str) -> dict[str,
 
 def file_extension(filename: Column) -> Column:
     """Last suffix in lower case with its dot; '' when there is none."""
-    return F.lower(F.regexp_extract(filename, r"[^./](\.[^./]+)$", 1))
+    return F.lower(F.regexp_extract(filename, r"(?s)^.+(\.[^./]+)$", 1))
 
 
 def geometry(width: Column, height: Column) -> dict[str, Column]:
