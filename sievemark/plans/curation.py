@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
-from sievemark.operators import analysis, dedup, metadata, ranking, splits
+from sievemark.operators import analysis, dedup, metadata, predictions, splits
 from sievemark.operators.quantiles import exact_quantile
 from sievemark.plans import given
 from sievemark.plans.registry import query
@@ -408,12 +408,10 @@ UNION ALL SELECT 'split_label_conflict_records_dropped', CAST(conflicts AS VARCH
 UNION ALL SELECT 'split_size_' || assigned_split, CAST(count(*) AS VARCHAR) FROM assigned GROUP BY assigned_split
 """)
 def run_parameters(spark, folder):
-    from sievemark.operators.predictions import run_parameters as parameters
-
     pooled, assigned = given.pooled_docs(spark, folder), assigned_docs(spark, folder)
     fractions = splits.resolve_fractions(pooled)
     report = splits.split_report(pooled, assigned, "drop", *fractions, S.DEFAULT_SEED, True)
-    return parameters(report).where("key <> 'split_fingerprint'")
+    return predictions.run_parameters(report).where("key <> 'split_fingerprint'")
 
 
 @query("augment_union", sql="""

@@ -1 +1,199 @@
-"""Queries."""
+"""Queries: moments, training, tuning and attribution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievemark import schemas as S
+
+from sievemark.operators import attribution, checks, metrics, models, splits
+from sievemark.operators.dedup import pool_splits
+from sievemark.plans import given
+from sievemark.plans.registry import query
+from sievemark.session import materialize, scratch_path
+from sievemark.sources import sinks
+
+SAMPLES = "WITH " + given.SAMPLES_SQL
+
+MOMENTS_SQL = """
+cells AS (SELECT vec_id, split, label, generate_subscripts(vec, 1) - 1 AS feature, unnest(vec) AS x FROM samples),
+moments AS (SELECT feature, avg(x) AS mean, stddev_pop(x) AS scale FROM cells WHERE split = 'train' GROUP BY feature)
+"""
+
+
+def training_samples(spark, folder):
+    """Vectors under their deduplicated split."""
+    rows = materialize(given.samples(spark, folder, indexed=True), "samples")
+    manifest = splits.build_splits(pool_splits(rows.select("split", "split_index", "label", "content_hash")))
+    lookup = manifest.select(
+        F.col("source_split").alias("split"), F.col("source_index").alias("split_index"), "assigned_split"
+    )
+    return materialize(rows.join(lookup, ["split", "split_index"]), "training")
+
+
+@query("feature_moments", sql=SAMPLES + "," + MOMENTS_SQL + """
+SELECT feature, round(mean, 9) AS mean, round(scale, 9) AS scale FROM moments
+""")
+def feature_moments(spark, folder):
+    train = given.samples(spark, folder).where("split = 'train'")
+    return models.moment_rows(models.feature_moments(train)).select(
+        F.col("feature").cast("long").alias("feature"), F.round("mean", 9).alias("mean"), F.round("scale", 9).alias("scale")
+    )
+
+
+@query("background_mean", sql=SAMPLES + """,
+background AS (SELECT vec FROM samples WHERE split = 'train' ORDER BY sha256('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 100)
+SELECT feature, round(avg(x), 9) AS mean
+FROM (SELECT generate_subscripts(vec, 1) - 1 AS feature, unnest(vec) AS x FROM background) c GROUP BY feature
+""")
+def background_mean(spark, folder):
+    train = given.samples(spark, folder).where("split = 'train'")
+    sample = splits.seeded_sample(train, S.BACKGROUND_SIZE, "vec_id")
+    return models.moment_rows(models.feature_moments(sample)).select(
+        F.col("feature").cast("long").alias("feature"), F.round("mean", 9).alias("mean")
+    )
+
+
+# A linear model fitted in closed form, so that SQL can follow it: standardised
+# class means, b = (m1 - m0) / scale.
+CENTROID_SQL = SAMPLES + "," + MOMENTS_SQL + """,
+class_means AS (
+  SELECT feature, avg(x) FILTER (WHERE label = 1) AS m1, avg(x) FILTER (WHERE label = 0) AS m0
+  FROM cells WHERE split = 'train' GROUP BY feature
+),
+model AS (SELECT feature, mean, scale, (m1 - m0) / scale AS beta FROM moments JOIN class_means USING (feature)),
+intercept AS (SELECT -sum(beta * ((m1 - mean) + (m0 - mean)) / (2 * scale)) AS b FROM model JOIN class_means USING (feature)),
+phis AS (SELECT vec_id, feature, x, beta * (x - mean) / scale AS phi FROM cells JOIN model USING (feature)),
+margins AS (SELECT vec_id, sum(phi) + (SELECT b FROM intercept) AS margin FROM phis GROUP BY vec_id)
+"""
+
+
+def centroid_model(spark, folder) -> models.LogisticModel:
+    train = given.samples(spark, folder).where("split = 'train'")
+    scaler = models.Standardizer.fit(train)
+    m1, m0 = (models.feature_moments(train.where(F.col("label") == c)).first()["mean"] for c in (1, 0))
+    beta = tuple((a - b) / s for a, b, s in zip(m1, m0, scaler.scale))
+    middle = ((a - m) + (b - m) for a, b, m in zip(m1, m0, scaler.mean))
+    intercept = -sum(w * c / (2 * s) for w, c, s in zip(beta, middle, scaler.scale))
+    return models.LogisticModel(scaler, beta, intercept)
+
+
+def explained(spark, folder):
+    rows = given.samples(spark, folder)
+    return attribution.explain_linear(rows, centroid_model(spark, folder))
+
+
+@query("linear_attribution", sql=CENTROID_SQL + """
+SELECT vec_id, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS probability,
+       round((SELECT b FROM intercept), 6) AS base, true AS additive FROM margins
+""")
+def linear_attribution(spark, folder):
+    return explained(spark, folder).select(
+        "vec_id", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability"),
+        F.round("base", 6).alias("base"), (F.abs("residual") < 1e-8).alias("additive"),
+    )
+
+
+@query("attribution_pixels", sql=CENTROID_SQL + """
+SELECT vec_id, CAST(feature // 8 AS INTEGER) AS "row", CAST(feature % 8 AS INTEGER) AS "column",
+       round(x, 6) AS intensity, round(phi, 6) AS attribution FROM phis
+""")
+def attribution_pixels(spark, folder):
+    return attribution.attribution_pixels(explained(spark, folder), given.WIDTH, "vec_id").withColumns(
+        {c: F.round(c, 6) for c in ("intensity", "attribution")}
+    )
+
+
+@query("attribution_scale", sql=CENTROID_SQL + """
+SELECT vec_id, round(CASE WHEN max(abs(phi)) = 0 THEN 1 ELSE max(abs(phi)) END, 6) AS scale FROM phis GROUP BY vec_id
+""")
+def attribution_scale(spark, folder):
+    return attribution.attribution_scale(explained(spark, folder)).select("vec_id", F.round("scale", 6).alias("scale"))
+
+
+@query("attribution_summary", sql=CENTROID_SQL + """
+SELECT vec_id, split, label, 'logistic' AS model, round(1 / (1 + exp(-margin)), 6) AS positive_probability,
+       0.5::DOUBLE AS decision_threshold, CAST(margin >= 0 AS INTEGER) AS prediction,
+       CASE WHEN margin >= 0 THEN 'pneumonia' ELSE 'normal' END AS predicted_label
+FROM margins JOIN samples USING (vec_id)
+""")
+def attribution_summary(spark, folder):
+    rows = explained(spark, folder).withColumns({"record_id": F.col("vec_id"), "split_index": F.col("vec_id")})
+    out = attribution.attribution_summary(rows, F.lit(0.5), "logistic")
+    return out.drop("split_index").withColumnRenamed("record_id", "vec_id").withColumn(
+        "positive_probability", F.round("positive_probability", 6)
+    )
+
+
+@query("sink_pixel_long", sql=CENTROID_SQL + """
+SELECT CAST(feature // 8 AS INTEGER) AS "row", count(*) AS n, round(sum(phi), 6) AS total FROM phis GROUP BY 1
+""")
+def sink_pixel_long(spark, folder):
+    path = scratch_path(spark, "pixels")
+    sinks.sink_pixel_long(attribution.attribution_pixels(explained(spark, folder), given.WIDTH, "vec_id"), path)
+    read = spark.read.schema("vec_id bigint, row int, column int, intensity double, attribution double")
+    return read.option("header", True).csv(path).groupBy("row").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("attribution"), 6).alias("total")
+    )
+
+
+@query("check_additivity", sql=CENTROID_SQL + "SELECT vec_id FROM margins WHERE margin IS NULL")
+def check_additivity(spark, folder):
+    return checks.check_additivity(explained(spark, folder)).select("vec_id")
+
+
+# --- Fitted with MLlib: checked by invariants in the tests -----------------------
+
+@query("fit_logistic")
+def fit_logistic(spark, folder):
+    rows = training_samples(spark, folder)
+    model = models.fit_logistic(rows.where("assigned_split = 'train'"), C=0.1)
+    return models.evaluate(rows, model)
+
+
+@query("fit_margin")
+def fit_margin(spark, folder):
+    rows = training_samples(spark, folder)
+    model = models.fit_margin(rows.where("assigned_split = 'train'"))
+    return models.evaluate(rows, model)
+
+
+@query("fit_boosted")
+def fit_boosted(spark, folder):
+    rows = training_samples(spark, folder)
+    model = models.fit_boosted(rows.where("assigned_split = 'train'"), n_estimators=10, max_depth=3)
+    return models.evaluate(rows, model)
+
+
+@query("tune_and_fit")
+def tune_and_fit(spark, folder):
+    rows = training_samples(spark, folder)
+    tuning = models.tune_and_fit(rows, "logistic")
+    return models.evaluate(rows, tuning.model).withColumn("tuning_roc_auc", F.lit(tuning.score))
+
+
+@query("search_results")
+def search_results(spark, folder):
+    tuning = models.tune_and_fit(training_samples(spark, folder), "logistic", use_cv=True, n_iter=3)
+    return models.search_results(spark, tuning).drop("mean_fit_time")
+
+
+@query("tree_attribution")
+def tree_attribution(spark, folder):
+    rows = training_samples(spark, folder)
+    model = models.fit_boosted(rows.where("assigned_split = 'train'"), n_estimators=10, max_depth=3)
+    out = attribution.explain_trees(rows, model, scratch_path(spark, "trees"), key="vec_id")
+    return out.select("vec_id", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability"),
+                      (F.abs("residual") < 1e-8).alias("additive"))
+
+
+@query("sink_model_metrics")
+def sink_model_metrics(spark, folder):
+    rows = training_samples(spark, folder)
+    model = models.fit_logistic(rows.where("assigned_split = 'train'"), C=0.1)
+    scored = model.score(rows.where("assigned_split = 'test'"))
+    path = scratch_path(spark, "metrics")
+    result = models.evaluate(rows, model)
+    matrix = metrics.confusion_matrix(scored, result.select("threshold"))
+    sinks.sink_model_metrics(result, matrix.withColumn("model", F.lit(model.name)), path)
+    return spark.read.parquet(f"{path}/confusion")

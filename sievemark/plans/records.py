@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sievemark import schemas as S
 from sievemark.functions import identity, labels, vectors
-from sievemark.operators import checks
+from sievemark.operators import checks, dedup
 from sievemark.operators.catalog import field_value_rows, json_fields
+from sievemark.operators.metadata import INLINE_PEERS
+from sievemark.operators.ranking import index_rank
 from sievemark.plans import given
 from sievemark.plans.registry import query
 from sievemark.session import scratch_path
@@ -51,8 +53,10 @@ SELECT 0 AS failed_with_content, count(*) AS pages, CAST(sum(length(html)) AS BI
 """)
 def scan_bounded(spark, folder):
     found = files.scan_bounded(spark, _page_files(spark, folder))
-    page = F.from_json(F.explode(F.split(F.decode("content", "UTF-8"), "\n")), "page_id bigint, html string")
-    read = found.where("read_error is null and filename like '%.json'").select(page.alias("p")).where("p.page_id is not null")
+    lines = found.where("read_error is null and filename like '%.json'").select(
+        F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")
+    )
+    read = lines.where("line <> ''").select(F.from_json("line", "page_id bigint, html string").alias("p"))
     failed = found.where("read_error is not null").agg(
         F.count("content").cast("int").alias("failed_with_content")
     ).withColumn("_one", F.lit(1))
@@ -83,9 +87,7 @@ SELECT source_split, source_index, label, content_hash, pool_rank FROM pooled
 def pool_splits(spark, folder):
     d = given.docs(spark, folder).select("split", "split_index", "label", "content_hash")
     parts = [d.where(F.col("split") == s) for s in S.MODEL_SPLITS]
-    from sievemark.operators.dedup import pool_splits as pool
-
-    return pool(*parts).select("source_split", "source_index", "label", "content_hash", "pool_rank")
+    return dedup.pool_splits(*parts).select("source_split", "source_index", "label", "content_hash", "pool_rank")
 
 
 @query("lookup_sample", sql=SAMPLES + """
@@ -117,8 +119,6 @@ SELECT record_id, split, CAST(split_index AS VARCHAR) AS split_index, CAST(label
 FROM metadata
 """)
 def sink_ordered_csv(spark, folder):
-    from sievemark.operators.ranking import index_rank
-
     table, csv = scratch_path(spark, "metadata"), scratch_path(spark, "csv")
     rows = given.metadata(spark, folder).select("record_id", "split", "split_index", "label", "content_hash")
     sinks.sink_metadata_table(rows, table)
@@ -348,8 +348,6 @@ def check_row_schema(spark, folder):
 
 @query("check_peer_ids", sql=METADATA + "SELECT record_id, duplicate_count, '' AS problem FROM qc WHERE duplicate_count < 1")
 def check_peer_ids(spark, folder):
-    from sievemark.operators.metadata import INLINE_PEERS
-
     return checks.check_peer_ids(given.qc_metadata(spark, folder), INLINE_PEERS)
 
 
