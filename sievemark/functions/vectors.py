@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,4 +41,5 @@ def standardize(vec: Column, mean: Column, scale: Column) -> Column:
 
 
 def literal_vector(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant array; one folded literal however many numbers there are."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")

@@ -24,8 +24,7 @@ def linear_terms(vec: Column, mean: Column, scale: Column, coef: Column, interce
     """
     z = standardize(vec, mean, scale)
     phi = F.zip_with(F.zip_with(z, reference, lambda a, b: a - b), coef, lambda d, c: d * c)
-    margin = dot(z, coef) + intercept
-    return {"phi": phi, "base": dot(reference, coef) + intercept, "margin": margin, "probability": sigmoid(margin)}
+    return {"phi": phi, "base": dot(reference, coef) + intercept}
 
 
 def background_mean(background: DataFrame, model: LogisticModel) -> list[float]:
@@ -45,7 +44,11 @@ def explain_linear(rows: DataFrame, model: LogisticModel, background: DataFrame
         F.col("vec"), literal_vector(scaler.mean), literal_vector(scaler.scale),
         literal_vector(model.coefficients), F.lit(model.intercept), literal_vector(reference),
     )
-    return with_residual(rows.select("*", *[c.alias(n) for n, c in terms.items()]))
+    # The margin comes from the scoring path, so the residual compares the two.
+    margin = rows.withColumn("margin", model.margin(F.col("vec")))
+    return with_residual(margin.select(
+        *rows.columns, *[c.alias(n) for n, c in terms.items()], "margin", sigmoid(F.col("margin")).alias("probability")
+    ))
 
 
 def with_residual(explained: DataFrame) -> DataFrame:

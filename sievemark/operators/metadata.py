@@ -126,7 +126,11 @@ def add_qc_fields(
     inline_peers: int = INLINE_PEERS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The five QC columns.  They inform; no record is removed."""
+    """The five QC columns.  They inform; no record is removed.
+
+    Pass a written metadata table: several passes read it, and its columns
+    are cheap there, while a fresh ``extract_metadata`` reads the vectors.
+    """
     threshold = exact_quantile(metadata, "std_value", low_variance_quantile)
     flagged = add_duplicate_flags(metadata, hot_rows=hot_rows).withColumn(
         "low_variance_flag", F.col("std_value") <= F.lit(threshold)

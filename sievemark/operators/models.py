@@ -11,6 +11,7 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -99,7 +100,11 @@ class LogisticModel:
     kind: str = "probability"
 
     def margin(self, vec: Column) -> Column:
-        return dot(self.standardizer.apply(vec), literal_vector(self.coefficients)) + F.lit(self.intercept)
+        # Standardising is folded into the weights: one product and sum per row.
+        scale = [s or 1.0 for s in self.standardizer.scale]
+        weights = [c / s for c, s in zip(self.coefficients, scale)]
+        shift = sum(w * m for w, m in zip(weights, self.standardizer.mean))
+        return dot(vec, literal_vector(weights)) + F.lit(self.intercept - shift)
 
     def raw_score(self, vec: Column) -> Column:
         return sigmoid(self.margin(vec))
@@ -124,7 +129,7 @@ class MarginModel:
     kind: str = "margin"
 
     def features(self, vec: Column) -> Column:
-        return fourier_features(self.standardizer.apply(vec), self.frequencies, self.phases)
+        return fourier_features(self.frequencies, self.phases)(self.standardizer.apply(vec))
 
     def raw_score(self, vec: Column) -> Column:
         return dot(self.features(vec), literal_vector(self.coefficients)) + F.lit(self.intercept)
@@ -154,14 +159,22 @@ class BoostedModel:
         return self.fitted.toDebugString
 
 
-def fourier_features(z: Column, frequencies, phases) -> Column:
-    """sqrt(2/D) cos(w z + b) per random frequency (Rahimi and Recht, 2007)."""
-    waves = F.array(*[
-        F.struct(literal_vector(w).alias("w"), F.lit(float(b)).alias("b"))
-        for w, b in zip(frequencies, phases)
-    ])
-    gain = math.sqrt(2.0 / len(phases))
-    return F.transform(waves, lambda wave: F.lit(gain) * F.cos(dot(z, wave["w"]) + wave["b"]))
+def fourier_features(frequencies, phases) -> Callable[[Column], Column]:
+    """sqrt(2/D) cos(w z + b) per random frequency (Rahimi and Recht, 2007).
+
+    One matrix product per Arrow batch; as an array expression this would be
+    features x frequencies interpreted steps per row.
+    """
+    w, b = np.asarray(frequencies, dtype=float), np.asarray(phases, dtype=float)
+    gain = math.sqrt(2.0 / len(b))
+
+    @F.pandas_udf("array<double>")
+    def features(z: pd.Series) -> pd.Series:
+        if z.empty:
+            return pd.Series([], dtype=object)
+        return pd.Series(list(gain * np.cos(np.stack(z.to_numpy()) @ w.T + b)))
+
+    return features
 
 
 def model_version(model, threshold: float) -> str:
@@ -200,7 +213,7 @@ def fit_margin(train: DataFrame, *, C: float = 1.0, gamma: float | str = "scale"
     z = scaler.apply(F.col("vec"))
     rows = _weighted(train, class_weight).select(
         F.col("label").cast("double").alias("label"), "weight",
-        array_to_vector(fourier_features(z, frequencies, phases)).alias("features"),
+        array_to_vector(fourier_features(frequencies, phases)(z)).alias("features"),
     )
     n = n or train.count()
     fitted = LinearSVC(maxIter=100, regParam=1.0 / (C * n), standardization=False, weightCol="weight").fit(rows)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemark.session import materialize
+
 DIRECT_ROWS = 1_000_000
 BINS = 1024
 
@@ -33,6 +35,9 @@ def exact_quantile(df: DataFrame, column: str, q: float, *, direct_rows: int = D
         return None
     position = q * (total - 1)
     below = 0
+    whole = distinct <= direct_rows
+    if not whole:
+        values = materialize(values, "values")  # passes read two numbers per distinct value
     while distinct > direct_rows and low < high:
         width = (high - low) / BINS
         inside = values.where(F.col("v").between(low, high))
@@ -57,7 +62,7 @@ def exact_quantile(df: DataFrame, column: str, q: float, *, direct_rows: int = D
         if narrowed >= distinct:
             break
         below, distinct, low, high = first_below, narrowed, first["lo"], last["hi"]
-    rest = values.where(F.col("v").between(low, high))
+    rest = values if whole else values.where(F.col("v").between(low, high))
     upto = F.sum("n").over(Window.orderBy("v")) + below
     ordered = rest.select("v", upto.alias("upto"))
     ends = ordered.agg(

@@ -33,14 +33,14 @@ groups AS (
 SELECT round(quantile_cont(std_value, 0.01), 9) AS threshold FROM metadata
 """)
 def low_variance_threshold(spark, folder):
-    rows = given.metadata(spark, folder)
+    rows = given.stored_metadata(spark, folder)
     value = exact_quantile(rows, "std_value", S.LOW_VARIANCE_QUANTILE)
     return rows.agg(F.round(F.max(F.lit(value)), 9).alias("threshold"))
 
 
 @query("low_variance_rows", sql=METADATA + "SELECT record_id, round(std_value, 6) AS std_value FROM qc WHERE low_variance_flag")
 def low_variance_rows(spark, folder):
-    return metadata.low_variance_rows(given.metadata(spark, folder)).select(
+    return metadata.low_variance_rows(given.stored_metadata(spark, folder)).select(
         "record_id", F.round("std_value", 6).alias("std_value")
     )
 
@@ -50,7 +50,7 @@ SELECT record_id, split, split_index, label, round(mean_value, 6) AS mean_value,
 FROM qc WHERE low_variance_flag ORDER BY qc.std_value, record_id LIMIT 5
 """)
 def lowest_variance_sample(spark, folder):
-    flagged = metadata.low_variance_rows(given.metadata(spark, folder))
+    flagged = metadata.low_variance_rows(given.stored_metadata(spark, folder))
     return metadata.lowest_variance_sample(flagged).withColumns(
         {c: F.round(c, 6) for c in ("mean_value", "std_value")}
     )

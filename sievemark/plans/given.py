@@ -73,8 +73,13 @@ def metadata(spark: SparkSession, folder: str) -> DataFrame:
     return extract_metadata(samples(spark, folder, indexed=True), WIDTH, HEIGHT, NAMESPACE)
 
 
+def stored_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata as a written table: the vectors are read once, QC runs on narrow rows."""
+    return materialize(metadata(spark, folder), "metadata")
+
+
 def qc_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    return add_qc_fields(metadata(spark, folder))
+    return add_qc_fields(stored_metadata(spark, folder))
 
 
 METADATA_SQL = SAMPLES_SQL + f""",

@@ -343,7 +343,7 @@ def check_missing_nonfinite(spark, folder):
 
 @query("check_row_schema", sql=METADATA + "SELECT record_id, '' AS broken_rules FROM metadata WHERE std_value < 0")
 def check_row_schema(spark, folder):
-    return checks.check_row_schema(given.metadata(spark, folder))
+    return checks.check_row_schema(given.stored_metadata(spark, folder))
 
 
 @query("check_peer_ids", sql=METADATA + "SELECT record_id, duplicate_count, '' AS problem FROM qc WHERE duplicate_count < 1")
