@@ -29,9 +29,9 @@ def linear_terms(vec: Column, mean: Column, scale: Column, coef: Column, interce
 
 def background_mean(background: DataFrame, model: LogisticModel) -> list[float]:
     """Mean standardised vector of a background sample (one vector of numbers)."""
-    raw = feature_moments(background).first()["mean"]
-    if raw is None:
+    if background.isEmpty():
         raise ValueError("background is empty")
+    raw = feature_moments(background).first()["mean"]
     scaler = model.standardizer
     return [(m - c) / (s or 1.0) for m, c, s in zip(raw, scaler.mean, scaler.scale)]
 

@@ -82,6 +82,8 @@ class Standardizer:
 
     @classmethod
     def fit(cls, train: DataFrame) -> "Standardizer":
+        if train.isEmpty():
+            raise ValueError("no rows to fit on")
         row = feature_moments(train).first()
         return cls(tuple(row["mean"]), tuple(row["scale"]))
 

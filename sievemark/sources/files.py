@@ -24,7 +24,10 @@ def scan_file_tree(spark: SparkSession, directory: str) -> DataFrame:
     """
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-        .withColumn("filename", F.element_at(F.split("path", "/"), -1))
+        .withColumns({
+            "filename": F.element_at(F.split("path", "/"), -1),
+            "file_key": F.col("_metadata.file_path"),  # spelled the same by every file source
+        })
     )
 
 
@@ -36,10 +39,10 @@ def scan_bounded(spark: SparkSession, directory: str, limit: int = S.MAX_FILE_BY
     """
     files = scan_file_tree(spark, directory)
     small = files.where(F.col("length") <= limit).select(
-        "path", "filename", "length", "content", F.lit(None).cast("string").alias("read_error")
+        "path", "filename", "file_key", "length", "content", F.lit(None).cast("string").alias("read_error")
     )
     large = files.where(F.col("length") > limit).select(
-        "path", "filename", "length", F.lit(None).cast("binary").alias("content"),
+        "path", "filename", "file_key", "length", F.lit(None).cast("binary").alias("content"),
         F.lit("File exceeds 25 MiB").alias("read_error"),
     )
     return small.unionByName(large)
@@ -65,7 +68,7 @@ def scan_decoded_images(spark: SparkSession, directory: str) -> DataFrame:
     ok = F.col("image.width") > 0
     channels = F.col("image.nChannels")
     return decoded.select(
-        F.col("image.origin").alias("path"),
+        F.col("image.origin").alias("path"), F.col("_metadata.file_path").alias("file_key"),
         F.when(ok, F.col("image.width").cast("long")).alias("width"),
         F.when(ok, F.col("image.height").cast("long")).alias("height"),
         F.when(ok, F.when(channels == 1, "L").when(channels == 3, "RGB").otherwise("RGBA")).alias("color_mode"),
@@ -97,7 +100,7 @@ def file_batch(spark: SparkSession, directory: str, feature_count: int = 784) ->
         .when(too_large, "Image exceeds 25 million pixels")
         .when(fmt.isNull(), "Unsupported decoded format")
     )
-    joined = files.join(images, "path", "left")
+    joined = files.join(images.drop("path"), "file_key", "left")
     good = readable & problem.isNull()
     return joined.select(
         "path", "filename",

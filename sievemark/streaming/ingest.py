@@ -31,19 +31,24 @@ class CatalogStore:
         changes = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
         return changes if before is None else changes.where(F.col("change") < before)
 
-    def _latest(self, table: str, schema: T.StructType, key: str, before: int | None) -> DataFrame:
+    def _latest(self, table: str, schema: T.StructType, key: str, before: int | None,
+                only: DataFrame | None = None) -> DataFrame:
         rest = [c for c in schema.fieldNames() if c != key]
+        changes = self._changes(table, schema, before)
+        if only is not None:  # before the aggregate: a batch looks up its own keys, not the whole state
+            changes = changes.join(only.select(key).distinct(), key, "left_semi")
         return (
-            self._changes(table, schema, before).groupBy(key)
+            changes.groupBy(key)
             .agg(F.max_by(F.struct(*rest), "change").alias("r")).select(key, "r.*")
             .select(*schema.fieldNames())
         )
 
-    def content(self, before: int | None = None) -> DataFrame:
-        return self._latest("content", S.CONTENT, "content_id", before)
+    def content(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """Latest content rows, as of before a change, for the digests of ``only`` if given."""
+        return self._latest("content", S.CONTENT, "content_id", before, only)
 
-    def sources(self, before: int | None = None) -> DataFrame:
-        return self._latest("sources", S.SOURCES, "path", before)
+    def sources(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        return self._latest("sources", S.SOURCES, "path", before, only)
 
     def _write(self, table: str, rows: DataFrame, change: int) -> DataFrame:
         path = f"{self.root}/{table}/change={change}"
@@ -54,13 +59,11 @@ class CatalogStore:
         """Merge one batch.  State is read as of before ``change``, so a replay gives the same result."""
         batch = batch.persist()
         try:
-            touched = batch.select("content_id").distinct()
-            old_content = self.content(change).join(touched, "content_id", "left_semi")
+            old_content = self.content(change, only=batch)
             new_content = self._write(
                 "content", merge_content(old_content, batch, scorer=scorer, retry_failed=retry_failed), change
             )
-            paths = batch.select("path").distinct()
-            old_sources = self.sources(change).join(paths, "path", "left_semi")
+            old_sources = self.sources(change, only=batch)
             self._write("sources", merge_sources(old_sources, batch, new_content), change)
         finally:
             batch.unpersist()
