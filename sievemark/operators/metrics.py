@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievemark import schemas as S
 from sievemark.functions.labels import outcome_cell, split_rank
 from sievemark.operators.ranking import running_totals
+from sievemark.session import materialize
 
 
 def score_steps(scored: DataFrame, group: Sequence[str], truth: str, score: str) -> DataFrame:
@@ -23,6 +24,7 @@ def score_steps(scored: DataFrame, group: Sequence[str], truth: str, score: str)
 def auc_of_steps(steps: DataFrame, group: Sequence[str], bounds: Sequence[float] | None = None) -> DataFrame:
     """Mann-Whitney AUC with average ranks for ties; NULL when a class is absent
     or a score is missing."""
+    steps = materialize(steps, "steps")  # the scored rows are read once
     known = steps.where(F.col("score").isNotNull() & ~F.isnan("score"))
     before = running_totals(known, group, "score", ["negatives"], bounds=bounds)
     ordered_pairs = F.col("positives").cast("double") * (
@@ -52,14 +54,14 @@ def auc_rank(scored: DataFrame, group: Sequence[str] = (), truth: str = "label",
 def average_rank(scored: DataFrame, score: str = "score") -> DataFrame:
     """Every distinct score with the average rank its rows share."""
     counts = scored.groupBy(F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("ties"))
-    return running_totals(counts, [], "score", ["ties"]).select(
+    return running_totals(materialize(counts, "steps"), [], "score", ["ties"]).select(
         "score", "ties", (F.col("ties_before") + (F.col("ties") + 1) / 2).alias("average_rank")
     )
 
 
 def roc_points(scored: DataFrame, truth: str = "label", score: str = "score") -> DataFrame:
     """One point per distinct score, classifying ``score >= threshold`` as positive."""
-    steps = score_steps(scored, [], truth, score).where(F.col("score").isNotNull())
+    steps = materialize(score_steps(scored, [], truth, score).where(F.col("score").isNotNull()), "steps")
     before = running_totals(steps, [], "score", ["positives", "negatives"], descending=True)
     totals = F.broadcast(  # one row
         steps.agg(F.sum("positives").alias("_pos"), F.sum("negatives").alias("_neg")).withColumn("_one", F.lit(1))
@@ -184,9 +186,9 @@ def split_metrics(rows: DataFrame) -> DataFrame:
         F.count_if(~truth & predicted).alias("fp"),
         F.count_if(truth & ~predicted).alias("fn"),
     )
-    steps = steps.withColumn("positives", F.col("tp") + F.col("fn")).withColumn(
-        "negatives", F.col("tn") + F.col("fp")
-    )
+    steps = materialize(steps.withColumns({
+        "positives": F.col("tp") + F.col("fn"), "negatives": F.col("tn") + F.col("fp"),
+    }), "steps")
     sums = ["tp", "tn", "fp", "fn", "positives", "negatives"]
     overall = steps.groupBy("score").agg(*[F.sum(c).alias(c) for c in sums])
     groups = steps.withColumnRenamed("split", "group").unionByName(
@@ -194,7 +196,7 @@ def split_metrics(rows: DataFrame) -> DataFrame:
     )
     cells = groups.groupBy("group").agg(*[F.sum(c).alias(c) for c in ["tp", "tn", "fp", "fn"]])
     n_splits = F.broadcast(  # one row
-        rows.groupBy("split").count().agg(F.count(F.lit(1)).alias("_splits")).withColumn("_one", F.lit(1))
+        steps.select("split").distinct().agg(F.count(F.lit(1)).alias("_splits")).withColumn("_one", F.lit(1))
     )
     return (
         cells.join(auc_of_steps(groups, ["group"]), "group")

@@ -10,63 +10,48 @@ from pyspark.sql import functions as F
 from sievemark.session import materialize
 
 DIRECT_ROWS = 1_000_000
-BINS = 1024
+RANK_ERROR = 1e-4
 
 
-def exact_quantile(df: DataFrame, column: str, q: float, *, direct_rows: int = DIRECT_ROWS) -> float | None:
+def exact_quantile(
+    df: DataFrame, column: str, q: float, *, direct_rows: int = DIRECT_ROWS, rank_error: float = RANK_ERROR
+) -> float | None:
     """Linear-interpolated quantile, the same value pandas and SQL give.
 
-    Each pass counts the values per bin of the interval that still contains
-    the wanted positions (at most ``BINS`` counts reach the driver) and keeps
-    the bin that holds them, until few enough distinct values are left to
-    order directly.
+    Above ``direct_rows`` distinct values a sketch first brackets the wanted
+    positions; rows outside the bracket are only counted, and the bracket
+    (about ``6 * rank_error`` of the rows) is narrowed again until its distinct
+    values can be ordered in one place.  Equal values are one row throughout.
     """
     if not 0 <= q <= 1:
         raise ValueError("q must be in [0, 1]")
-    # Equal values are counted together first, so a hot value is one row.
-    values = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    span = values.agg(F.sum("n"), F.count("n"), F.min("v"), F.max("v")).first()
-    total, distinct, low, high = span
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    total = values.count()
     if not total:
         return None
     position = q * (total - 1)
-    below = 0
-    whole = distinct <= direct_rows
-    if not whole:
-        values = materialize(values, "values")  # passes read two numbers per distinct value
-    while distinct > direct_rows and low < high:
-        width = (high - low) / BINS
-        inside = values.where(F.col("v").between(low, high))
-        bin_no = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1))
-        bins = (
-            inside.groupBy(bin_no.alias("bin"))
-            .agg(F.sum("n").alias("rows"), F.count("n").alias("d"),
-                 F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("bin").collect()
-        )
-        first = last = None
-        seen = below
-        for b in bins:
-            if first is None and seen + b["rows"] > math.floor(position):
-                first, first_below = b, seen
-            seen += b["rows"]
-            if seen > math.ceil(position):
-                last = b
+    first, last = math.floor(position), math.ceil(position)
+    below, inside = 0, total
+    if total > direct_rows:
+        while True:
+            # Position relative to the rows that are left.
+            target = (position - below) / inside
+            asked = [max(0.0, target - 2 * rank_error), min(1.0, target + 2 * rank_error)]
+            low, high = values.approxQuantile("v", asked, rank_error)
+            counted = values.agg(
+                F.count_if(F.col("v") < low).alias("less"), F.count_if(F.col("v").between(low, high)).alias("n")
+            ).first()
+            holds = below + counted["less"] <= first and last < below + counted["less"] + counted["n"]
+            if not holds or counted["n"] >= inside:
                 break
-        picked = [b for b in bins if first["bin"] <= b["bin"] <= last["bin"]]
-        narrowed = sum(b["d"] for b in picked)
-        if narrowed >= distinct:
-            break
-        below, distinct, low, high = first_below, narrowed, first["lo"], last["hi"]
-    rest = values if whole else values.where(F.col("v").between(low, high))
-    upto = F.sum("n").over(Window.orderBy("v")) + below
-    ordered = rest.select("v", upto.alias("upto"))
+            below, inside = below + counted["less"], counted["n"]
+            values = materialize(values.where(F.col("v").between(low, high)), "bracket")
+            if inside <= direct_rows or low == high:
+                break
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ordered = counts.select("v", (F.sum("n").over(Window.orderBy("v")) + below).alias("upto"))
     ends = ordered.agg(
-        F.min(F.when(F.col("upto") > math.floor(position), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > math.ceil(position), F.col("v"))).alias("b"),
+        F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > last, F.col("v"))).alias("b"),
     ).first()
-    return ends["a"] + (ends["b"] - ends["a"]) * (position - math.floor(position))
+    return ends["a"] + (ends["b"] - ends["a"]) * (position - first)

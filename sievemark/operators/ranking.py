@@ -17,6 +17,8 @@ from sievemark.session import materialize
 
 HASH_PREFIX = 4            # 65,536 buckets of a hex digest
 INDEX_CHUNK = 1_000_000    # consecutive indexes per bucket
+BUCKET_ROWS = 1_000_000    # rows one task orders in a running total
+MAX_BUCKETS = 10_000
 
 
 def bucketed_row_number(
@@ -77,8 +79,14 @@ def range_row_number(
     return bucketed_row_number(ranged, [], F.col("_bucket"), order, name)
 
 
-def quantile_bounds(df: DataFrame, column: str, buckets: int = 256) -> list[float]:
-    """Bucket boundaries (at most ``buckets`` numbers) that spread ``column`` evenly."""
+def quantile_bounds(df: DataFrame, column: str, rows_per_bucket: int = BUCKET_ROWS) -> list[float]:
+    """Boundaries that cut ``column`` into even buckets of about ``rows_per_bucket`` rows.
+
+    At most ``MAX_BUCKETS`` numbers reach the driver; small inputs need none.
+    """
+    buckets = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
+    if buckets < 2:
+        return []
     probabilities = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(column, probabilities, 1.0 / (4 * buckets))))
 

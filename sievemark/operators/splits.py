@@ -10,6 +10,7 @@ from sievemark.functions.identity import seeded_order
 from sievemark.functions.labels import split_rank
 from sievemark.operators.dedup import dedup_report, deduplicate
 from sievemark.operators.ranking import hash_rank, index_rank
+from sievemark.session import materialize
 
 # Lanes of 15 hex digits (60 bits) of a SHA-256 that the fingerprint adds up.
 FINGERPRINT_LANES = (1, 16, 31, 46)
@@ -217,8 +218,9 @@ def build_splits(
     """Deduplicate pooled records, then assign splits."""
     if not deduplicate_records:
         return official_split(pooled)
-    kept = deduplicate(pooled, policy)
     val_fraction, test_fraction = resolve_fractions(pooled, preserve, val_fraction, test_fraction)
+    # Quotas, ranks and the assignment all read the retained records: shuffle the pool once.
+    kept = materialize(deduplicate(pooled, policy), "kept")
     return stratified_split(kept, val_fraction, test_fraction, seed)
 
 

@@ -63,17 +63,16 @@ docs_ids AS (SELECT doc_id, split, split_index, {given.uuid_sql('split', 'split_
 
 
 @query("resolve_ids", sql=DOC_IDS + """
-SELECT doc_id, record_id, CAST(rn - 1 AS INTEGER) AS ordinal FROM (
-  SELECT doc_id, record_id, row_number() OVER (ORDER BY first_seen) AS rn
-  FROM (SELECT record_id, min(item_id) AS first_seen FROM benchmark b JOIN docs_ids d ON d.doc_id = b.item_id * 3 GROUP BY record_id) f
-  JOIN docs_ids USING (record_id)) x
+SELECT doc_id, record_id, first_seen AS ordinal FROM docs_ids JOIN (
+  SELECT record_id, min(item_id) AS first_seen FROM benchmark b JOIN docs_ids d ON d.doc_id = b.item_id * 3 GROUP BY record_id) f
+USING (record_id)
 """)
 def resolve_ids(spark, folder):
     """Request one record per benchmark item, in item order, by its id."""
     rows = given.docs(spark, folder)
     items = given.table(spark, folder, "benchmark").select((F.col("item_id") * 3).alias("doc_id"), "item_id")
-    ids = rows.join(items, "doc_id").orderBy("item_id").select("record_id").collect()  # the request itself
-    found, _ = catalog.resolve_ids(rows, ",".join(r["record_id"] for r in ids))
+    request = rows.join(items, "doc_id").groupBy("record_id").agg(F.min("item_id").alias("ordinal"))
+    found, _ = catalog.select_ids(rows, request, "record_id")
     return found.select("doc_id", "record_id", "ordinal")
 
 

@@ -11,7 +11,7 @@ from sievemark.operators import metrics, models, predictions
 from sievemark.plans import given
 from sievemark.plans.curation import ASSIGNED_SQL, assigned_docs
 from sievemark.plans.registry import query
-from sievemark.session import scratch_path
+from sievemark.session import materialize, scratch_path
 from sievemark.sources import sinks, tables
 
 SCORED = "WITH " + given.SCORED_SQL
@@ -184,9 +184,9 @@ def candidate_scores(spark, folder) -> DataFrame:
         F.struct(F.lit("logistic").alias("model"), F.round(sigmoid(n / F.lit(1000.0) - 2.0), 9).alias("prediction_score")),
         F.struct(F.lit("svm").alias("model"), F.round(n % 1000 / F.lit(500.0) - 1.0, 9).alias("prediction_score")),
     )
-    return joined.join(lengths, predictions.KEYS).select(
+    return materialize(joined.join(lengths, predictions.KEYS).select(
         "record_id", F.col("assigned_split").alias("split"), "source_split", "source_index", "label", F.inline(both)
-    )
+    ), "scores")
 
 
 def candidate_models(scores: DataFrame) -> DataFrame:
@@ -313,8 +313,8 @@ def scan_model_metrics(spark, folder):
 COMPARISON_SQL = CANDIDATES_SQL + ", grouped AS (SELECT model AS grp, label, round(prediction_score, 9) AS score FROM long WHERE split = 'val'), " + AUC_SQL
 
 
-def comparison(spark, folder) -> DataFrame:
-    val = candidate_scores(spark, folder).where("split = 'val'")
+def comparison(scores: DataFrame) -> DataFrame:
+    val = scores.where("split = 'val'")
     aucs = metrics.auc_rank(val, ["model"], score="prediction_score").select(
         "model", F.round("auc", 9).alias("validation_roc_auc")
     )
@@ -326,7 +326,7 @@ SELECT CAST(row_number() OVER (ORDER BY round(auc, 9) DESC, grp) AS INTEGER) AS
        round(auc, 9) AS validation_roc_auc, row_number() OVER (ORDER BY round(auc, 9) DESC, grp) = 1 AS selected FROM aucs
 """)
 def model_rank(spark, folder):
-    return comparison(spark, folder)
+    return comparison(candidate_scores(spark, folder))
 
 
 @query("select_best", sql=COMPARISON_SQL + """
@@ -337,7 +337,7 @@ FROM aucs JOIN models ON model = grp ORDER BY round(auc, 9) DESC, grp LIMIT 1
 def select_best(spark, folder):
     scores = candidate_scores(spark, folder)
     known = candidate_models(scores).select("model", "threshold", F.col("model_file").alias("model_path"))
-    ranked = comparison(spark, folder).join(F.broadcast(known), "model")
+    ranked = comparison(scores).join(F.broadcast(known), "model")
     return predictions.selection_manifest(ranked).drop("selection_rule")
 
 

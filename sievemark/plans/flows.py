@@ -56,7 +56,9 @@ def build_split_table(samples: DataFrame, folder: str, *, policy: str = "drop",
     """Deduplicate, split, check and store manifest and report; returns the manifest."""
     pooled = dedup.pool_splits(samples.select("split", "split_index", "label", "content_hash"))
     fractions = splits.resolve_fractions(pooled, preserve, val_fraction, test_fraction)
-    assigned = splits.stratified_split(dedup.deduplicate(pooled, policy), *fractions, seed)
+    assigned = splits.build_splits(
+        pooled, policy=policy, preserve=False, val_fraction=fractions[0], test_fraction=fractions[1], seed=seed
+    )
     splits.split_manifest(assigned).write.mode("overwrite").parquet(f"{folder}/manifest")
     manifest = samples.sparkSession.read.parquet(f"{folder}/manifest")
     checks.require(splits.repeated_hashes(manifest), "duplicates survived deduplication")

@@ -1,5 +1,6 @@
 """The skew- and size-proof helpers against brute force, with their limits made tiny."""
 
+import itertools
 import random
 
 import numpy as np
@@ -69,7 +70,7 @@ def test_exact_quantile(spark, q, direct_rows):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(0, 1, 700), np.full(400, 0.25), rng.exponential(50, 50)])
     df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(4)
-    assert exact_quantile(df, "x", q, direct_rows=direct_rows) == pytest.approx(np.quantile(values, q), abs=1e-12)
+    assert exact_quantile(df, "x", q, direct_rows=direct_rows, rank_error=0.01) == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
 def test_exact_quantile_of_nothing(spark):
@@ -80,8 +81,10 @@ def test_running_totals(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": ["a"] * 300 + ["b"] * 5, "s": rng.permutation(305).astype(float), "n": rng.integers(0, 9, 305)})
     df = spark.createDataFrame(pdf)
-    for descending in (False, True):
-        out = ranking.running_totals(df, ["g"], "s", ["n"], descending=descending).toPandas()
+    bounds = ranking.quantile_bounds(df, "s", rows_per_bucket=20)
+    assert len(bounds) >= 10 and ranking.quantile_bounds(df, "s") == []
+    for descending, cuts in itertools.product((False, True), (None, bounds)):
+        out = ranking.running_totals(df, ["g"], "s", ["n"], descending=descending, bounds=cuts).toPandas()
         expected = pdf.sort_values("s", ascending=not descending)
         expected["n_before"] = expected.groupby("g")["n"].cumsum() - expected["n"]
         merged = out.merge(expected, on=["g", "s"], suffixes=("", "_want"))
@@ -107,7 +110,10 @@ def test_auc_with_ties_one_class_and_missing(spark):
     y, s = rng.integers(0, 2, 400), rng.integers(0, 40, 400).astype(float)
     rows = [("a", int(a), float(b)) for a, b in zip(y, s)] + [("one", 1, 0.5), ("one", 1, 0.7), ("gap", 1, None), ("gap", 0, 0.1)]
     df = spark.createDataFrame(rows, "g string, label int, score double")
+    steps = metrics.score_steps(df, ["g"], "label", "score")
+    bucketed = {r["g"]: r["auc"] for r in metrics.auc_of_steps(steps, ["g"], bounds=[3.0, 11.0, 30.0]).collect()}
     got = {r["g"]: r["auc"] for r in metrics.auc_rank(df, ["g"]).collect()}
+    assert bucketed == pytest.approx(got)
     assert got["a"] == pytest.approx(brute_auc(y, s), abs=1e-12)
     assert got["one"] is None and got["gap"] is None
 
