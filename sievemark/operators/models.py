@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
@@ -307,15 +307,19 @@ def tune_and_fit(
     return Tuning(fit(train, **best), best, results[0]["mean_test_score"], method, results)
 
 
+def rank_candidates(candidates: DataFrame) -> DataFrame:
+    """Tuning candidates (a handful of rows) ranked by mean score; equal scores share a rank."""
+    by_score = Window.orderBy(F.col("mean_test_score").desc())
+    return candidates.select(F.rank().over(by_score).alias("rank_test_score"), "*")
+
+
 def search_results(spark, tuning: Tuning) -> DataFrame:
-    """Settings ranked by mean score; equal scores share a rank."""
-    rows = []
-    for r in tuning.results:
-        rank = 1 + sum(o["mean_test_score"] > r["mean_test_score"] for o in tuning.results)
-        rows.append((rank, r["mean_test_score"], r["std_test_score"], r["mean_fit_time"], r["setting"]))
-    return spark.createDataFrame(
-        rows, "rank_test_score int, mean_test_score double, std_test_score double, mean_fit_time double, setting string"
-    )
+    """Every sampled setting with its rank, score and fit time."""
+    columns = ["mean_test_score", "std_test_score", "mean_fit_time", "setting"]
+    rows = [tuple(r[c] for c in columns) for r in tuning.results]
+    return rank_candidates(spark.createDataFrame(
+        rows, "mean_test_score double, std_test_score double, mean_fit_time double, setting string"
+    )).orderBy("rank_test_score", "setting")
 
 
 def evaluate(samples: DataFrame, model) -> DataFrame:

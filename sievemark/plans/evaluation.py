@@ -346,3 +346,14 @@ SELECT label, count(*) AS n, round((SELECT count(*) FROM docs) * 1.0 / (2 * coun
 """)
 def class_weights(spark, folder):
     return models.class_weights(given.docs(spark, folder)).withColumn("weight", F.round("weight", 9))
+
+
+@query("search_rank", sql="""
+SELECT CAST(rank() OVER (ORDER BY mean_test_score DESC) AS INTEGER) AS rank_test_score, source, mean_test_score
+FROM (SELECT source, round(avg(CAST(quality AS DOUBLE)), 3) AS mean_test_score FROM documents JOIN labels USING (doc_id) GROUP BY source) s
+""")
+def search_rank(spark, folder):
+    """Sources of documents stand for settings: a few candidates, some with equal scores."""
+    rows = given.table(spark, folder, "documents").join(given.table(spark, folder, "labels"), "doc_id")
+    scores = rows.groupBy("source").agg(F.round(F.avg(F.col("quality").cast("double")), 3).alias("mean_test_score"))
+    return models.rank_candidates(scores)

@@ -125,6 +125,20 @@ def attribution_summary(spark, folder):
     )
 
 
+@query("sink_summary", sql=CENTROID_SQL + """
+SELECT CAST(vec_id AS VARCHAR) AS record_id, CAST(margin >= 0 AS INTEGER) AS prediction,
+       CASE WHEN margin >= 0 THEN 'pneumonia' ELSE 'normal' END AS predicted_label, 'logistic' AS model
+FROM margins
+""")
+def sink_summary(spark, folder):
+    path = scratch_path(spark, "summary")
+    rows = explained(spark, folder).withColumns({"record_id": F.col("vec_id"), "split_index": F.col("vec_id")})
+    sinks.write_csv(attribution.attribution_summary(rows, F.lit(0.5), "logistic"), path)
+    return spark.read.option("header", True).csv(path).select(
+        "record_id", F.col("prediction").cast("int").alias("prediction"), "predicted_label", "model"
+    )
+
+
 @query("sink_pixel_long", sql=CENTROID_SQL + """
 SELECT CAST(feature // 8 AS INTEGER) AS "row", count(*) AS n, round(sum(phi), 6) AS total FROM phis GROUP BY 1
 """)

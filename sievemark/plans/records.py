@@ -66,6 +66,18 @@ def scan_bounded(spark, folder):
     return failed.join(totals, "_one").drop("_one")
 
 
+@query("scan_decoded_images", sql="""
+SELECT DISTINCT CAST(page_id % 10 AS INTEGER) AS part, true AS without_size, 'cannot identify image file' AS decode_error FROM pages
+""")
+def scan_decoded_images(spark, folder):
+    """Files that are no images stay in the result as failed rows."""
+    found = files.scan_decoded_images(spark, _page_files(spark, folder))
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int")
+    return found.select(
+        part.alias("part"), (F.col("width").isNull() & F.col("height").isNull()).alias("without_size"), "decode_error"
+    ).distinct()
+
+
 @query("scan_labeled_samples", sql=SAMPLES + """
 SELECT split, split_index, CAST(label AS BIGINT) AS label, len(vec) AS features, round(list_aggregate(vec, 'sum'), 6) AS total
 FROM indexed WHERE split = 'val'

@@ -135,3 +135,46 @@ def test_plan_has_no_single_partition_sort_of_rows(spark):
     assert "SinglePartition" not in plan
     counts = folds.groupBy("label", "fold").count().collect()
     assert len(counts) == 6 and max(c["count"] for c in counts) - min(c["count"] for c in counts) <= 1
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_what_is_used(spark):
+    from conftest import SMALL
+    from sievemark.operators import analysis
+    from sievemark.plans import given
+
+    plan = plan_of(analysis.class_balance(given.docs(spark, SMALL)))
+    assert "text:string" not in plan and "n_chars" not in plan
+
+
+def test_split_and_length_filters_reach_the_scan(spark, tmp_path):
+    from sievemark.session import scratch_path
+    from sievemark.sources import files, tables
+
+    path = scratch_path(spark, "samples")
+    rows = spark.createDataFrame([("train", 0, 1, [1.0]), ("val", 0, 0, [2.0])],
+                                 "split string, split_index bigint, label bigint, vec array<double>")
+    rows.write.partitionBy("split").parquet(path)
+    assert "PartitionFilters: [isnotnull(split" in plan_of(tables.scan_labeled_samples(spark, path, "val"))
+    (tmp_path / "a.bin").write_bytes(b"x")
+    plan = plan_of(files.scan_bounded(spark, str(tmp_path)))
+    assert "GreaterThan(length,26214400)" in plan and "LessThanOrEqual(length,26214400)" in plan
+
+
+def test_groups_combine_before_the_shuffle(spark):
+    """A hot hash leaves each task as one row: partial aggregate below the exchange."""
+    from sievemark.operators import dedup
+
+    rows = dedup.pool_splits(skewed(spark).withColumn("split_index", F.monotonically_increasing_id()))
+    plan = plan_of(dedup.dedup_groups(rows))
+    assert plan.index("Exchange") < plan.index("partial_min") and "Window" not in plan
+
+
+def test_required_tables(spark):
+    from sievemark.operators import checks
+
+    spark.range(1).createOrReplaceTempView("present_view")
+    assert checks.check_tables_exist(spark, ["present_view", "absent_view"]) == ["absent_view"]
