@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,22 +30,31 @@ BATCH_COLUMNS = [
 
 @dataclass(frozen=True)
 class Scorer:
-    """A model as the catalog sees it: raw score expression, threshold, kind, version."""
+    """A model as the catalog sees it: raw score, threshold, kind and version.
 
-    raw_score: Callable[[Column], Column]
+    ``raw_score`` is an expression over the features; a model that scores
+    whole tables gives ``add_raw`` instead, which adds a ``_raw`` column.
+    """
+
+    raw_score: Callable[[Column], Column] | None
     raw_threshold: float
     kind: str
     version: str
+    add_raw: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
         if self.kind == "probability" and not 0 <= self.raw_threshold <= 1:
             raise ValueError("decision threshold must be a probability in [0, 1]")
-        if self.raw_threshold != self.raw_threshold or abs(self.raw_threshold) == float("inf"):
+        if not math.isfinite(self.raw_threshold):
             raise ValueError("decision threshold must be finite")
 
-    def columns(self, features: Column) -> dict[str, Column]:
-        """Prediction columns; ``valid`` is false where the score is unusable."""
-        raw = self.raw_score(features)
+    def with_raw(self, content: DataFrame) -> DataFrame:
+        if self.add_raw is not None:
+            return self.add_raw(content)
+        return content.withColumn("_raw", self.raw_score(F.col("features")))
+
+    def columns(self, raw: Column) -> dict[str, Column]:
+        """Prediction columns of a raw score; ``valid`` is false where it is unusable."""
         out = score_and_decide(raw, F.lit(self.raw_threshold), self.kind)
         score = out["positive_score"]
         valid = F.coalesce(is_finite(score) & score.between(0.0, 1.0), F.lit(False))
@@ -166,8 +176,8 @@ def merge_content(
 
 def apply_scores(content: DataFrame, scorer: Scorer, due: Column, now: Column) -> DataFrame:
     """Score the ``due`` rows; an unusable score marks that row alone as model_error."""
-    marked = content.withColumn("_due", F.coalesce(due, F.lit(False)))
-    p = scorer.columns(F.col("features"))
+    marked = scorer.with_raw(content.withColumn("_due", F.coalesce(due, F.lit(False))))
+    p = scorer.columns(F.col("_raw"))
     ok = F.col("_due") & p["valid"]
     changed = {
         "processing_status": F.when(ok, "complete").otherwise("model_error"),

@@ -157,6 +157,14 @@ class BoostedModel:
         scored = self.fitted.transform(rows.withColumn("_features", array_to_vector(F.col("vec"))))
         return scored.select(*keep, vector_to_array("probability")[1].alias("score"))
 
+    def add_raw(self, content: DataFrame) -> DataFrame:
+        """Catalog rows with the probability of their features, NULL where they do not fit the model."""
+        size = self.fitted.numFeatures
+        fits = F.col("features").isNotNull() & (F.size("features") == size)
+        filled = F.when(fits, F.col("features")).otherwise(F.array_repeat(F.lit(0.0), size))
+        out = self.fitted.transform(content.withColumn("_features", array_to_vector(filled)))
+        return out.select(*content.columns, F.when(fits, vector_to_array("probability")[1]).alias("_raw"))
+
     def describe(self) -> str:
         return self.fitted.toDebugString
 

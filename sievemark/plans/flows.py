@@ -164,10 +164,33 @@ def explain(rows: DataFrame, model, threshold: float, folder: str, width: int, *
 
 
 def catalog_scorer(model, threshold: float) -> Scorer:
-    """A trained model for ingest; tree ensembles score through ``model.score`` instead."""
-    if not hasattr(model, "raw_score"):
-        raise ValueError(f"model {model.name!r} has no score expression")
-    return Scorer(model.raw_score, threshold, model.kind, models.model_version(model, threshold))
+    """A trained model for ingest and rescoring."""
+    version = models.model_version(model, threshold)
+    if isinstance(model, models.BoostedModel):
+        return Scorer(None, threshold, model.kind, version, add_raw=model.add_raw)
+    return Scorer(model.raw_score, threshold, model.kind, version)
+
+
+def explain_catalog(content: DataFrame, model, threshold: float, folder: str) -> DataFrame:
+    """Contributions of scored contents under the model that scored them.
+
+    Rows scored by another version, or whose stored score is not what the
+    model gives now, carry the reason in ``problem`` and no contributions.
+    """
+    scorer = catalog_scorer(model, threshold)
+    scored = scorer.with_raw(content.where(F.col("features").isNotNull()))
+    fresh = scorer.columns(F.col("_raw"))["positive_score"]
+    marked = scored.withColumn("problem", checks.attribution_problem(scorer.version, fresh)).select(
+        F.col("content_id").alias("record_id"), F.col("features").alias("vec"), "problem"
+    )
+    good = marked.where(F.col("problem").isNull())
+    if isinstance(model, models.LogisticModel):
+        explained = attribution.explain_linear(good, model)
+    elif isinstance(model, models.BoostedModel):
+        explained = attribution.explain_trees(good, model, f"{folder}/nodes")
+    else:
+        raise ValueError(f"no exact attribution for model {model.name!r}")
+    return marked.select("record_id", "problem").join(explained.drop("problem", "vec"), "record_id", "left")
 
 
 def ingest_directory(store: CatalogStore, directory: str, change: int, *, scorer: Scorer | None = None,

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from sievemark import schemas as S
 from sievemark.functions.identity import dataset_namespace
-from sievemark.operators import attribution, checks, metrics, models, predictions
-from sievemark.operators.ingest import Scorer
+from sievemark.operators import attribution, checks, ingest, metrics, models, predictions
 from sievemark.plans import flows
 from sievemark.session import materialize, scratch_path
 
@@ -189,11 +188,32 @@ def test_version_depends_on_name_fit_and_threshold(logistic):
 
 def test_catalog_scorer_equals_model_score(rows, logistic):
     scorer = flows.catalog_scorer(logistic, 0.4)
-    out = scorer.columns(F.col("vec"))
-    both = logistic.score(rows).select("score", out["positive_score"].alias("p"), out["predicted_class"].alias("c"), out["valid"].alias("ok"))
+    out = scorer.columns(F.col("_raw"))
+    raw = scorer.with_raw(logistic.score(rows).withColumn("features", F.col("vec")))
+    both = raw.select("score", out["positive_score"].alias("p"), out["predicted_class"].alias("c"), out["valid"].alias("ok"))
     assert both.where("abs(score - p) > 1e-12 or not ok or (c = 'pneumonia') <> (score >= 0.4)").count() == 0
 
 
+def test_catalog_is_explained_by_its_own_model_only(spark, rows, logistic, boosted):
+    content = rows.where("record_id < 'r020'").select(
+        F.col("record_id").alias("content_id"), F.col("vec").alias("features"), F.lit("complete").alias("processing_status"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("error", "string"), ("predicted_class", "string"), ("confidence", "double"), ("positive_score", "double"),
+            ("model_version", "string"), ("processed_at", "timestamp"))])
+    for model in (logistic, boosted):
+        scored = materialize(ingest.rescore(content, flows.catalog_scorer(model, 0.5)))
+        assert scored.where("processing_status = 'complete' and positive_score between 0 and 1").count() == 20
+        spoiled = scored.withColumn("positive_score", F.col("positive_score") + F.when(F.col("content_id") == "r003", 0.01).otherwise(0.0))
+        got = flows.explain_catalog(spoiled, model, 0.5, scratch_path(spark, "explain")).toPandas().set_index("record_id")
+        assert got.loc["r003", "problem"] == "stored score differs" and got.loc["r003", "phi"] is None
+        assert got["problem"].notna().sum() == 1 and got["residual"].abs().max() < 1e-8
+        stale = flows.explain_catalog(scored, model, 0.6, scratch_path(spark, "explain"))
+        assert stale.where("problem = 'other model version' and phi is null").count() == 20
+    short = content.withColumn("features", F.lit([1.0]))
+    bad = ingest.rescore(short, flows.catalog_scorer(boosted, 0.5))
+    assert bad.where("processing_status = 'model_error' and positive_score is null").count() == 20
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10, "label int")
     got = {r["label"]: r["weight"] for r in models.class_weights(df).collect()}
