@@ -157,6 +157,6 @@ def split_counts(rows: DataFrame) -> DataFrame:
     """Rows per model split, listing a split that has none as 0."""
     wanted = rows.sparkSession.createDataFrame([(s,) for s in S.MODEL_SPLITS], "split string")
     found = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    return wanted.join(F.broadcast(found), "split", "left").select(
+    return wanted.join(found, "split", "left").select(
         "split", F.coalesce("n", F.lit(0)).alias("total_records")
     )

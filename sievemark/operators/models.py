@@ -22,6 +22,7 @@ from sievemark import schemas as S
 from sievemark.functions.labels import sigmoid
 from sievemark.functions.vectors import dot, literal_vector, standardize
 from sievemark.operators.metrics import auc_rank, select_threshold, threshold_metrics
+from sievemark.operators.skew import broadcast_if_small
 from sievemark.operators.splits import holdout_fold, stratified_folds
 
 RANDOM_FEATURES = 128
@@ -70,7 +71,7 @@ def _weighted(rows: DataFrame, mode: str | None) -> DataFrame:
         return rows.withColumn("weight", F.lit(1.0))
     if mode != "balanced":
         raise ValueError(f"unknown class_weight {mode!r}")
-    return rows.join(F.broadcast(class_weights(rows).select("label", "weight")), "label")
+    return rows.join(broadcast_if_small(class_weights(rows).select("label", "weight")), "label")
 
 
 # --- Fitted models -------------------------------------------------------------

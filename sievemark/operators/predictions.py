@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark import schemas as S
 from sievemark.functions.labels import class_name, outcome_cell
 from sievemark.operators.checks import check_unique, require
+from sievemark.operators.skew import broadcast_if_small
 
 KEYS = ["source_split", "source_index"]
 
@@ -64,7 +65,7 @@ def validated_manifest(manifest: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def provenance_defaults(models: DataFrame, provenance: DataFrame) -> DataFrame:
     """Every model with its provenance, absent values as explicit defaults."""
-    return models.join(F.broadcast(provenance), "model", "left").withColumns({
+    return models.join(broadcast_if_small(provenance), "model", "left").withColumns({
         "provenance_available": F.coalesce("provenance_available", F.lit(False)),
         "model_source": F.coalesce("model_source", F.lit("local_joblib")),
     })
@@ -75,13 +76,13 @@ def prediction_table(scored: DataFrame, models: DataFrame) -> DataFrame:
 
     ``scored`` has record_id, split, source coordinates, label, model and
     prediction_score; ``models`` one row per model with threshold, score_type,
-    model_file and provenance (a handful of rows, broadcast).
+    model_file and provenance.
     """
     known = models.select(
         "model", "threshold", "score_type", "model_file",
         "experiment_name", "experiment_id", "run_id", "run_name", "tracking_uri",
     )
-    decided = scored.join(F.broadcast(known), "model").withColumn(
+    decided = scored.join(broadcast_if_small(known), "model").withColumn(
         "predicted_label", (F.col("prediction_score") >= F.col("threshold")).cast("int")
     )
     return decided.withColumns({

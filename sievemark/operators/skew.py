@@ -8,6 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``max_rows`` rows, else as it is.
+
+    The check reads no more than one row beyond the limit.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def attach_group_values(

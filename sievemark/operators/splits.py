@@ -10,6 +10,7 @@ from sievemark.functions.identity import seeded_order
 from sievemark.functions.labels import split_rank
 from sievemark.operators.dedup import dedup_report, deduplicate
 from sievemark.operators.ranking import hash_rank, index_rank
+from sievemark.operators.skew import broadcast_if_small
 from sievemark.session import materialize
 
 # Lanes of 15 hex digits (60 bits) of a SHA-256 that the fingerprint adds up.
@@ -94,8 +95,7 @@ def stratified_split(
     """
     keyed = kept.withColumn("_order", seeded_order(seed, F.col("content_hash")))
     ranked = hash_rank(keyed, ["label"], "_order", "_rank")
-    # One row per label: labels are checked to be 0/1.
-    quotas = F.broadcast(split_quotas(kept, val_fraction, test_fraction))
+    quotas = broadcast_if_small(split_quotas(kept, val_fraction, test_fraction))  # one row per label
     assigned = (
         F.when(F.col("_rank") <= F.col("test_quota"), "test")
         .when(F.col("_rank") <= F.col("test_quota") + F.col("val_quota"), "val")

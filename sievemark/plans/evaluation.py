@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark import schemas as S
 from sievemark.functions.labels import sigmoid
 from sievemark.operators import metrics, models, predictions
+from sievemark.operators.skew import broadcast_if_small
 from sievemark.plans import given
 from sievemark.plans.curation import ASSIGNED_SQL, assigned_docs
 from sievemark.plans.registry import query
@@ -284,7 +285,7 @@ SELECT record_id, model, threshold, predicted_label FROM decided
 def broadcast_model(spark, folder):
     scores = candidate_scores(spark, folder)
     known = candidate_models(scores).select("model", "threshold")  # one row per trained model
-    return scores.join(F.broadcast(known), "model").select(
+    return scores.join(broadcast_if_small(known), "model").select(
         "record_id", "model", "threshold", (F.col("prediction_score") >= F.col("threshold")).cast("int").alias("predicted_label")
     )
 
@@ -307,7 +308,7 @@ FROM (VALUES ('logistic'), ('svm'), ('xgboost')) n(model) LEFT JOIN models m USI
 def scan_model_metrics(spark, folder):
     names = spark.createDataFrame([(m,) for m in S.MODEL_NAMES], "model string")
     stored = candidate_models(candidate_scores(spark, folder)).select("model", "threshold")
-    return tables.model_metric(names.join(F.broadcast(stored), "model", "left"), "threshold", missing="half")
+    return tables.model_metric(names.join(stored, "model", "left"), "threshold", missing="half")
 
 
 COMPARISON_SQL = CANDIDATES_SQL + ", grouped AS (SELECT model AS grp, label, round(prediction_score, 9) AS score FROM long WHERE split = 'val'), " + AUC_SQL
@@ -337,7 +338,7 @@ FROM aucs JOIN models ON model = grp ORDER BY round(auc, 9) DESC, grp LIMIT 1
 def select_best(spark, folder):
     scores = candidate_scores(spark, folder)
     known = candidate_models(scores).select("model", "threshold", F.col("model_file").alias("model_path"))
-    ranked = comparison(scores).join(F.broadcast(known), "model")
+    ranked = comparison(scores).join(known, "model")
     return predictions.selection_manifest(ranked).drop("selection_rule")
 
 
