@@ -30,11 +30,15 @@ def bucketed_row_number(
 ) -> DataFrame:
     """1-based row number per ``group`` in ``order``.
 
-    ``bucket`` must be monotone in ``order`` and not NULL; ``group`` columns
-    must not be NULL.  Row-level work is partitioned by (group, bucket).
+    ``bucket`` must be monotone in ``order`` and not NULL.  A NULL in a
+    ``group`` column is an error: it would fall out of the join.  Row-level
+    work is partitioned by (group, bucket).
     """
     keys = [*group, "_bucket"]
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumns({
+        **{g: F.coalesce(g, F.raise_error(F.lit(f"{g} must not be NULL")).cast(df.schema[g].dataType)) for g in group},
+        "_bucket": bucket,
+    })
     earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -178,3 +178,18 @@ def test_required_tables(spark):
 
     spark.range(1).createOrReplaceTempView("present_view")
     assert checks.check_tables_exist(spark, ["present_view", "absent_view"]) == ["absent_view"]
+
+
+def test_missing_labels_are_an_error_not_a_loss(spark):
+    from sievemark.operators.splits import stratified_folds
+
+    rows = spark.createDataFrame([("a" * 64, 1), ("b" * 64, None)], "content_hash string, label int")
+    with pytest.raises(Exception, match="label must not be NULL"):
+        stratified_folds(rows, 2).collect()
+
+
+def test_quantile_of_mostly_equal_values(spark):
+    values = np.concatenate([np.full(900, 2.0), np.linspace(0, 4, 101)])
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    for q in (0.01, 0.05, 0.5, 0.96):
+        assert exact_quantile(df, "x", q, direct_rows=20, rank_error=0.01) == pytest.approx(np.quantile(values, q))
