@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm import mil, packing, prefix_hash
+from sievemark.llm import entropy_mix, extendible, hmm, html_content, mil, ngram_join, packing, pca_dedup, prefix_hash, surrogates
 from sievemark.llm.common import table
 
 
@@ -16,19 +16,51 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.shard(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality, op5_fingerprints, op9_packing)
+    f.__name__: f
+    for f in (
+        op1_hidden_markov, op2_surrogates, op3_quality, op4_entropy_mix, op5_fingerprints, op6_extendible_shards, op7_embedding_dedup,
+        op8_html_content, op9_packing, op10_ngram_join,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_extendible_shards": extendible.ORACLE}

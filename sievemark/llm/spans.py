@@ -79,9 +79,9 @@ class Words:
         short = np.flatnonzero((counts > 0) & (counts < size))
         for d in short:
             a, b = self.first[d], self.first[d + 1]
-            value = np.uint64(int(counts[d]))
+            value = np.array([counts[d]], dtype=np.uint64)
             for h in self.hash[a:b]:
-                value = mix(np.array([value + h * np.uint64(BASE)], dtype=np.uint64))[0]
-            combined[a] = value
+                value = mix(value + np.array([h]) * np.uint64(BASE))
+            combined[a] = value[0]
             keep[a] = True
         return mix(combined)[keep], self.doc[keep]
