@@ -30,6 +30,19 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def hash_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hashes of ``key``: the same ones on every run.
+
+    Only rows whose hash lies in about the wanted share of all hashes are
+    ordered, so that a task passes on few rows however many tasks there are.
+    """
+    total = rows.count()
+    share = min(1.0, (1.3 * size + 100) / max(total, 1))
+    hashed = F.xxhash64(key)
+    some = rows if share >= 1 else rows.filter(hashed <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
+    return some.orderBy(hashed, key).limit(size)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 

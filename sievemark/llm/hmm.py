@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import batch_of, column_of, fold, row_numbers, text_slices, texts_of, whole_text
+from sievemark.llm.common import batch_of, column_of, fold, hash_sample, row_numbers, text_slices, texts_of, whole_text
 from sievemark.session import materialize
 
 HELD_OUT_FOLD = 1
 STATES = 12
-HEAD_WORDS = 131_072
+HEAD_WORDS = 200_000
+LEVELS = 8
 OWN_CLASS = 4_096
 TAIL_CLASSES = 2_048
 TAIL_BYTES = 3
@@ -101,25 +102,37 @@ class Lexicon:
         return np.log10((self.class_counts + 0.5) / self.divisor)
 
 
+def frequent(counts: DataFrame, most: int = HEAD_WORDS) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``: all above a count that is found from a small histogram."""
+    short = counts.filter(F.length("word") <= HEAD_WORD_BYTES).withColumn("level", F.floor(F.log2("n") * LEVELS))
+    lowest, taken = None, 0
+    for level, n in sorted(short.groupBy("level").count().collect(), reverse=True):
+        taken += n
+        if taken > most:
+            break
+        lowest = level
+    if lowest is None:
+        return []
+    found = [(bytes(r["word"]), r["n"]) for r in short.filter(F.col("level") >= lowest).select("word", "n").collect()]
+    return sorted(found, key=lambda w: (-w[1], w[0]))
+
+
 def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     """Collect what is bounded: ``HEAD_WORDS`` words of at most ``HEAD_WORD_BYTES`` bytes, and class totals."""
-    head = (
-        counts.filter(F.length("word") <= HEAD_WORD_BYTES).orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).collect()
-    )
-    words = {bytes(r["word"]): k for k, r in enumerate(head)}
-    classes = np.array([k if k < OWN_CLASS else tail_class(bytes(r["word"])) for k, r in enumerate(head)], dtype=np.uint16)
+    head = frequent(counts)
+    words = {w: k for k, (w, _) in enumerate(head)}
+    classes = np.array([k if k < OWN_CLASS else tail_class(w) for k, (w, _) in enumerate(head)], dtype=np.uint16)
     totals = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
     class_counts = np.zeros(CLASSES)
     by_tail = counts.groupBy(_tail_class_column(F.col("word")).alias("class")).agg(F.sum(F.col("n") + 0.5).alias("mass"))
     for r in by_tail.collect():
         class_counts[r["class"]] += r["mass"]
-    n = np.array([r["n"] for r in head], dtype=np.int64)
-    for k, r in enumerate(head[:OWN_CLASS]):
-        class_counts[tail_class(bytes(r["word"]))] -= r["n"] + 0.5
-        class_counts[k] = r["n"] + 0.5
+    for k, (w, n) in enumerate(head[:OWN_CLASS]):
+        class_counts[tail_class(w)] -= n + 0.5
+        class_counts[k] = n + 0.5
     class_counts[END_CLASS] = ends + 0.5 if ends else 0.0
     class_counts = np.maximum(class_counts, 0.0)
-    return Lexicon(words, n, classes, (totals["tokens"] or 0) + ends, (totals["types"] or 0) + bool(ends), ends, class_counts)
+    return Lexicon(words, np.array([n for _, n in head], dtype=np.int64), classes, (totals["tokens"] or 0) + ends, (totals["types"] or 0) + bool(ends), ends, class_counts)
 
 
 # --- encoding -----------------------------------------------------------------------------------------------------
@@ -368,11 +381,9 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     lex = lexicon(counts, ends)
     encoded = materialize(encode(docs, lex), "encoded")
     prior = (lex.class_counts + 0.5) / (lex.class_counts + 0.5).sum()
-    sample = (
-        encoded.filter((fold(F.col("doc_id")) != HELD_OUT_FOLD) & (F.col("n_tokens") <= START_TOKENS))
-        .select("doc_id", "row", "classes").orderBy(F.xxhash64("doc_id"), "row").limit(START_ROWS)
-    )
-    model = first_model([np.frombuffer(r["classes"], dtype="<u2") for r in sample.collect()], prior, states, START_ROUNDS)
+    short = encoded.filter((fold(F.col("doc_id")) != HELD_OUT_FOLD) & (F.col("n_tokens") <= START_TOKENS)).select("row", "classes")
+    sample = [np.frombuffer(r["classes"], dtype="<u2") for r in hash_sample(short, "row", START_ROWS).collect()]
+    model = first_model(sample, prior, states, START_ROUNDS)
     for _ in range(rounds):
         model = baum_welch(encoded, model, prior)
     rare = (

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import batch_of, column_of, text_slices, texts_of
+from sievemark.llm.common import batch_of, column_of, hash_sample, text_slices, texts_of
 
 TRAINING_PAGES = 150
 TRAINING_BYTES = 32_768
@@ -439,11 +439,8 @@ def seed_of(source: str) -> int:
 
 def training_pages(pages: DataFrame, rows: int = TRAINING_PAGES, limit: int = TRAINING_BYTES) -> list[str]:
     """Labelled pages made from at most ``rows`` pages of at most ``limit`` bytes, the first by a hash of the html."""
-    sample = (
-        pages.select(F.col("html").cast("string").alias("html")).filter(F.octet_length("html") <= limit)
-        .orderBy(F.xxhash64("html"), "html").limit(rows).collect()
-    )
-    sources = sorted({r["html"] for r in sample})
+    short = pages.select(F.col("html").cast("string").alias("html")).filter(F.octet_length("html") <= limit)
+    sources = sorted({r["html"] for r in hash_sample(short, "html", rows).collect()})
     made = [v for s in sources for v in labelled_variants(s, seed_of(s))]
     # Without pages to learn from, the layouts are filled with placeholder sentences.
     return made + [v for k in range(max(0, 60 - len(sources))) for v in labelled_variants("", k)]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import batch_of, column_of, fold, text_slices, texts_of, whole_text
+from sievemark.llm.common import batch_of, column_of, fold, hash_sample, text_slices, texts_of, whole_text
 from sievemark.llm.spans import Words
 
 PASSAGE_WORDS = 64
@@ -180,11 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     documents' passage features. Rows whose label is not 0 or 1 are not used. Without
     labelled rows every score is 0.5.
     """
-    chosen = (
+    chosen = hash_sample(
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT_FOLD))
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        .groupBy("doc_id").agg(F.max("label").alias("label")),
+        "doc_id", rows,
     )
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
