@@ -234,7 +234,8 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESH
     groups = max(1, -(-members.count() // TILE))
     keyed = docs.select(*row_key(docs), whole_text().alias("text"))
     same = keyed["doc_id"].eqNullSafe(members["doc_id"]) & (keyed["text_key"] == members["text_key"])
-    texts = keyed.join(members, same).select("cluster", "class", "copies", "text", "tile", "tiles")
+    # Merged at every size: a plan that broadcasts small members would change its cost with the input.
+    texts = keyed.join(members.hint("merge"), same).select("cluster", "class", "copies", "text", "tile", "tiles")
     if not signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():
         texts = texts.dropDuplicates(["class"])
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -272,7 +273,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     dropped = decided.filter("NOT kept").select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct()
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *row_key(docs))
-    stay = keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["gone"]) & (keyed["text_key"] == dropped["gone_key"]), "left_anti")
+    stay = keyed.join(dropped.hint("merge"), keyed["doc_id"].eqNullSafe(dropped["gone"]) & (keyed["text_key"] == dropped["gone_key"]), "left_anti")
     if not repeated.isEmpty():
         has_words = F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) > 0
         worded = stay.filter(has_words).dropDuplicates(["doc_id", "text_key"])
