@@ -22,6 +22,15 @@ def vec_std(vec: Column, mean: Column) -> Column:
     return F.sqrt(F.try_divide(squares, F.size(vec)))
 
 
+def vector_hash(vec: Column, dtype: str = "float64", bits: int = 40) -> Column:
+    """SHA-256 over element type, size and every element, in units of 2^-``bits``.
+
+    Scaling by a power of two is exact, so engines agree on the digits.
+    """
+    units = F.transform(vec, lambda x: F.floor(x * F.lit(float(2**bits))).cast("bigint").cast("string"))
+    return F.sha2(F.concat_ws(":", F.lit(dtype), F.size(vec).cast("string"), F.array_join(units, ",", "null")), 256)
+
+
 def dot(left: Column, right: Column) -> Column:
     return vec_sum(F.zip_with(left, right, lambda a, b: a * b))
 

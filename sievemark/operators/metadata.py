@@ -18,10 +18,13 @@ INLINE_PEERS = 1_000
 def extract_metadata(samples: DataFrame, width: int, height: int, namespace: uuid.UUID) -> DataFrame:
     """One row of identity, geometry and intensity statistics per sample.
 
-    ``samples`` has split, split_index, label, vec and content_hash.  Vectors
-    of another size or with missing or non-finite values are an error, raised
-    when the row is evaluated.
+    ``samples`` has split, split_index, label, vec and, unless it is to be
+    taken over every element here, content_hash.  Vectors of another size or
+    with missing or non-finite values are an error, raised when the row is
+    evaluated.
     """
+    if "content_hash" not in samples.columns:
+        samples = samples.withColumn("content_hash", vectors.vector_hash(F.col("vec")))
     valid = (F.size("vec") == width * height) & vectors.all_finite(F.col("vec"))
     checked = samples.withColumn(
         "vec",

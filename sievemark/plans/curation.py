@@ -14,6 +14,7 @@ from sievemark.sources import sinks
 
 METADATA = "WITH " + given.METADATA_SQL
 DOCS = "WITH " + given.DOCS_SQL
+DOC_QC = "WITH " + given.DOC_QC_SQL
 DOC_GROUPS = DOCS + f""",
 rows AS (
   SELECT doc_id, {given.uuid_sql('split', 'split_index', 'content_hash')} AS record_id, split, split_index, label, content_hash
@@ -128,7 +129,7 @@ def vector_characteristics_by_split(spark, folder):
     return analysis.characteristics_by_split(given.metadata(spark, folder), decimals=6)
 
 
-@query("qc_summary", sql=METADATA + """
+@query("qc_summary", sql=DOC_QC + """
 SELECT count(*) AS total_records, count(*) FILTER (WHERE low_variance_flag) AS low_variance_records,
        count(*) FILTER (WHERE exact_duplicate_flag) AS duplicate_records,
        count(DISTINCT content_hash) FILTER (WHERE exact_duplicate_flag) AS duplicate_groups,
@@ -137,14 +138,14 @@ SELECT count(*) AS total_records, count(*) FILTER (WHERE low_variance_flag) AS l
 FROM qc
 """)
 def qc_summary(spark, folder):
-    return analysis.qc_summary(given.qc_metadata(spark, folder))
+    return analysis.qc_summary(given.doc_qc(spark, folder))
 
 
-@query("cross_split_duplicates", sql=METADATA + """
+@query("cross_split_duplicates", sql=DOC_QC + """
 SELECT content_hash, record_id, split, split_index, label, duplicate_count, duplicate_ids FROM qc WHERE cross_split_duplicate_flag
 """)
 def cross_split_duplicates(spark, folder):
-    return analysis.cross_split_duplicates(given.qc_metadata(spark, folder)).withColumn(
+    return analysis.cross_split_duplicates(given.doc_qc(spark, folder)).withColumn(
         "duplicate_ids", F.array_join("duplicate_ids", ",")
     )
 
@@ -181,14 +182,14 @@ def _extremes(spark, folder):
 query("extreme_records", sql=EXTREMES_SQL)(_extremes)
 
 
-@query("union_criteria", sql=METADATA + """
+@query("union_criteria", sql=DOC_QC + """
 SELECT criterion, count(*) AS n FROM (
   SELECT 'low_variance' AS criterion FROM qc WHERE low_variance_flag
   UNION ALL SELECT 'duplicate' FROM qc WHERE exact_duplicate_flag
   UNION ALL SELECT 'cross_split' FROM qc WHERE cross_split_duplicate_flag) u GROUP BY criterion
 """)
 def union_criteria(spark, folder):
-    rows = given.qc_metadata(spark, folder)
+    rows = given.doc_qc(spark, folder)
     criteria = {"low_variance": "low_variance_flag", "duplicate": "exact_duplicate_flag",
                 "cross_split": "cross_split_duplicate_flag"}
     # Every selection in one pass: a row contributes one entry per criterion it meets.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark import schemas as S
 from sievemark.functions.identity import dataset_namespace, record_uuid
 from sievemark.functions.labels import split_rank
+from sievemark.functions.vectors import vector_hash
 from sievemark.operators.catalog import add_outcomes, join_catalog
 from sievemark.operators.dedup import pool_splits
 from sievemark.operators.ingest import Scorer, merge_content, merge_sources
@@ -17,7 +18,6 @@ from sievemark.session import materialize
 
 WIDTH = HEIGHT = 8
 NAMESPACE = dataset_namespace("sievemark:given")
-SIGN_ELEMENTS = 12
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,16 +27,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 # --- Vectors ---------------------------------------------------------------------
 
 def samples(spark: SparkSession, folder: str, indexed: bool = False) -> DataFrame:
-    """Embeddings as labelled vectors; the hash is coarse on purpose, so that it repeats."""
+    """Embeddings as labelled vectors, hashed over every element."""
     e = table(spark, folder, "embeddings")
     last = F.col("vec_id") % 10
-    signs = F.concat(*[F.when(F.col("embedding")[i] >= 0, "1").otherwise("0") for i in range(SIGN_ELEMENTS)])
     rows = e.select(
         "vec_id",
         F.when(last < 7, "train").when(last == 7, "val").otherwise("test").alias("split"),
         (F.col("label") >= 5).cast("int").alias("label"),
         F.col("embedding").cast("array<double>").alias("vec"),
-        F.sha2(signs, 256).alias("content_hash"),
+        vector_hash(F.col("embedding").cast("array<double>")).alias("content_hash"),
     )
     if not indexed:
         return rows
@@ -50,8 +49,8 @@ samples AS (
          CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 = 7 THEN 'val' ELSE 'test' END AS split,
          CAST(label >= 5 AS INTEGER) AS label,
          CAST(embedding AS DOUBLE[]) AS vec,
-         sha256(list_aggregate(list_transform(embedding[1:12], lambda e: CASE WHEN e >= 0 THEN '1' ELSE '0' END),
-                               'string_agg', '')) AS content_hash
+         sha256('float64:' || CAST(len(embedding) AS VARCHAR) || ':' || list_aggregate(list_transform(embedding,
+           lambda e: CAST(CAST(floor(CAST(e AS DOUBLE) * 1099511627776) AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS content_hash
   FROM embeddings
 ),
 indexed AS (
@@ -82,14 +81,8 @@ def qc_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return add_qc_fields(stored_metadata(spark, folder))
 
 
-METADATA_SQL = SAMPLES_SQL + f""",
-metadata AS (
-  SELECT {uuid_sql('split', 'split_index', 'content_hash')} AS record_id, split, split_index, label,
-         8 AS width, 8 AS height,
-         list_aggregate(vec, 'avg') AS mean_value, list_aggregate(vec, 'stddev_pop') AS std_value,
-         list_aggregate(vec, 'min') AS min_value, list_aggregate(vec, 'max') AS max_value, content_hash
-  FROM indexed
-),
+# Groups and flags over a view ``metadata``.
+QC_SQL = """
 groups AS (
   SELECT content_hash, count(*) AS duplicate_count, count(DISTINCT split) > 1 AS cross_split_duplicate_flag,
          string_agg(record_id, ',' ORDER BY record_id) AS ids
@@ -103,6 +96,16 @@ qc AS (
 )
 """
 
+METADATA_SQL = SAMPLES_SQL + f""",
+metadata AS (
+  SELECT {uuid_sql('split', 'split_index', 'content_hash')} AS record_id, split, split_index, label,
+         8 AS width, 8 AS height,
+         list_aggregate(vec, 'avg') AS mean_value, list_aggregate(vec, 'stddev_pop') AS std_value,
+         list_aggregate(vec, 'min') AS min_value, list_aggregate(vec, 'max') AS max_value, content_hash
+  FROM indexed
+),
+""" + QC_SQL
+
 
 # --- Documents -------------------------------------------------------------------
 
@@ -154,6 +157,24 @@ kept AS (
 """
 
 
+def doc_qc(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, which have true copies, with their length in place of a vector's statistics, and the QC columns."""
+    length = F.col("n_chars").cast("double")
+    rows = docs(spark, folder).select(
+        "record_id", "split", "split_index", "label", length.alias("mean_value"), length.alias("std_value"), "content_hash"
+    )
+    return add_qc_fields(materialize(rows, "doc-metadata"))
+
+
+DOC_QC_SQL = DOCS_SQL + f""",
+metadata AS (
+  SELECT {uuid_sql('split', 'split_index', 'content_hash')} AS record_id, split, split_index, label,
+         CAST(n_chars AS DOUBLE) AS mean_value, CAST(n_chars AS DOUBLE) AS std_value, content_hash
+  FROM docs
+),
+""" + QC_SQL
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with their length as a score: real ties, both classes."""
     return docs(spark, folder).where("quality is not null").select(
