@@ -13,8 +13,8 @@ from sievemark.operators.ranking import hash_rank, index_rank
 from sievemark.operators.skew import broadcast_if_small
 from sievemark.session import materialize
 
-# Lanes of 15 hex digits (60 bits) of a SHA-256 that the fingerprint adds up.
-FINGERPRINT_LANES = (1, 16, 31, 46)
+# Where the pieces of a SHA-256 begin that the fingerprint adds up: four of 15 hex digits and the last four digits.
+FINGERPRINT_LANES = (1, 16, 31, 46, 61)
 
 
 def check_fractions(val_fraction: float, test_fraction: float) -> None:
@@ -128,7 +128,7 @@ def split_sizes(assigned: DataFrame) -> DataFrame:
 def split_fingerprint(assigned: DataFrame) -> DataFrame:
     """Digest of exactly which hashes are in which split, independent of order.
 
-    Each hash is cut into four 60-bit numbers that are summed per split.  The
+    Each hash is cut into numbers of up to 60 bits that are summed per split.  The
     sums combine on the map side; gathering and sorting all hashes in one
     place, as a sequential digest needs, does not scale.
     """
@@ -148,31 +148,6 @@ def split_fingerprint(assigned: DataFrame) -> DataFrame:
     )
 
 
-SEQUENTIAL_LIMIT = 1_000_000
-
-
-def sequential_fingerprint(assigned: DataFrame, max_rows: int = SEQUENTIAL_LIMIT) -> str:
-    """SHA-256 over split names and sorted hashes, first 16 digits.
-
-    The digest chains over the whole sorted list, so it exists only for data
-    sets of up to ``max_rows``; ``split_fingerprint`` serves any size.
-    """
-    if assigned.count() > max_rows:
-        raise ValueError("too many records for the sequential digest; use split_fingerprint")
-    per_split = assigned.groupBy("assigned_split").agg(
-        F.array_join(F.array_sort(F.collect_list("content_hash")), "").alias("h")
-    )
-    names = assigned.sparkSession.createDataFrame([(s,) for s in S.MODEL_SPLITS], "assigned_split string")
-    text = F.concat("assigned_split", F.coalesce("h", F.lit("")))
-    return (
-        names.join(per_split, "assigned_split", "left")
-        .agg(F.array_sort(F.collect_list(
-            F.struct(split_rank(F.col("assigned_split")).alias("r"), text.alias("t")))).alias("parts"))
-        .select(F.substring(F.sha2(F.array_join(F.transform("parts", lambda p: p["t"]), ""), 256), 1, 16))
-        .first()[0]
-    )
-
-
 def repeated_hashes(assigned: DataFrame) -> DataFrame:
     """Hashes that occur more than once, in one split or across splits; empty is right."""
     return (
@@ -228,7 +203,10 @@ def stratified_folds(rows: DataFrame, k: int = S.CV_FOLDS, seed: int = S.DEFAULT
     """Seeded stratified folds 0..k-1 inside the given rows."""
     if k < 2:
         raise ValueError("k must be at least 2")
-    keyed = rows.withColumn("_order", seeded_order(seed, F.col("content_hash")))
+    order = seeded_order(seed, F.col("content_hash"))
+    if "copy" in rows.columns:  # augmented copies share their hash
+        order = F.concat(order, F.lpad(F.col("copy").cast("string"), 10, "0"))
+    keyed = rows.withColumn("_order", order)
     return (
         hash_rank(keyed, ["label"], "_order", "_rank")
         .withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int"))

@@ -87,19 +87,6 @@ def test_official_split(pooled):
     assert sizes == {"train": 42, "val": 11, "test": 12}
 
 
-def test_sequential_fingerprint(pooled):
-    out = splits.build_splits(pooled)
-    pdf = out.toPandas()
-    digest = hashlib.sha256()
-    for s in ("train", "val", "test"):
-        digest.update(s.encode())
-        for h in sorted(pdf[pdf["assigned_split"] == s]["content_hash"]):
-            digest.update(h.encode())
-    assert splits.sequential_fingerprint(out) == digest.hexdigest()[:16]
-    with pytest.raises(ValueError):
-        splits.sequential_fingerprint(out, max_rows=10)
-
-
 def test_all_conflicting_gives_empty_splits(spark):
     h = "a" * 64
     data = [(s, i, i, h) for s in ("train", "val", "test") for i in (0, 1)]
