@@ -303,7 +303,8 @@ def tune_and_fit(
                 began = time.perf_counter()
                 model = fit(fitting, **setting, **shared)
                 seconds.append(time.perf_counter() - began)
-                scores.append(auc_rank(model.score(scoring)).first()["auc"])
+                auc = auc_rank(model.score(scoring)).first()["auc"]  # NULL where a fold has one class
+                scores.append(float("nan") if auc is None else auc)
             results.append({
                 "setting": json.dumps(setting, sort_keys=True), "params": setting,
                 "mean_test_score": float(np.mean(scores)), "std_test_score": float(np.std(scores)),
@@ -311,7 +312,9 @@ def tune_and_fit(
             })
     finally:
         parts.unpersist()
-    results.sort(key=lambda r: -r["mean_test_score"])
+    results.sort(key=lambda r: (np.isnan(r["mean_test_score"]), -r["mean_test_score"]))
+    if np.isnan(results[0]["mean_test_score"]):
+        raise ValueError("no setting can be scored: some scoring part is empty or has one class")
     best = results[0]["params"]
     return Tuning(fit(train, **best), best, results[0]["mean_test_score"], method, results)
 
@@ -336,6 +339,8 @@ def evaluate(samples: DataFrame, model) -> DataFrame:
     val = model.score(samples.where(F.col("assigned_split") == "val"))
     test = model.score(samples.where(F.col("assigned_split") == "test"))
     chosen = select_threshold(val).first()
+    if chosen is None or chosen["threshold"] is None:
+        raise ValueError("the validation split is empty or has one class")
     return threshold_metrics(test, chosen["threshold"]).withColumns({
         "model": F.lit(model.name),
         "validation_youden_j": F.lit(chosen["youden_j"]),

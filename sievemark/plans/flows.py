@@ -141,7 +141,7 @@ def predict(rows: DataFrame, manifest: DataFrame, stored_metadata: DataFrame, tr
 
 
 def explain(rows: DataFrame, model, threshold: float, folder: str, width: int, *, background: DataFrame | None = None,
-            save_pixels: bool | None = None) -> DataFrame:
+            save_pixels: bool = False) -> DataFrame:
     """Contributions of the selected records, with summary and long pixel table.
 
     ``rows`` has record_id, split, split_index, label and vec.  The pixel
@@ -158,7 +158,7 @@ def explain(rows: DataFrame, model, threshold: float, folder: str, width: int, *
     stored = rows.sparkSession.read.parquet(f"{folder}/explained")
     checks.require(checks.check_additivity(stored, 1e-6), "contributions do not add up")
     sinks.write_csv(attribution.attribution_summary(stored, F.lit(threshold), model.name), f"{folder}/summary")
-    if save_pixels or (save_pixels is None and len(stored.select("record_id").limit(2).collect()) == 1):
+    if save_pixels:
         sinks.sink_pixel_long(attribution.attribution_pixels(stored, width), f"{folder}/pixels")
     return stored
 
