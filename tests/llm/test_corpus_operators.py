@@ -226,8 +226,8 @@ def test_mix_reaches_targets_by_tilting(documents):
     rows = entropy_mix.mix(documents).collect()
     targets, taken = check_mix(rows, [(r["source"], r["text"]) for r in given])
     for source in targets:
-        # Ten documents a source here: whole copies can only come so near.
-        assert abs(taken[source] - targets[source]) <= 0.03 * targets[source]
+        # Rounded running sums over falling sizes stay within half of the largest document.
+        assert abs(taken[source] - targets[source]) <= max(r["size"] for r in rows if r["source"] == source) / 2 + 1
         own = [r for r in rows if r["source"] == source and r["size"]]
         assert sum(r["rate"] * r["size"] for r in own) == pytest.approx(targets[source], rel=1e-4, abs=1)
         tilts = {round(math.log(r["rate"]) / r["size"], 9) for r in own if r["rate"] < 1.999}
