@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sievemark.functions.labels import class_name, rank_in, split_rank
 
 TOP_K = 3
-EXPANDED_LABELS = 10_000
 
 # Criterion, metric column, ascending; in report order.
 EXTREMES = (
@@ -78,53 +77,42 @@ def qc_summary(metadata: DataFrame) -> DataFrame:
 def cross_split_duplicates(metadata: DataFrame) -> DataFrame:
     return metadata.where("cross_split_duplicate_flag").select(
         "content_hash", "record_id", "split", "split_index", "label",
-        "duplicate_count", "duplicate_ids",
+        "duplicate_count",
     )
 
 
-def _runs(items: str, total: str, limit: int):
-    """Ordered text of (value, n) runs: values repeated up to ``limit``, else ``value xN``."""
-    return F.when(
-        F.col(total) <= limit,
-        F.array_join(F.flatten(F.transform(items, lambda r: F.array_repeat(r["value"], r["n"].cast("int")))), ", "),
-    ).otherwise(
-        F.array_join(F.transform(items, lambda r: F.concat(r["value"], F.lit(" x"), r["n"].cast("string"))), ", ")
-    )
+def _runs(field: str):
+    """``value xN`` per distinct value of a field of ``runs``, in order."""
+    values = F.array_sort(F.array_distinct(F.col(f"runs.{field}")))
+
+    def text(value):
+        same = F.filter("runs", lambda r: r[field] == value)
+        n = F.aggregate(same, F.lit(0).cast("long"), lambda total, r: total + r["n"])
+        return F.concat(value.cast("string"), F.lit(" x"), n.cast("string"))
+
+    return F.array_join(F.transform(values, text), ", ")
 
 
-def duplicate_label_conflicts(metadata: DataFrame, expanded: int = EXPANDED_LABELS) -> DataFrame:
-    """Duplicate groups whose labels disagree, with every member's label and split.
+def duplicate_label_conflicts(metadata: DataFrame) -> DataFrame:
+    """Duplicate groups whose labels disagree, with every member's label and split as runs (``0 x5, 1 x2``).
 
     Members are counted per (hash, label, split) before anything is gathered,
-    so a group contributes a few counts, whatever its size.  Above
-    ``expanded`` members the texts are written as runs (``0 x120000``).
+    so a group contributes a few counts, whatever its size.  A NULL label
+    agrees with every label.
     """
-    runs = (
-        metadata.where("exact_duplicate_flag")
-        .groupBy("content_hash", "label", "split").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        metadata.groupBy("content_hash", "label", "split").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("content_hash").agg(
             F.sum("n").alias("record_count"),
             F.collect_list(F.struct("label", "split", "n")).alias("runs"),
             F.min("label").alias("lo"), F.max("label").alias("hi"),
         )
         .where("lo <> hi")
-    )
-    text_runs = runs.select(
-        "content_hash", "record_count",
-        F.size(F.array_distinct("runs.label")).cast("long").alias("distinct_label_count"),
-        F.transform(
-            F.array_sort("runs"),
-            lambda r: F.struct(r["label"].cast("string").alias("value"), r["n"].alias("n")),
-        ).alias("label_runs"),
-        F.transform(
-            F.array_sort(F.transform("runs", lambda r: F.struct(r["split"].alias("value"), r["n"].alias("n")))),
-            lambda r: r,
-        ).alias("split_runs"),
-    )
-    return text_runs.select(
-        "content_hash", "record_count", "distinct_label_count",
-        _runs("label_runs", "record_count", expanded).alias("labels"),
-        _runs("split_runs", "record_count", expanded).alias("splits"),
+        .select(
+            "content_hash", "record_count",
+            F.size(F.array_compact(F.array_distinct("runs.label"))).cast("long").alias("distinct_label_count"),
+            _runs("label").alias("labels"), _runs("split").alias("splits"),
+        )
     )
 
 

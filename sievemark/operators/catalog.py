@@ -237,13 +237,11 @@ def field_value_rows(records: DataFrame, key: str, prefix: str = "") -> DataFram
 
 
 def six_digits(value: Column) -> Column:
-    """Six significant digits without trailing zeros, in plain notation."""
-    magnitude = F.when(value == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(value)))).cast("int")
-    rounded = F.round(value.cast("decimal(38,12)"), 12)
-    scale = F.pow(F.lit(10.0), (F.lit(5) - magnitude).cast("double"))
-    digits = (F.round(value * scale, 0) / scale).cast("decimal(38,12)")
-    plain = F.coalesce(digits, rounded).cast("string")
-    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Six significant digits without trailing zeros; an exponent below 1e-4 and from 1e6."""
+    text = F.format_string("%.6g", value)
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    infinite = F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    return F.when(value.isNull(), F.lit(None)).when(F.abs(value) == float("inf"), infinite).otherwise(short)
 
 
 def json_fields(records: DataFrame, key: str, column: str, prefix: str = "EXIF ") -> DataFrame:

@@ -61,27 +61,27 @@ def check_missing_nonfinite(rows: DataFrame) -> DataFrame:
     )
 
 
-def peer_problem() -> Column:
-    """What is wrong with a row's inline peer list, NULL when nothing is."""
-    ids, n, own = F.col("duplicate_ids"), F.col("duplicate_count"), F.col("record_id")
-    return (
-        F.when((n < 2) & (F.size(ids) > 0), "peers without duplicates")
-        .when((n >= 2) & ~F.array_contains(ids, own), "own id missing")
-        .when((n >= 2) & (F.size(ids) != n), "wrong number of peers")
-        .when(F.size(F.array_distinct(ids)) != F.size(ids), "repeated peer")
-    )
-
+def check_peer_ids(metadata: DataFrame, peers: DataFrame, key: str = "content_hash") -> DataFrame:
+    """What is wrong with the members listed in ``peers`` (key, peer_id), one row per problem.
 
-def check_peer_ids(metadata: DataFrame, inline_peers: int) -> DataFrame:
-    """Violations among inline peer lists; a list may be absent only above the inline limit."""
-    problem = F.when(
-        F.col("duplicate_ids").isNull(),
-        F.when(F.col("duplicate_count") <= inline_peers, "peers missing"),
-    ).otherwise(peer_problem())
-    return (
-        metadata.withColumn("problem", problem).where("problem is not null")
-        .select("record_id", "duplicate_count", "problem")
+    Members are matched by (key, id), which is unique, and group sizes by key
+    after counting, so a hot group stays spread and is never gathered.
+    """
+    listed = peers.groupBy(F.col(key), F.col("peer_id").alias("record_id")).agg(F.count(F.lit(1)).alias("times"))
+    rows = metadata.select(key, "record_id", "duplicate_count")
+    members = rows.join(listed, [key, "record_id"], "full").select(
+        key, "record_id",
+        F.when(F.col("duplicate_count").isNull(), "not a record of the group")
+        .when((F.col("duplicate_count") < 2) & F.col("times").isNotNull(), "peers without duplicates")
+        .when((F.col("duplicate_count") >= 2) & F.col("times").isNull(), "own id missing")
+        .when(F.col("times") > 1, "repeated peer").alias("problem"),
+    )
+    stated = rows.groupBy(key).agg(F.max("duplicate_count").alias("stated")).where("stated > 1")
+    sizes = stated.join(listed.groupBy(key).agg(F.sum("times").alias("found")), key, "left").select(
+        key, F.lit(None).cast(rows.schema["record_id"].dataType).alias("record_id"),
+        F.when(F.coalesce("found", F.lit(0)) != F.col("stated"), "wrong number of peers").alias("problem"),
     )
+    return members.unionByName(sizes).where("problem is not null")
 
 
 def check_row_schema(metadata: DataFrame) -> DataFrame:

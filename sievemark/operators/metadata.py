@@ -12,8 +12,6 @@ from sievemark.functions import identity, vectors
 from sievemark.operators.quantiles import exact_quantile
 from sievemark.operators.skew import HOT_ROWS, attach_group_values
 
-INLINE_PEERS = 1_000
-
 
 def extract_metadata(samples: DataFrame, width: int, height: int, namespace: uuid.UUID) -> DataFrame:
     """One row of identity, geometry and intensity statistics per sample.
@@ -98,38 +96,15 @@ def duplicate_peers(rows: DataFrame, *, key: str = "content_hash", id_col: str =
     )
 
 
-def add_peer_ids(
-    flagged: DataFrame, *, key: str = "content_hash", id_col: str = "record_id",
-    inline_peers: int = INLINE_PEERS,
-) -> DataFrame:
-    """Sorted peer ids (self included) as an array; empty when alone.
-
-    A group of n writes n lists of n ids, so lists are kept inline only up to
-    ``inline_peers`` members.  For larger groups the column is NULL and
-    ``duplicate_peers`` holds the members.
-    """
-    inline = F.col("duplicate_count").between(2, inline_peers)
-    lists = (
-        flagged.where(inline)
-        .groupBy(F.col(key).alias("_peer_key"))
-        .agg(F.array_sort(F.collect_list(id_col)).alias("_peers"))
-    )
-    spread = F.concat(F.lit("#"), F.col(id_col).cast("string"))
-    joined = flagged.withColumn("_k", F.when(inline, F.col(key)).otherwise(spread)).join(
-        lists, F.col("_k") == F.col("_peer_key"), "left"
-    )
-    peers = F.when(F.col("duplicate_count") < 2, F.array().cast("array<string>")).otherwise(F.col("_peers"))
-    return joined.select(*flagged.columns, peers.alias("duplicate_ids"))
-
-
 def add_qc_fields(
     metadata: DataFrame,
     *,
     low_variance_quantile: float = S.LOW_VARIANCE_QUANTILE,
-    inline_peers: int = INLINE_PEERS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The five QC columns.  They inform; no record is removed.
+    """The four QC columns.  They inform; no record is removed.
+
+    The peers of a record are the rows of ``duplicate_peers`` with its hash.
 
     Pass a written metadata table: several passes read it, and its columns
     are cheap there, while a fresh ``extract_metadata`` reads the vectors.
@@ -138,9 +113,9 @@ def add_qc_fields(
     flagged = add_duplicate_flags(metadata, hot_rows=hot_rows).withColumn(
         "low_variance_flag", F.col("std_value") <= F.lit(threshold)
     )
-    return add_peer_ids(flagged, inline_peers=inline_peers).select(
+    return flagged.select(
         *metadata.columns, "low_variance_flag", "duplicate_count", "exact_duplicate_flag",
-        "duplicate_ids", "cross_split_duplicate_flag",
+        "cross_split_duplicate_flag",
     )
 
 

@@ -64,8 +64,14 @@ def validated_manifest(manifest: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def provenance_defaults(models: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Every model with its provenance, absent values as explicit defaults."""
-    return models.join(broadcast_if_small(provenance), "model", "left").withColumns({
+    """Every model with its provenance, absent values as explicit defaults.
+
+    Without a recorded path a model's own ``model_file``, where it has one, is its path.
+    """
+    joined = models.join(broadcast_if_small(provenance), "model", "left")
+    if "model_file" in models.columns:
+        joined = joined.withColumn("model_path", F.coalesce("model_path", "model_file"))
+    return joined.withColumns({
         "provenance_available": F.coalesce("provenance_available", F.lit(False)),
         "model_source": F.coalesce("model_source", F.lit("local_joblib")),
     })

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
+from sievemark.functions.vectors import vec_sum
 from sievemark.operators import analysis, dedup, metadata, predictions, splits
 from sievemark.operators.quantiles import exact_quantile
 from sievemark.plans import given
@@ -21,8 +22,7 @@ rows AS (
   FROM docs
 ),
 groups AS (
-  SELECT content_hash, count(*) AS duplicate_count, count(DISTINCT split) > 1 AS cross_split,
-         string_agg(record_id, ',' ORDER BY record_id) AS ids
+  SELECT content_hash, count(*) AS duplicate_count, count(DISTINCT split) > 1 AS cross_split
   FROM rows GROUP BY content_hash
 )
 """
@@ -74,12 +74,14 @@ def cross_split_flag(spark, folder):
 
 
 @query("duplicate_peer_ids", sql=DOC_GROUPS + """
-SELECT record_id, CASE WHEN duplicate_count > 1 THEN '["' || replace(ids, ',', '","') || '"]' ELSE '[]' END AS duplicate_ids
+SELECT record_id, CASE WHEN duplicate_count > 1 THEN content_hash END AS peer_key, duplicate_count
 FROM rows JOIN groups USING (content_hash)
 """)
 def duplicate_peer_ids(spark, folder):
+    """Each record with the key of its members in ``duplicate_peers``, NULL when alone."""
     flagged = metadata.add_duplicate_flags(given.docs(spark, folder))
-    return metadata.add_peer_ids(flagged).select("record_id", F.to_json("duplicate_ids").alias("duplicate_ids"))
+    return flagged.select("record_id", F.when(F.col("duplicate_count") > 1, F.col("content_hash")).alias("peer_key"),
+                          "duplicate_count")
 
 
 @query("duplicate_peers", sql=DOC_GROUPS + """
@@ -142,21 +144,23 @@ def qc_summary(spark, folder):
 
 
 @query("cross_split_duplicates", sql=DOC_QC + """
-SELECT content_hash, record_id, split, split_index, label, duplicate_count, duplicate_ids FROM qc WHERE cross_split_duplicate_flag
+SELECT content_hash, record_id, split, split_index, label, duplicate_count FROM qc WHERE cross_split_duplicate_flag
 """)
 def cross_split_duplicates(spark, folder):
-    return analysis.cross_split_duplicates(given.doc_qc(spark, folder)).withColumn(
-        "duplicate_ids", F.array_join("duplicate_ids", ",")
-    )
+    return analysis.cross_split_duplicates(given.doc_qc(spark, folder))
 
 
-@query("duplicate_label_conflicts", sql=DOC_GROUPS + """
-SELECT content_hash, count(*) AS record_count, count(DISTINCT label) AS distinct_label_count,
-       string_agg(CAST(label AS VARCHAR), ', ' ORDER BY label) AS labels, string_agg(split, ', ' ORDER BY split) AS splits
-FROM rows GROUP BY content_hash HAVING count(*) > 1 AND count(DISTINCT label) > 1
+@query("duplicate_label_conflicts", sql=DOC_GROUPS + """,
+conflicts AS (SELECT content_hash, count(*) AS record_count, count(DISTINCT label) AS distinct_label_count
+              FROM rows GROUP BY content_hash HAVING count(DISTINCT label) > 1),
+by_label AS (SELECT content_hash, string_agg(label || ' x' || n, ', ' ORDER BY label) AS labels
+             FROM (SELECT content_hash, label, count(*) AS n FROM rows GROUP BY ALL) a GROUP BY content_hash),
+by_split AS (SELECT content_hash, string_agg(split || ' x' || n, ', ' ORDER BY split) AS splits
+             FROM (SELECT content_hash, split, count(*) AS n FROM rows GROUP BY ALL) a GROUP BY content_hash)
+SELECT * FROM conflicts JOIN by_label USING (content_hash) JOIN by_split USING (content_hash)
 """)
 def duplicate_label_conflicts(spark, folder):
-    return analysis.duplicate_label_conflicts(metadata.add_duplicate_flags(given.docs(spark, folder)))
+    return analysis.duplicate_label_conflicts(given.docs(spark, folder))
 
 
 def _extreme(order: str, criterion: str, metric: str) -> str:
@@ -252,7 +256,8 @@ def dedup_report(spark, folder):
     return dedup.dedup_report(given.pooled_docs(spark, folder), "drop")
 
 
-ASSIGNED_SQL = DOCS + """,
+# Quotas and splits over the views ``pooled`` and ``kept``.
+ASSIGN_STEPS = """,
 fractions AS (
   SELECT avg(CASE WHEN source_split = 'val' THEN 1.0 ELSE 0.0 END) AS v,
          avg(CASE WHEN source_split = 'test' THEN 1.0 ELSE 0.0 END) AS t FROM pooled
@@ -283,6 +288,7 @@ manifest AS (
   FROM assigned
 )
 """
+ASSIGNED_SQL = DOCS + ASSIGN_STEPS
 
 
 def assigned_docs(spark, folder):
@@ -415,11 +421,20 @@ def run_parameters(spark, folder):
     return predictions.run_parameters(report).where("key <> 'split_fingerprint'")
 
 
-@query("augment_union", sql="""
-SELECT CAST(label >= 5 AS INTEGER) AS label, copy, count(*) AS n FROM embeddings, (VALUES (0), (1), (2)) c(copy)
-WHERE vec_id % 10 < 7 GROUP BY ALL
+def _unit_sql(tag: str) -> str:
+    return f"CAST('0x' || substr(sha256('42:{tag}:' || content_hash || ':' || copy), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query("augment_union", sql="WITH " + given.SAMPLES_SQL + f""",
+train AS (SELECT vec_id, label, vec, content_hash FROM samples WHERE split = 'train'),
+copied AS (SELECT train.*, copy, {_unit_sql('p')} < 0.5 AS changed, 1.0 + ({_unit_sql('c')} * 2 - 1) * 0.05 AS gain,
+                  ({_unit_sql('b')} * 2 - 1) * 0.05 AS shift FROM train, (VALUES (1), (2)) c(copy))
+SELECT vec_id, label, 0 AS copy, round(list_sum(vec), 6) AS total FROM train
+UNION ALL
+SELECT vec_id, label, copy, round(list_sum(CASE WHEN changed THEN
+         list_transform(vec, lambda x: greatest(0.0, least(1.0, x * gain + shift))) ELSE vec END), 6) FROM copied
 """)
 def augment_union(spark, folder):
     train = given.samples(spark, folder).where("split = 'train'")
     rows = splits.augment_training(train, copies=2, top=1.0)
-    return rows.groupBy("label", "copy").agg(F.count("vec").alias("n"))
+    return rows.select("vec_id", "label", "copy", F.round(vec_sum(F.col("vec")), 6).alias("total"))

@@ -195,11 +195,11 @@ def candidate_models(scores: DataFrame) -> DataFrame:
         F.round(F.avg("prediction_score"), 6).alias("threshold")
     )
     provenance = scores.sparkSession.createDataFrame(
-        [("svm", True, "tracked", None, "store", "trials", "7", "run-svm", "margin", None)], S.PROVENANCE
+        [("svm", True, "tracked", "runs/run-svm/model", "store", "trials", "7", "run-svm", "margin", None)], S.PROVENANCE
     )
-    out = predictions.provenance_defaults(thresholds, provenance)
-    return out.withColumn("score_type", F.when(F.col("model") == "svm", "margin").otherwise("probability")).withColumn(
-        "model_file", F.concat(F.lit("models/"), F.col("model"))
+    known = thresholds.withColumn("model_file", F.concat(F.lit("models/"), F.col("model")))
+    return predictions.provenance_defaults(known, provenance).withColumn(
+        "score_type", F.when(F.col("model") == "svm", "margin").otherwise("probability")
     )
 
 
@@ -258,11 +258,18 @@ def join_manifest_metadata(spark, folder):
 
 
 @query("check_hash_match", sql=ASSIGNED_SQL + """
-SELECT CAST(0 AS BIGINT) AS missing_rows, count(*) FILTER (WHERE length(content_hash) <> 64) AS hash_mismatches,
-       CAST(0 AS BIGINT) AS label_mismatches FROM assigned
+SELECT count(*) FILTER (WHERE source_index % 7 = 0) AS missing_rows,
+       count(*) FILTER (WHERE source_index % 7 <> 0 AND source_index % 11 = 0) AS hash_mismatches,
+       count(*) FILTER (WHERE source_index % 7 <> 0 AND source_index % 13 = 0) AS label_mismatches FROM assigned
 """)
 def check_hash_match(spark, folder):
-    joined = predictions.join_manifest_metadata(assigned_docs(spark, folder), given.docs(spark, folder))
+    """Stored metadata that lost every 7th row, and has another hash every 11th and another label every 13th."""
+    i = F.col("split_index")
+    stored = given.docs(spark, folder).where(i % 7 != 0).withColumns({
+        "content_hash": F.when(i % 11 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")),
+        "label": F.when(i % 13 == 0, 1 - F.col("label")).otherwise(F.col("label")),
+    })
+    joined = predictions.join_manifest_metadata(assigned_docs(spark, folder), stored)
     return predictions.manifest_problems(joined)
 
 
@@ -293,11 +300,12 @@ def broadcast_model(spark, folder):
 @query("provenance_defaults", sql=CANDIDATES_SQL + """
 SELECT model, threshold, model = 'svm' AS provenance_available,
        CASE model WHEN 'svm' THEN 'tracked' ELSE 'local_joblib' END AS model_source,
+       CASE model WHEN 'svm' THEN 'runs/run-svm/model' ELSE 'models/' || model END AS model_path,
        CASE model WHEN 'svm' THEN 'run-svm' END AS run_id FROM models
 """)
 def provenance_defaults(spark, folder):
     return candidate_models(candidate_scores(spark, folder)).select(
-        "model", "threshold", "provenance_available", "model_source", "run_id"
+        "model", "threshold", "provenance_available", "model_source", "model_path", "run_id"
     )
 
 
@@ -308,7 +316,11 @@ FROM (VALUES ('logistic'), ('svm'), ('xgboost')) n(model) LEFT JOIN models m USI
 def scan_model_metrics(spark, folder):
     names = spark.createDataFrame([(m,) for m in S.MODEL_NAMES], "model string")
     stored = candidate_models(candidate_scores(spark, folder)).select("model", "threshold")
-    return tables.model_metric(names.join(stored, "model", "left"), "threshold", missing="half")
+    current = names.join(stored, "model", "left").withColumns(
+        {"run_id": F.lit("current"), "logged_at": F.lit("2024-01-02 00:00:00").cast("timestamp")})
+    earlier = current.withColumns({  # a larger threshold, as of an earlier run
+        "threshold": F.lit(99.0), "run_id": F.lit("earlier"), "logged_at": F.lit("2024-01-01 00:00:00").cast("timestamp")})
+    return tables.model_metric(earlier.unionByName(current), "threshold", missing="half")
 
 
 COMPARISON_SQL = CANDIDATES_SQL + ", grouped AS (SELECT model AS grp, label, round(prediction_score, 9) AS score FROM long WHERE split = 'val'), " + AUC_SQL

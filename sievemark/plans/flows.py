@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,20 +29,22 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def build_metadata(samples: DataFrame, path: str, width: int, height: int, namespace: uuid.UUID,
-                   *, force: bool = False, inline_peers: int = metadata.INLINE_PEERS) -> DataFrame:
-    """Extract, flag, check and store the metadata table; an existing one is reused unless forced."""
+                   *, force: bool = False) -> DataFrame:
+    """Extract, flag, check and store the metadata table; an existing one is reused unless forced.
+
+    The members of its duplicate groups go to ``<path>-peers``.
+    """
     spark = samples.sparkSession
     if not force and table_exists(spark, path):
         return spark.read.parquet(path)
     raw = f"{path}-extracted"
     metadata.extract_metadata(samples, width, height, namespace).write.mode("overwrite").parquet(raw)
-    stored = sinks.sink_metadata_table(
-        metadata.add_qc_fields(spark.read.parquet(raw), inline_peers=inline_peers), path
-    )
+    stored = sinks.sink_metadata_table(metadata.add_qc_fields(spark.read.parquet(raw)), path)
+    metadata.duplicate_peers(stored).write.mode("overwrite").parquet(f"{path}-peers")
     checks.require(checks.check_labels(stored), "unexpected labels")
     checks.require(checks.check_dimensions(stored, width, height), "unexpected dimensions")
-    checks.require(checks.check_missing_nonfinite(stored.drop("duplicate_ids")), "missing or non-finite values")
-    checks.require(checks.check_peer_ids(stored, inline_peers), "wrong duplicate ids")
+    checks.require(checks.check_missing_nonfinite(stored), "missing or non-finite values")
+    checks.require(checks.check_peer_ids(stored, spark.read.parquet(f"{path}-peers")), "wrong duplicate ids")
     checks.require(checks.check_row_schema(stored), "rows outside the schema")
     return stored
 
@@ -85,14 +88,15 @@ def train(rows: DataFrame, name: str, folder: str, *, n_iter: int = S.SEARCH_ITE
         ).unionByName(held)
     tuning = models.tune_and_fit(rows, name, n_iter=n_iter, use_cv=use_cv, folds=folds, seed=seed, grid=grid)
     val = tuning.model.score(rows.where(F.col("assigned_split") == "val"))
+    run = {"run_id": F.lit(uuid.uuid4().hex), "logged_at": F.lit(datetime.now(timezone.utc))}
     result = models.evaluate(rows, tuning.model).withColumns({
-        "run_id": F.lit(uuid.uuid4().hex),
+        **run,
         "tuning_roc_auc": F.lit(tuning.score),
         "training_cv_roc_auc": F.lit(tuning.score if use_cv else None).cast("double"),
         "validation_roc_auc": F.lit(metrics.auc_rank(val).first()["auc"]),
     }).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.MODEL_METRICS.fields])
     test = tuning.model.score(rows.where(F.col("assigned_split") == "test"))
-    matrix = metrics.confusion_matrix(test, result.select("threshold")).withColumn("model", F.lit(name))
+    matrix = metrics.confusion_matrix(test, result.select("threshold")).withColumns({"model": F.lit(name), **run})
     sinks.sink_model_metrics(result, matrix, folder)
     sinks.write_csv(models.search_results(rows.sparkSession, tuning), f"{folder}/{name}_search_results")
     return tuning, result

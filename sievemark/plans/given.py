@@ -84,14 +84,13 @@ def qc_metadata(spark: SparkSession, folder: str) -> DataFrame:
 # Groups and flags over a view ``metadata``.
 QC_SQL = """
 groups AS (
-  SELECT content_hash, count(*) AS duplicate_count, count(DISTINCT split) > 1 AS cross_split_duplicate_flag,
-         string_agg(record_id, ',' ORDER BY record_id) AS ids
+  SELECT content_hash, count(*) AS duplicate_count, count(DISTINCT split) > 1 AS cross_split_duplicate_flag
   FROM metadata GROUP BY content_hash
 ),
 qc AS (
   SELECT m.*, m.std_value <= (SELECT quantile_cont(std_value, 0.01) FROM metadata) AS low_variance_flag,
          g.duplicate_count, g.duplicate_count > 1 AS exact_duplicate_flag,
-         CASE WHEN g.duplicate_count > 1 THEN g.ids ELSE '' END AS duplicate_ids, g.cross_split_duplicate_flag
+         g.cross_split_duplicate_flag
   FROM metadata m JOIN groups g USING (content_hash)
 )
 """
@@ -132,6 +131,18 @@ def pooled_docs(spark: SparkSession, folder: str) -> DataFrame:
     return pool_splits(docs(spark, folder).select("split", "split_index", "label", "content_hash"))
 
 
+# One record per hash of a view ``pooled``, without hashes whose labels disagree.
+KEPT_SQL = """
+dedup AS (
+  SELECT *, count(*) OVER g AS copies, min(label) OVER g <> max(label) OVER g AS conflicting,
+         row_number() OVER (PARTITION BY content_hash ORDER BY pool_rank, source_index) AS rn
+  FROM pooled WINDOW g AS (PARTITION BY content_hash)
+),
+kept AS (
+  SELECT source_split, source_index, pool_rank, label, content_hash FROM dedup WHERE rn = 1 AND NOT conflicting
+)
+"""
+
 DOCS_SQL = f"""
 docs AS (
   SELECT d.doc_id,
@@ -146,15 +157,7 @@ pooled AS (
          CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END AS pool_rank
   FROM docs
 ),
-dedup AS (
-  SELECT *, count(*) OVER g AS copies, min(label) OVER g <> max(label) OVER g AS conflicting,
-         row_number() OVER (PARTITION BY content_hash ORDER BY pool_rank, source_index) AS rn
-  FROM pooled WINDOW g AS (PARTITION BY content_hash)
-),
-kept AS (
-  SELECT source_split, source_index, pool_rank, label, content_hash FROM dedup WHERE rn = 1 AND NOT conflicting
-)
-"""
+""" + KEPT_SQL
 
 
 def doc_qc(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,16 +246,21 @@ def build_catalog(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return sources, content
 
 
-_stored: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def catalog_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The stored catalog of a folder, ingested on first use in a session.
+    """The stored catalog of a folder, ingested on first use in a session and again when its tables change.
 
     Browsing reads tables that an ingest left in the shared folder; ingest
     itself is what ``build_catalog`` and the ingest queries measure.
     """
-    key = (spark.sparkContext.applicationId, folder)
+    state = table(spark, folder, "documents").select(F.lit("documents").alias("name"), "_metadata").unionByName(
+        table(spark, folder, "labels").select(F.lit("labels").alias("name"), "_metadata")
+    ).groupBy("name").agg(  # one row per table: files, bytes, newest change
+        F.count_distinct("_metadata.file_path"), F.sum("_metadata.file_size"), F.max("_metadata.file_modification_time"),
+    )
+    key = (spark.sparkContext.applicationId, folder, tuple(sorted(map(tuple, state.collect()))))
     if key not in _stored:
         _stored[key] = build_catalog(spark, folder)
     return _stored[key]

@@ -9,12 +9,22 @@ from sievemark import schemas as S
 from sievemark.operators import attribution, checks, metrics, models, splits
 from sievemark.operators.dedup import pool_splits
 from sievemark.plans import given
+from sievemark.plans.curation import ASSIGN_STEPS
 from sievemark.plans.registry import query
 from sievemark.session import materialize, scratch_path
 from sievemark.sources import sinks
 
 SAMPLES = "WITH " + given.SAMPLES_SQL
 
+# Deduplicated vectors under their assigned split.
+TRAINING_SQL = SAMPLES + """,
+pooled AS (
+  SELECT split AS source_split, split_index AS source_index, label, content_hash,
+         CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END AS pool_rank
+  FROM indexed
+),
+""" + given.KEPT_SQL + ASSIGN_STEPS
+
 MOMENTS_SQL = """
 cells AS (SELECT vec_id, split, label, generate_subscripts(vec, 1) - 1 AS feature, unnest(vec) AS x FROM samples),
 moments AS (SELECT feature, avg(x) AS mean, stddev_pop(x) AS scale FROM cells WHERE split = 'train' GROUP BY feature)
@@ -151,63 +161,109 @@ def sink_pixel_long(spark, folder):
     )
 
 
-@query("check_additivity", sql=CENTROID_SQL + "SELECT vec_id FROM margins WHERE margin IS NULL")
+@query("check_additivity", sql=CENTROID_SQL + "SELECT vec_id FROM margins WHERE vec_id % 13 = 0 OR vec_id % 17 = 0")
 def check_additivity(spark, folder):
-    return checks.check_additivity(explained(spark, folder)).select("vec_id")
+    """Every 13th margin and every 17th probability is shifted."""
+    i = F.col("vec_id")
+    rows = explained(spark, folder).withColumns({
+        "margin": F.when(i % 13 == 0, F.col("margin") + 0.001).otherwise(F.col("margin")),
+        "probability": F.when(i % 17 == 0, F.col("probability") + 0.001).otherwise(F.col("probability")),
+    })
+    return checks.check_additivity(rows).select("vec_id")
+
+
+# --- Fitted with MLlib: SQL states which rows are tested and what any fit must satisfy ---
+
+def fitted_sql(model: str, better: str = ">") -> str:
+    return TRAINING_SQL + f"""
+SELECT '{model}' AS model, count(*) FILTER (WHERE label = 0) AS test_negatives,
+       count(*) FILTER (WHERE label = 1) AS test_positives, true AS "train_auc{better}0.5", true AS metrics_agree
+FROM assigned WHERE assigned_split = 'test'
+"""
 
 
-# --- Fitted with MLlib: checked by invariants in the tests -----------------------
+def fitted_summary(rows, model, better: str = ">"):
+    """Test rows by class from the confusion matrix, whether the fit beats chance on the rows it was
+    fitted to, and whether the reported accuracy is that of the matrix."""
+    result = materialize(models.evaluate(rows, model), "result")
+    matrix = metrics.confusion_matrix(model.score(rows.where("assigned_split = 'test'")), result.select("threshold"))
+    total = F.col("predicted_0") + F.col("predicted_1")
+    right = F.when(F.col("actual") == 0, F.col("predicted_0")).otherwise(F.col("predicted_1"))
+    counted = matrix.agg(
+        F.sum(F.when(F.col("actual") == 0, total)).alias("test_negatives"),
+        F.sum(F.when(F.col("actual") == 1, total)).alias("test_positives"), (F.sum(right) / F.sum(total)).alias("share"),
+    )
+    auc = metrics.auc_rank(model.score(rows.where("assigned_split = 'train'"))).select(F.col("auc").alias("train_auc"))
+    one = lambda df: F.broadcast(df.withColumn("_one", F.lit(1)))
+    beats = F.col("train_auc") > 0.5 if better == ">" else F.col("train_auc") >= 0.5
+    return result.select("model", "accuracy").withColumn("_one", F.lit(1)).join(one(counted), "_one").join(one(auc), "_one").select(
+        "model", "test_negatives", "test_positives", beats.alias(f"train_auc{better}0.5"),
+        (F.abs(F.col("accuracy") - F.col("share")) < 1e-12).alias("metrics_agree"),
+    )
+
 
-@query("fit_logistic")
+@query("fit_logistic", sql=fitted_sql("logistic"))
 def fit_logistic(spark, folder):
     rows = training_samples(spark, folder)
-    model = models.fit_logistic(rows.where("assigned_split = 'train'"), C=0.1)
-    return models.evaluate(rows, model)
+    return fitted_summary(rows, models.fit_logistic(rows.where("assigned_split = 'train'"), C=0.1))
 
 
-@query("fit_margin")
+@query("fit_margin", sql=fitted_sql("svm"))
 def fit_margin(spark, folder):
     rows = training_samples(spark, folder)
-    model = models.fit_margin(rows.where("assigned_split = 'train'"))
-    return models.evaluate(rows, model)
+    return fitted_summary(rows, models.fit_margin(rows.where("assigned_split = 'train'")))
 
 
-@query("fit_boosted")
+@query("fit_boosted", sql=fitted_sql("xgboost"))
 def fit_boosted(spark, folder):
     rows = training_samples(spark, folder)
-    model = models.fit_boosted(rows.where("assigned_split = 'train'"), n_estimators=10, max_depth=3)
-    return models.evaluate(rows, model)
+    return fitted_summary(rows, models.fit_boosted(rows.where("assigned_split = 'train'"), n_estimators=10, max_depth=3))
 
 
-@query("tune_and_fit")
+# A tuned model may have no weights left, which scores every row alike.
+@query("tune_and_fit", sql=fitted_sql("logistic", ">="))
 def tune_and_fit(spark, folder):
     rows = training_samples(spark, folder)
-    tuning = models.tune_and_fit(rows, "logistic")
-    return models.evaluate(rows, tuning.model).withColumn("tuning_roc_auc", F.lit(tuning.score))
+    return fitted_summary(rows, models.tune_and_fit(rows, "logistic").model, ">=")
 
 
-@query("search_results")
+@query("search_results", sql=TRAINING_SQL + """
+SELECT setting, true AS scored, (SELECT count(*) FROM assigned WHERE assigned_split = 'train') AS train_rows
+FROM (VALUES ('{"C": 0.001, "class_weight": null, "penalty": "l1"}'), ('{"C": 0.03, "class_weight": "balanced", "penalty": "l1"}'),
+             ('{"C": 0.001, "class_weight": null, "penalty": "l2"}')) s(setting)
+""")
 def search_results(spark, folder):
-    tuning = models.tune_and_fit(training_samples(spark, folder), "logistic", use_cv=True, n_iter=3)
-    return models.search_results(spark, tuning).drop("mean_fit_time")
+    rows = training_samples(spark, folder)
+    tuning = models.tune_and_fit(rows, "logistic", use_cv=True, n_iter=3)
+    train_rows = F.lit(rows.where("assigned_split = 'train'").count())
+    return models.search_results(spark, tuning).select(
+        "setting", F.col("mean_test_score").between(0.0, 1.0).alias("scored"), train_rows.alias("train_rows"))
 
 
-@query("tree_attribution")
+@query("tree_attribution", sql=TRAINING_SQL + """
+SELECT vec_id, true AS additive FROM assigned a JOIN indexed i ON i.split = a.source_split AND i.split_index = a.source_index
+""")
 def tree_attribution(spark, folder):
     rows = training_samples(spark, folder)
     model = models.fit_boosted(rows.where("assigned_split = 'train'"), n_estimators=10, max_depth=3)
     out = attribution.explain_trees(rows, model, scratch_path(spark, "trees"), key="vec_id")
-    return out.select("vec_id", F.round("margin", 6).alias("margin"), F.round("probability", 6).alias("probability"),
-                      (F.abs("residual") < 1e-8).alias("additive"))
+    return out.select("vec_id", (F.abs("residual") < 1e-8).alias("additive"))
 
 
-@query("sink_model_metrics")
+@query("sink_model_metrics", sql=TRAINING_SQL + """
+SELECT 'logistic' AS model, run_id, label AS actual, count(*) AS n FROM assigned, (VALUES ('run-1'), ('run-2')) r(run_id)
+WHERE assigned_split = 'test' GROUP BY run_id, label
+""")
 def sink_model_metrics(spark, folder):
+    """Two runs of one model appended to the same tables."""
     rows = training_samples(spark, folder)
-    model = models.fit_logistic(rows.where("assigned_split = 'train'"), C=0.1)
-    scored = model.score(rows.where("assigned_split = 'test'"))
     path = scratch_path(spark, "metrics")
-    result = models.evaluate(rows, model)
-    matrix = metrics.confusion_matrix(scored, result.select("threshold"))
-    sinks.sink_model_metrics(result, matrix.withColumn("model", F.lit(model.name)), path)
-    return spark.read.parquet(f"{path}/confusion")
+    for i, strength in enumerate((0.1, 1.0), start=1):
+        model = models.fit_logistic(rows.where("assigned_split = 'train'"), C=strength)
+        run = {"run_id": F.lit(f"run-{i}"), "logged_at": F.timestamp_seconds(F.lit(1704067200 + i))}
+        result = materialize(models.evaluate(rows, model).withColumns(run), "result")
+        scored = model.score(rows.where("assigned_split = 'test'"))
+        matrix = metrics.confusion_matrix(scored, result.select("threshold"))
+        sinks.sink_model_metrics(result, matrix.withColumns({"model": F.lit(model.name), **run}), path)
+    return spark.read.parquet(f"{path}/confusion").select(
+        "model", "run_id", "actual", (F.col("predicted_0") + F.col("predicted_1")).alias("n"))

@@ -8,7 +8,7 @@ from sievemark import schemas as S
 from sievemark.functions import identity, labels, vectors
 from sievemark.operators import checks, dedup
 from sievemark.operators.catalog import field_value_rows, json_fields
-from sievemark.operators.metadata import INLINE_PEERS
+from sievemark.operators.metadata import add_duplicate_flags, duplicate_peers
 from sievemark.operators.ranking import index_rank
 from sievemark.plans import given
 from sievemark.plans.registry import query
@@ -112,7 +112,7 @@ def lookup_sample(spark, folder):
 
 @query("sink_metadata_table", sql=METADATA + """
 SELECT record_id, split, split_index, label, width, height, round(mean_value, 6) AS mean_value,
-       round(std_value, 6) AS std_value, content_hash, low_variance_flag, duplicate_count, duplicate_ids,
+       round(std_value, 6) AS std_value, content_hash, low_variance_flag, duplicate_count,
        cross_split_duplicate_flag FROM qc
 """)
 def sink_metadata_table(spark, folder):
@@ -121,7 +121,7 @@ def sink_metadata_table(spark, folder):
         "record_id", "split", "split_index", "label", F.col("width").cast("int").alias("width"),
         F.col("height").cast("int").alias("height"), F.round("mean_value", 6).alias("mean_value"),
         F.round("std_value", 6).alias("std_value"), "content_hash", "low_variance_flag", "duplicate_count",
-        F.array_join("duplicate_ids", ",").alias("duplicate_ids"), "cross_split_duplicate_flag",
+        "cross_split_duplicate_flag",
     )
 
 
@@ -198,9 +198,17 @@ def vector_stats(spark, folder):
     )
 
 
-@query("to_gray2d", sql=SAMPLES + "SELECT vec_id FROM samples WHERE len(vec) <> 64")
+@query("to_gray2d", sql=SAMPLES + "SELECT vec_id FROM samples WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0")
 def to_gray2d(spark, folder):
-    return checks.check_vectors(given.samples(spark, folder), given.WIDTH * given.HEIGHT).select("vec_id")
+    """Every 7th vector is one element short, every 11th has a NaN and every 13th is missing."""
+    size = given.WIDTH * given.HEIGHT
+    i = F.col("vec_id")
+    vec = (
+        F.when(i % 7 == 0, F.slice("vec", 1, size - 1))
+        .when(i % 11 == 0, F.concat(F.slice("vec", 1, size - 1), F.array(F.lit(float("nan")))))
+        .when(i % 13 != 0, F.col("vec"))
+    )
+    return checks.check_vectors(given.samples(spark, folder).withColumn("vec", vec), size).select("vec_id")
 
 
 @query("flatten_features", sql=SAMPLES + """
@@ -312,12 +320,18 @@ def model_version(spark, folder):
 
 
 @query("field_value_rows", sql=CATALOG + """
-SELECT path AS record_key, unnest(['filename', 'file size', 'width', 'error']) AS field,
+SELECT path AS record_key, unnest(['filename', 'file size', 'width', 'error', 'megapixels', 'tiny', 'huge']) AS field,
        unnest([filename, coalesce(CAST(file_size AS VARCHAR), '—'), coalesce(CAST(width AS VARCHAR), '—'),
-               coalesce(error, '—')]) AS value FROM catalog
+               coalesce(error, '—'), coalesce(printf('%.6g', CAST(megapixels AS DOUBLE)), '—'),
+               coalesce(printf('%.6g', CAST(width AS DOUBLE) / 9999991), '—'),
+               coalesce(printf('%.6g', CAST(file_size AS DOUBLE) * 1234567.1), '—')]) AS value FROM catalog
 """)
 def field_value_rows_query(spark, folder):
-    shown = given.catalog(spark, folder).select("path", "filename", "file_size", "width", "error")
+    shown = given.catalog(spark, folder).select(
+        "path", "filename", "file_size", "width", "error", "megapixels",
+        (F.col("width").cast("double") / F.lit(9999991.0)).alias("tiny"),
+        (F.col("file_size").cast("double") * F.lit(1234567.1)).alias("huge"),
+    )
     return field_value_rows(shown, "path").where("field <> 'path'")
 
 
@@ -337,10 +351,17 @@ def check_labels(spark, folder):
 
 
 @query("check_dimensions", sql=BATCH + """
-SELECT path FROM batch WHERE content_id IS NULL OR broken OR w <> 100 OR h <> 100
+SELECT path FROM batch WHERE (doc_id % 3 = 0 AND (content_id IS NULL OR broken OR w <> 100))
+                         OR (doc_id % 5 = 0 AND (content_id IS NULL OR broken OR h <> 100))
 """)
 def check_dimensions(spark, folder):
-    return checks.check_dimensions(given.batch(spark, folder), 100, 100).select("path")
+    """Documents resized to 100 x 100, but every 3rd kept its width and every 5th its height."""
+    i = F.col("doc_id")
+    rows = given.batch(spark, folder).withColumns({
+        "width": F.when(i % 3 == 0, F.col("width")).otherwise(100),
+        "height": F.when(i % 5 == 0, F.col("height")).otherwise(100),
+    })
+    return checks.check_dimensions(rows, 100, 100).select("path")
 
 
 @query("check_missing_nonfinite", sql="""
@@ -353,14 +374,42 @@ def check_missing_nonfinite(spark, folder):
     return checks.check_missing_nonfinite(given.docs(spark, folder))
 
 
-@query("check_row_schema", sql=METADATA + "SELECT record_id, '' AS broken_rules FROM metadata WHERE std_value < 0")
+@query("check_row_schema", sql=METADATA + """
+SELECT record_id, concat_ws(',', CASE WHEN split_index % 17 = 0 THEN 'width' END,
+                            CASE WHEN split_index % 13 = 0 THEN 'std_value' END,
+                            CASE WHEN split_index % 11 = 0 THEN 'content_hash' END) AS broken_rules
+FROM metadata WHERE split_index % 17 = 0 OR split_index % 13 = 0 OR split_index % 11 = 0
+""")
 def check_row_schema(spark, folder):
-    return checks.check_row_schema(given.stored_metadata(spark, folder))
-
-
-@query("check_peer_ids", sql=METADATA + "SELECT record_id, duplicate_count, '' AS problem FROM qc WHERE duplicate_count < 1")
+    """Every 17th row lost its width, every 13th has a negative deviation, every 11th an upper-case hash."""
+    i = F.col("split_index")
+    rows = given.stored_metadata(spark, folder).withColumns({
+        "width": F.when(i % 17 != 0, F.col("width")),
+        "std_value": F.when(i % 13 == 0, -F.col("std_value") - 1).otherwise(F.col("std_value")),
+        "content_hash": F.when(i % 11 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")),
+    })
+    return checks.check_row_schema(rows)
+
+
+@query("check_peer_ids", sql=DOCS + f""",
+rows AS (
+  SELECT {given.uuid_sql('split', 'split_index', 'content_hash')} AS record_id, doc_id, content_hash,
+         count(*) OVER (PARTITION BY content_hash) AS n,
+         count(*) FILTER (WHERE doc_id % 7 <> 0) OVER (PARTITION BY content_hash)
+           + count(*) FILTER (WHERE doc_id % 11 = 0 AND doc_id % 7 <> 0) OVER (PARTITION BY content_hash) AS listed
+  FROM docs
+)
+SELECT content_hash, record_id, CASE WHEN doc_id % 7 = 0 THEN 'own id missing' ELSE 'repeated peer' END AS problem
+FROM rows WHERE n > 1 AND (doc_id % 7 = 0 OR doc_id % 11 = 0)
+UNION ALL SELECT DISTINCT content_hash, NULL, 'wrong number of peers' FROM rows WHERE n > 1 AND listed <> n
+""")
 def check_peer_ids(spark, folder):
-    return checks.check_peer_ids(given.qc_metadata(spark, folder), INLINE_PEERS)
+    """Document groups whose member table lost every 7th document and lists every 11th twice."""
+    rows = add_duplicate_flags(given.docs(spark, folder))
+    peers = duplicate_peers(given.docs(spark, folder)).join(
+        rows.select(F.col("record_id").alias("peer_id"), "split_index"), "peer_id")
+    kept = peers.where("split_index % 7 <> 0")
+    return checks.check_peer_ids(rows, kept.unionByName(kept.where("split_index % 11 = 0")))
 
 
 @query("check_lengths", sql=DOCS + """
@@ -378,11 +427,9 @@ def check_scores(spark, folder):
     return checks.check_scores(given.catalog(spark, folder)).select("path")
 
 
-@query("check_one_to_one", sql="""
-SELECT url, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1
-""")
+@query("check_one_to_one", sql="SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def check_one_to_one(spark, folder):
-    return checks.check_unique(given.table(spark, folder, "pages"), ["url"])
+    return checks.check_unique(given.table(spark, folder, "documents"), ["text"])
 
 
 @query("missing_required", sql="""

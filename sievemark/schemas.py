@@ -77,6 +77,7 @@ SAMPLES = T.StructType([
 MODEL_METRICS = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("run_id", T.StringType()),
+    T.StructField("logged_at", T.TimestampType()),
     T.StructField("threshold", T.DoubleType()),
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("balanced_accuracy", T.DoubleType()),

@@ -70,6 +70,10 @@ def sink_pixel_long(pixels: DataFrame, path: str) -> None:
 
 
 def sink_model_metrics(metrics: DataFrame, matrix: DataFrame, folder: str) -> None:
-    """Append one run's metric row and 2x2 matrix."""
+    """Append one run's metric row and 2x2 matrix; both carry model, run_id and logged_at."""
+    for name, table in (("model_metrics", metrics), ("confusion", matrix)):
+        missing = {"model", "run_id", "logged_at"} - set(table.columns)
+        if missing:
+            raise ValueError(f"{name} lacks {sorted(missing)}")
     metrics.write.mode("append").parquet(f"{folder}/model_metrics")
     matrix.write.mode("append").parquet(f"{folder}/confusion")

@@ -31,15 +31,20 @@ def get_sample(samples: DataFrame, split: str, index: int):
     return row
 
 
-def model_metric(metrics: DataFrame, column: str, missing: str = "error") -> DataFrame:
-    """One named metric per model in one row each.
+def model_metric(metrics: DataFrame, column: str, missing: str = "error", run_id: str | None = None) -> DataFrame:
+    """One named metric per model in one row each: of its latest run, or of ``run_id``.
 
     ``missing`` decides what an absent value becomes: ``error``, ``null``, or
     ``half`` (0.5, the default threshold).
     """
     if missing not in ("error", "null", "half"):
         raise ValueError(f"unknown policy {missing!r}")
-    found = F.max(column) if column in metrics.columns else F.lit(None).cast("double")
+    if run_id is not None:
+        metrics = metrics.where(F.col("run_id") == run_id)
+    found = (
+        F.max_by(column, F.struct("logged_at", "run_id")) if column in metrics.columns
+        else F.max(F.lit(None).cast("double"))
+    )
     out = metrics.groupBy("model").agg(found.alias(column))
     value: Column = F.col(column)
     if missing == "half":

@@ -308,6 +308,12 @@ def test_readable_fields(spark):
                    "small": "0.000333333"}
 
 
+@pytest.mark.parametrize("value", [0.0, 1e-13, 1.5e-7, 1234567.0, 999999.5, 1e30, -2.5e-5, 100000.0, 0.0001, 3.0, float("inf"), float("-inf")])
+def test_six_digits(spark, value):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(catalog.six_digits(F.col("v"))).first()[0] == f"{value:.6g}"
+
+
 def test_bad_json_gives_no_fields(spark):
     df = spark.createDataFrame([("a", '{"k_x": "1", "e": ""}'), ("b", "{broken"), ("c", None)], "path string, exif string")
     got = {(r["record_key"], r["field"], r["value"]) for r in catalog.json_fields(df, "path", "exif").collect()}

@@ -247,7 +247,8 @@ def test_train_select_predict_explain(spark, rows):
     with pytest.raises(RuntimeError):
         flows.predict(data, manifest, stored, {}, table, f"{folder}/none", ["svm"])
     identified = rows.drop("assigned_split")
-    explained = flows.explain(identified.where("record_id = 'r001'"), tuning.model, row["threshold"], f"{folder}/explain", 2)
+    explained = flows.explain(identified.where("record_id = 'r001'"), tuning.model, row["threshold"], f"{folder}/explain", 2,
+                              save_pixels=True)
     assert explained.count() == 1 and spark.read.option("header", True).csv(f"{folder}/explain/pixels").count() == 4
     flows.explain(identified, boosted, 0.5, f"{folder}/explain-trees", 2)
     with pytest.raises(ValueError):

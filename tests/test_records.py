@@ -103,22 +103,24 @@ def test_bad_vectors_raise(spark, samples):
             metadata.extract_metadata(df, size, size, identity.dataset_namespace("x")).collect()
 
 
-def test_long_conflict_groups_are_written_as_runs(spark):
+def test_conflict_groups_are_written_as_runs(spark):
     rows = spark.createDataFrame(
-        [("h", i % 2, "train", True) for i in range(9)], "content_hash string, label int, split string, exact_duplicate_flag boolean")
-    full = analysis.duplicate_label_conflicts(rows).first()
-    assert full["labels"] == "0, 0, 0, 0, 0, 1, 1, 1, 1" and full["record_count"] == 9
-    assert analysis.duplicate_label_conflicts(rows, expanded=5).first()["labels"] == "0 x5, 1 x4"
+        [("h", i % 2, "val" if i == 8 else "train") for i in range(9)] + [("u", 1, "train"), ("u", None, "test")],
+        "content_hash string, label int, split string")
+    only = analysis.duplicate_label_conflicts(rows).collect()
+    assert [(r["labels"], r["splits"], r["record_count"]) for r in only] == [("0 x5, 1 x4", "train x8, val x1", 9)]
 
 
 def test_peer_checks_find_every_defect(spark):
-    rows = spark.createDataFrame([
-        ("a", 1, ["a"]), ("b", 2, ["x", "y"]), ("c", 3, ["c", "d"]), ("d", 2, ["d", "d"]), ("e", 2, None), ("f", 1, []),
-        ("g", 5000, None), ("h", 2, ["h", "i"]),
-    ], "record_id string, duplicate_count bigint, duplicate_ids array<string>")
-    found = {r["record_id"]: r["problem"] for r in checks.check_peer_ids(rows, 1000).collect()}
-    assert found == {"a": "peers without duplicates", "b": "own id missing", "c": "wrong number of peers",
-                     "d": "repeated peer", "e": "peers missing"}
+    rows = spark.createDataFrame(
+        [("A", "a", 1), ("B", "b", 2), ("B", "b2", 2), ("C", "c", 2), ("C", "c2", 2), ("D", "d", 1), ("E", "e", 2), ("E", "e2", 2)],
+        "content_hash string, record_id string, duplicate_count bigint")
+    peers = spark.createDataFrame(
+        [("A", "a"), ("B", "b"), ("B", "x"), ("C", "c"), ("C", "c"), ("C", "c2"), ("E", "e"), ("E", "e2")],
+        "content_hash string, peer_id string")
+    found = sorted((r["content_hash"], r["record_id"] or "", r["problem"]) for r in checks.check_peer_ids(rows, peers).collect())
+    assert found == [("A", "a", "peers without duplicates"), ("B", "b2", "own id missing"), ("B", "x", "not a record of the group"),
+                     ("C", "", "wrong number of peers"), ("C", "c", "repeated peer")]
 
 
 def test_row_schema_check(spark):
@@ -170,12 +172,18 @@ def test_active_model(spark):
 
 
 def test_metric_policies(spark):
-    df = spark.createDataFrame([("a", 0.3), ("b", None)], "model string, threshold double")
+    df = spark.createDataFrame(
+        [("a", "r1", 1, 0.9), ("a", "r2", 2, 0.3), ("b", "r1", 1, 0.7), ("b", "r2", 2, None)],
+        "model string, run_id string, logged_at int, threshold double")
     half = {r["model"]: r["threshold"] for r in tables.model_metric(df, "threshold", "half").collect()}
     assert half == {"a": 0.3, "b": 0.5}
+    first = {r["model"]: r["threshold"] for r in tables.model_metric(df, "threshold", run_id="r1").collect()}
+    assert first == {"a": 0.9, "b": 0.7}
     assert tables.model_metric(df, "absent", "null").where("absent is not null").count() == 0
     with pytest.raises(Exception, match="no threshold for model b"):
         tables.model_metric(df, "threshold").collect()
+    with pytest.raises(ValueError, match="run_id"):
+        sinks.sink_model_metrics(df.drop("run_id"), df, scratch_path(spark, "m"))
 
 
 def test_lookup(spark, samples):
