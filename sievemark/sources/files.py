@@ -34,8 +34,8 @@ def scan_file_tree(spark: SparkSession, directory: str) -> DataFrame:
 def scan_bounded(spark: SparkSession, directory: str, limit: int = S.MAX_FILE_BYTES) -> DataFrame:
     """Files up to ``limit`` bytes with content; larger ones as failed rows without it.
 
-    The size test is pushed into the file scan, so the bytes of a large file
-    are never read.
+    The size test is pushed into the file scan, so this reader never reads the
+    bytes of a large file; decoding images does, in its own scan.
     """
     files = scan_file_tree(spark, directory)
     small = files.where(F.col("length") <= limit).select(
@@ -43,7 +43,7 @@ def scan_bounded(spark: SparkSession, directory: str, limit: int = S.MAX_FILE_BY
     )
     large = files.where(F.col("length") > limit).select(
         "path", "filename", "file_key", "length", F.lit(None).cast("binary").alias("content"),
-        F.lit("File exceeds 25 MiB").alias("read_error"),
+        F.lit(f"File exceeds {limit / 2**20:g} MiB").alias("read_error"),
     )
     return small.unionByName(large)
 
@@ -89,10 +89,17 @@ def gray_features(pixels: Column, size: int) -> Column:
 
 def file_batch(spark: SparkSession, directory: str, feature_count: int = 784) -> DataFrame:
     """An ingest batch of a directory: bytes, digests and what decoding gave."""
-    files = scan_bounded(spark, directory)
-    images = scan_decoded_images(spark, directory)
+    # Digest, format and features are taken in the scans: the join moves neither bytes nor pixels.
+    files = scan_bounded(spark, directory).select(
+        "path", "filename", "file_key", "length", "read_error", F.sha2("content", 256).alias("content_id"),
+        sniffed_format(F.col("content")).alias("sniffed"),
+    )
+    images = scan_decoded_images(spark, directory).select(
+        "file_key", "width", "height", "color_mode", "decode_error",
+        gray_features(F.col("pixels"), feature_count).alias("features"),
+    )
     readable = F.col("read_error").isNull()
-    fmt = sniffed_format(F.col("content"))
+    fmt = F.col("sniffed")
     too_large = F.col("width") * F.col("height") > S.MAX_PIXELS
     problem = (
         F.when(F.col("decode_error").isNotNull() | F.col("width").isNull(),
@@ -100,18 +107,18 @@ def file_batch(spark: SparkSession, directory: str, feature_count: int = 784) ->
         .when(too_large, "Image exceeds 25 million pixels")
         .when(fmt.isNull(), "Unsupported decoded format")
     )
-    joined = files.join(images.drop("path"), "file_key", "left")
+    joined = files.join(images, "file_key", "left")
     good = readable & problem.isNull()
     return joined.select(
         "path", "filename",
-        F.when(readable, F.sha2("content", 256)).alias("content_id"),
+        F.when(readable, F.col("content_id")).alias("content_id"),
         F.col("length").alias("file_size"),
         F.when(good, fmt).alias("format"),
         F.when(good, F.col("width")).alias("width"),
         F.when(good, F.col("height")).alias("height"),
         F.when(good, F.col("color_mode")).alias("color_mode"),
         F.when(good, F.lit("{}")).alias("exif"),
-        F.when(good, gray_features(F.col("pixels"), feature_count)).alias("features"),
+        F.when(good, F.col("features")).alias("features"),
         F.when(readable, problem).alias("decode_error"),
         F.lit(None).cast("string").alias("split"), F.lit(None).cast("long").alias("label"),
         F.current_timestamp().alias("seen_at"), "read_error",
