@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 import hashlib
 import itertools
 import json
@@ -12,7 +12,7 @@ import time
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -194,6 +194,43 @@ def model_version(model, threshold: float) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+# --- Storing --------------------------------------------------------------------
+
+def save_model(model, threshold: float, path: str, spark) -> None:
+    """Write a fitted model and its threshold below ``path``, replacing what is there.
+
+    Numbers of the linear models go into one JSON row, which keeps every
+    digit; trees are stored by MLlib itself.
+    """
+    if isinstance(model, BoostedModel):
+        model.fitted.write().overwrite().save(f"{path}/trees")
+        numbers = {}
+    else:
+        numbers = asdict(model)
+    row = (model.name, float(threshold), model_version(model, threshold), json.dumps(numbers))
+    stored = spark.createDataFrame([row], "name string, threshold double, version string, numbers string")
+    stored.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def _tuples(value):
+    return tuple(map(_tuples, value)) if isinstance(value, list) else value
+
+
+def load_model(spark, path: str) -> tuple[object, float]:
+    """A stored model and its threshold; one that differs from what was stored is an error."""
+    row = spark.read.parquet(f"{path}/model").first()
+    numbers = {k: _tuples(v) for k, v in json.loads(row["numbers"]).items() if k != "standardizer"}
+    if row["name"] == "xgboost":
+        model = BoostedModel(GBTClassificationModel.load(f"{path}/trees"))
+    else:
+        scaler = json.loads(row["numbers"])["standardizer"]
+        scaler = Standardizer(**{k: _tuples(v) for k, v in scaler.items()})
+        model = {"logistic": LogisticModel, "svm": MarginModel}[row["name"]](standardizer=scaler, **numbers)
+    if model_version(model, row["threshold"]) != row["version"]:
+        raise ValueError(f"the model at {path} is not the one that was stored")
+    return model, row["threshold"]
+
+
 # --- Fitting -------------------------------------------------------------------
 
 def fit_logistic(train: DataFrame, *, C: float = 1.0, penalty: str = "l2", class_weight: str | None = None,

@@ -261,6 +261,18 @@ def test_augmented_training_leaves_other_splits_alone(spark, rows):
     assert result.count() == 1
 
 
+def test_stored_models_score_alike(spark, rows):
+    train = rows.where("assigned_split = 'train'")
+    for model in (models.fit_logistic(train), models.fit_margin(train, features=16),
+                  models.fit_boosted(train, n_estimators=3, max_depth=2)):
+        path = scratch_path(spark, "model")
+        models.save_model(model, 0.25, path, spark)
+        loaded, threshold = models.load_model(spark, path)
+        assert threshold == 0.25 and models.model_version(loaded, 0.25) == models.model_version(model, 0.25)
+        before, after = ([r["score"] for r in m.score(rows).orderBy("record_id").collect()] for m in (model, loaded))
+        assert before == after
+
+
 def test_disagreements(spark):
     df = spark.createDataFrame(
         [("a", 1, 1), ("a", 0, 1), ("b", 1, 1), ("b", 1, 1), ("c", 0, 0)], "record_id string, predicted_label int, label int")
