@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sievemark import schemas as S
 from sievemark.functions.labels import split_rank
 
+INDEX_BITS = 56
+
 
 def check_policy(policy: str) -> None:
     if policy not in S.LABEL_CONFLICT_POLICIES:
@@ -32,19 +34,31 @@ def dedup_groups(pooled: DataFrame) -> DataFrame:
     """One row per content hash: its first record in pool order and its label spread.
 
     Everything is a map-side combined min/max/count, so no task sees a whole
-    group however many copies a hash has.
+    group however many copies a hash has. Pool rank and index (from 0, below
+    2^56) are packed into one number, and splits travel as ranks, so that
+    the aggregate hashes and does not sort. A record of another split than
+    train, val or test is an error.
     """
-    first = F.min(F.struct("pool_rank", "source_index", "source_split", "label"))
+    place = F.shiftleft(F.col("pool_rank").cast("long"), INDEX_BITS).bitwiseOR(F.col("source_index").cast("long"))
+    known = F.when(F.col("source_split").isin(*S.MODEL_SPLITS), place).otherwise(
+        F.raise_error(F.concat(F.lit("unknown split "), F.coalesce("source_split", F.lit("NULL")))).cast("long")
+    )
+    label = pooled.schema["label"].dataType
+    index = pooled.schema["source_index"].dataType
+    rank = F.shiftright("first", INDEX_BITS).cast("int")
     return (
-        pooled.groupBy("content_hash")
+        pooled.withColumn("_place", known).groupBy("content_hash")
         .agg(
             F.count(F.lit(1)).alias("copies"),
             (F.min("label") != F.max("label")).alias("conflicting"),
-            first.alias("first"),
+            F.min("_place").alias("first"),
+            F.min_by("label", "_place").alias("label"),
         )
         .select(
             "content_hash", "copies", F.coalesce("conflicting", F.lit(False)).alias("conflicting"),
-            "first.source_split", "first.source_index", "first.label", "first.pool_rank",
+            F.element_at(F.array(*[F.lit(s) for s in S.MODEL_SPLITS]), rank).alias("source_split"),
+            F.col("first").bitwiseAND(F.lit((1 << INDEX_BITS) - 1)).cast(index).alias("source_index"),
+            F.col("label").cast(label).alias("label"), rank.alias("pool_rank"),
         )
     )
 

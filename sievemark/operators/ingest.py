@@ -20,6 +20,7 @@ from sievemark.functions.labels import file_extension, geometry, score_and_decid
 from sievemark.functions.vectors import is_finite
 from sievemark.operators.catalog import copies
 from sievemark.operators.skew import HOT_ROWS, attach_group_values
+from sievemark.session import materialize
 
 # A batch row: one source file or record, with what decoding its bytes gave.
 BATCH_COLUMNS = [
@@ -203,10 +204,12 @@ def merge_sources(
     batch.  A path that could not be read keeps its old name, split and label.
     """
     columns = ["filename", "content_id", "split", "label", "source_status", "source_error", "expected_format"]
-    verdicts = (
+    # Copies, their formats and the rows themselves all read the verdicts: they are reduced and written once.
+    verdicts = materialize(
         classify_sources(batch).groupBy("path")
         .agg(F.max(F.struct("seen_at", *columns)).alias("s"))
-        .select("path", "s.*")
+        .select("path", "s.*"),
+        "verdicts",
     )
     formats = copies(verdicts).join(content_formats.select("content_id", "format"), "content_id", "left")
     joined = attach_group_values(

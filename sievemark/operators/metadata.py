@@ -51,12 +51,14 @@ def extract_metadata(samples: DataFrame, width: int, height: int, namespace: uui
 def hash_groups(rows: DataFrame, key: str = "content_hash") -> DataFrame:
     """One row per content hash: size and whether it spans splits.
 
-    Two splits differ exactly when min and max differ, which combines on the
-    map side, so a hot hash sends one row per task.
+    Splits differ when the smallest and largest of their 64-bit hashes do,
+    which combines on the map side in a hash aggregate, so a hot hash sends
+    one row per task. NULL splits do not count.
     """
+    split = F.when(F.col("split").isNotNull(), F.xxhash64("split"))
     return rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("duplicate_count"),
-        (F.min("split") != F.max("split")).alias("cross_split_duplicate_flag"),
+        (F.min(split) != F.max(split)).alias("cross_split_duplicate_flag"),
     )
 
 

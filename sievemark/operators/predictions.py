@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,11 @@ def parse_model_list(value: str, known=S.MODEL_NAMES) -> list[str]:
     return names
 
 
-def join_manifest_metadata(manifest: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Manifest rows with their metadata identity, left joined on the source coordinates."""
+def join_manifest_metadata(manifest: DataFrame, metadata: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Manifest rows with their metadata identity, and the columns ``also``, left joined on the source coordinates."""
     known = metadata.select(
         F.col("split").alias("source_split"), F.col("split_index").alias("source_index"),
-        "record_id", F.col("label").alias("stored_label"), F.col("content_hash").alias("stored_hash"),
+        "record_id", F.col("label").alias("stored_label"), F.col("content_hash").alias("stored_hash"), *also,
     )
     return manifest.join(known, KEYS, "left")
 

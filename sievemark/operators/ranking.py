@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from sievemark.session import materialize
 
 HASH_PREFIX = 4            # 65,536 buckets of a hex digest
-INDEX_CHUNK = 1_000_000    # consecutive indexes per bucket
-BUCKET_ROWS = 1_000_000    # rows one task orders in a running total
+BUCKET_ROWS = 1_000_000    # rows one task orders
 MAX_BUCKETS = 10_000
 
 
@@ -63,9 +62,20 @@ def hash_rank(df: DataFrame, group: Sequence[str], key: str, name: str = "rank")
 def index_rank(
     df: DataFrame, group: Sequence[str], major: Column, index: str, name: str = "rank"
 ) -> DataFrame:
-    """Row number per group in the order (major, integer index)."""
-    chunk = F.struct(major.alias("major"), F.floor(F.col(index) / INDEX_CHUNK).alias("chunk"))
-    return bucketed_row_number(df, group, chunk, [major, F.col(index)], name)
+    """Row number per group in the order (major, integer index).
+
+    Buckets are cut where the data lie, so sparse indexes do not make one
+    bucket each. ``df`` is read several times; pass a written table.
+    """
+    keyed = df.withColumn("_index", F.col(index).cast("double"))
+    bounds = quantile_bounds(keyed, "_index")
+    chunk = F.lit(0.0)
+    if bounds:
+        splits = [float("-inf"), *bounds, float("inf")]
+        keyed = Bucketizer(splits=splits, inputCol="_index", outputCol="_chunk").transform(keyed)
+        chunk = F.col("_chunk")
+    bucket = F.struct(major.alias("major"), chunk.alias("chunk"))
+    return bucketed_row_number(keyed, group, bucket, [major, F.col(index)], name).drop("_index", "_chunk")
 
 
 def range_row_number(

@@ -31,25 +31,22 @@ def attach_group_values(
 ) -> DataFrame:
     """Left join ``groups`` (one row per string ``key``) to ``rows``.
 
-    Groups larger than ``hot_rows`` are broadcast: there are at most
-    ``row count / hot_rows`` of them.  Their rows then meet the shuffle join
-    under a key that matches nothing and is spread by ``spread_by``, so no
-    task receives a whole hot group.  NULL keys are spread the same way.
+    A group larger than ``hot_rows`` is repeated under as many salts as it is
+    times too large, and its rows are spread over them by ``spread_by``, so no
+    task receives a whole hot group. Only keys and salt counts are broadcast,
+    of at most the ``BROADCAST_ROWS`` largest groups; others join unsalted.
+    NULL keys match nothing and are spread as well.
     """
-    hot = F.broadcast(
-        groups.where(F.col(size) > hot_rows).select(
-            F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot")
-        )
+    large = groups.where(F.col(size) > hot_rows).orderBy(F.col(size).desc(), key).limit(BROADCAST_ROWS)
+    hot = F.broadcast(large.select(F.col(key).alias("_hot_key"), F.ceil(F.col(size) / hot_rows).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = groups.join(hot, groups[key] == F.col("_hot_key"), "left").select(
+        F.col(key).alias("_group_key"), F.struct(*values).alias("_values"),
+        F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_group_salt"),
     )
-    cold = groups.where(F.coalesce(F.col(size), F.lit(0)) <= hot_rows).select(
-        F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold")
+    spread = F.xxhash64(*spread_by)
+    marked = rows.join(hot, rows[key] == F.col("_hot_key"), "left").withColumn(
+        "_salt", F.when(F.col(key).isNull(), spread).otherwise(F.pmod(spread, salts))
     )
-    marked = rows.join(hot, rows[key] == F.col("_hot_key"), "left")
-    unmatched = F.concat(F.lit("#"), F.xxhash64(*spread_by).cast("string"))
-    marked = marked.withColumn(
-        "_join_key",
-        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(unmatched),
-    )
-    joined = marked.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
+    same = (F.col(key) == F.col("_group_key")) & (F.col("_salt") == F.col("_group_salt"))
+    return marked.join(salted, same, "left").select(*rows.columns, *[F.col("_values")[v].alias(v) for v in values])

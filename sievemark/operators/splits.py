@@ -113,8 +113,11 @@ def official_split(pooled: DataFrame) -> DataFrame:
 
 
 def split_manifest(assigned: DataFrame) -> DataFrame:
-    """One row per retained record with its 0-based position in its split."""
-    ranked = index_rank(assigned, ["assigned_split"], F.col("pool_rank"), "source_index", "_position")
+    """One row per retained record with its 0-based position in its split.
+
+    The assignment is written before it is numbered, since numbering reads it more than once.
+    """
+    ranked = index_rank(materialize(assigned, "assigned"), ["assigned_split"], F.col("pool_rank"), "source_index", "_position")
     return ranked.select(
         "assigned_split", (F.col("_position") - 1).alias("assigned_index"),
         "source_split", "source_index", "label", "content_hash",
@@ -150,9 +153,10 @@ def split_fingerprint(assigned: DataFrame) -> DataFrame:
 
 def repeated_hashes(assigned: DataFrame) -> DataFrame:
     """Hashes that occur more than once, in one split or across splits; empty is right."""
+    split = F.when(F.col("assigned_split").isNotNull(), F.xxhash64("assigned_split"))  # numbers aggregate without sorting
     return (
         assigned.groupBy("content_hash")
-        .agg(F.count(F.lit(1)).alias("occurrences"), (F.min("assigned_split") != F.max("assigned_split")).alias("across_splits"))
+        .agg(F.count(F.lit(1)).alias("occurrences"), (F.min(split) != F.max(split)).alias("across_splits"))
         .where("occurrences > 1")
     )
 

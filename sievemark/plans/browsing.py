@@ -266,8 +266,8 @@ def ingest_merge_sources(spark, folder):
     first, second = two_batches(spark, folder)
     content = materialize(ingest.merge_content(empty(spark, S.CONTENT), second), "content")
     state = materialize(ingest.merge_sources(empty(spark, S.SOURCES), first, content), "sources")
-    out = ingest.upsert(state, ingest.merge_sources(state, second, content), "path")
-    return out.drop("seen_at")
+    changed = materialize(ingest.merge_sources(state, second, content), "sources")
+    return ingest.upsert(state, changed, "path").drop("seen_at")
 
 
 @query("ingest_failed_source", sql=BATCH + """

@@ -291,8 +291,8 @@ manifest AS (
 ASSIGNED_SQL = DOCS + ASSIGN_STEPS
 
 
-def assigned_docs(spark, folder):
-    return splits.build_splits(given.pooled_docs(spark, folder))
+def assigned_docs(spark, folder, docs=None):
+    return splits.build_splits(given.pooled_docs(spark, folder, docs))
 
 
 @query("stratified_split", sql=ASSIGNED_SQL + """

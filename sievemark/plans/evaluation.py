@@ -177,15 +177,14 @@ decided AS (
 
 def candidate_scores(spark, folder) -> DataFrame:
     """Retained documents under both models: the manifest joined to stored metadata, one row per model."""
-    stored = given.docs(spark, folder)
-    joined = predictions.join_manifest_metadata(assigned_docs(spark, folder), stored)
-    lengths = stored.select(F.col("split").alias("source_split"), F.col("split_index").alias("source_index"), "n_chars")
+    stored = materialize(given.docs(spark, folder), "docs")  # texts are read and hashed once
+    joined = predictions.join_manifest_metadata(assigned_docs(spark, folder, stored), stored, also=["n_chars"])
     n = F.col("n_chars")
     both = F.array(
         F.struct(F.lit("logistic").alias("model"), F.round(sigmoid(n / F.lit(1000.0) - 2.0), 9).alias("prediction_score")),
         F.struct(F.lit("svm").alias("model"), F.round(n % 1000 / F.lit(500.0) - 1.0, 9).alias("prediction_score")),
     )
-    return materialize(joined.join(lengths, predictions.KEYS).select(
+    return materialize(joined.select(
         "record_id", F.col("assigned_split").alias("split"), "source_split", "source_index", "label", F.inline(both)
     ), "scores")
 

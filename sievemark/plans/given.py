@@ -127,8 +127,9 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pooled_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return pool_splits(docs(spark, folder).select("split", "split_index", "label", "content_hash"))
+def pooled_docs(spark: SparkSession, folder: str, stored: DataFrame | None = None) -> DataFrame:
+    """Documents as a pool, from their records where these are already written."""
+    return pool_splits((docs(spark, folder) if stored is None else stored).select("split", "split_index", "label", "content_hash"))
 
 
 # One record per hash of a view ``pooled``, without hashes whose labels disagree.

@@ -41,9 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder under the shared one that holds everything this Spark application writes on the side."""
+    return f"{shared_dir(spark).rstrip('/')}/sievemark/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; never reused between runs."""
-    return f"{shared_dir(spark).rstrip('/')}/sievemark/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the run folder; never reused."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_run(spark: SparkSession) -> bool:
+    """Delete this application's run folder; true if there was one.
+
+    Results that were not written elsewhere can no longer be read afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

@@ -31,6 +31,10 @@ def scan_file_tree(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def limit_text(limit: int) -> str:
+    return f"{limit / 2**20:g} MiB" if limit >= 1 << 20 else f"{limit} bytes"
+
+
 def scan_bounded(spark: SparkSession, directory: str, limit: int = S.MAX_FILE_BYTES) -> DataFrame:
     """Files up to ``limit`` bytes with content; larger ones as failed rows without it.
 
@@ -43,7 +47,7 @@ def scan_bounded(spark: SparkSession, directory: str, limit: int = S.MAX_FILE_BY
     )
     large = files.where(F.col("length") > limit).select(
         "path", "filename", "file_key", "length", F.lit(None).cast("binary").alias("content"),
-        F.lit(f"File exceeds {limit / 2**20:g} MiB").alias("read_error"),
+        F.lit(f"File exceeds {limit_text(limit)}").alias("read_error"),
     )
     return small.unionByName(large)
 

@@ -1,14 +1,15 @@
 """Micro-batch ingest with the same merges as a batch run.
 
 State is kept as change sets: each batch writes the rows it changed under its
-own batch id, and the current state is the latest row per key.  A batch costs
-what it changes, a repeated batch overwrites its own change set, and
-``compact`` folds change sets into one when there are many.
+own batch id, and the current state is the latest row per key.  Change sets
+are stored in folders by a hash of the key, so a batch reads the folders its
+keys lie in.  A repeated batch overwrites its own change set, and ``compact``
+folds change sets into one when there are many.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,44 +17,64 @@ from sievemark import schemas as S
 from sievemark.operators.ingest import Scorer, merge_content, merge_sources, rescore_due, apply_scores
 
 
+# Folders of a change set, by a hash of the key. Part of the stored layout.
+PARTS = 16
+
+KEYS = {"content": "content_id", "sources": "path"}
+SCHEMAS = {"content": S.CONTENT, "sources": S.SOURCES}
+
+
+def part_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
 class CatalogStore:
     """Change sets of the content and source tables below one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         # An empty change set before the first one, so that state is always readable.
-        for table, schema in (("content", S.CONTENT), ("sources", S.SOURCES)):
-            empty = spark.createDataFrame([], schema)
-            empty.write.mode("ignore").parquet(f"{self.root}/{table}/change=-1")
-
-    def _changes(self, table: str, schema: T.StructType, before: int | None) -> DataFrame:
-        full = T.StructType([*schema.fields, T.StructField("change", T.LongType())])
-        changes = self.spark.read.schema(full).parquet(f"{self.root}/{table}")
+        for table, schema in SCHEMAS.items():
+            empty = spark.createDataFrame([], schema).withColumn("part", F.lit(0))
+            empty.write.mode("ignore").partitionBy("part").parquet(f"{self.root}/{table}/change=-1")
+
+    def _changes(self, table: str, before: int | None) -> DataFrame:
+        stored = T.StructType([
+            *SCHEMAS[table].fields, T.StructField("change", T.LongType()), T.StructField("part", T.IntegerType())
+        ])
+        changes = self.spark.read.schema(stored).parquet(f"{self.root}/{table}")
         return changes if before is None else changes.where(F.col("change") < before)
 
-    def _latest(self, table: str, schema: T.StructType, key: str, before: int | None,
-                only: DataFrame | None = None) -> DataFrame:
-        rest = [c for c in schema.fieldNames() if c != key]
-        changes = self._changes(table, schema, before)
-        if only is not None:  # before the aggregate: a batch looks up its own keys, not the whole state
-            changes = changes.join(only.select(key).distinct(), key, "left_semi")
-        return (
-            changes.groupBy(key)
-            .agg(F.max_by(F.struct(*rest), "change").alias("r")).select(key, "r.*")
-            .select(*schema.fieldNames())
-        )
+    def _latest(self, table: str, before: int | None, only: DataFrame | None = None) -> DataFrame:
+        """The latest row per key; with ``only``, of its keys, from the folders these lie in.
+
+        The latest change is found on the key column alone; other columns are
+        read for the rows that are returned.
+        """
+        key = KEYS[table]
+        changes = self._changes(table, before)
+        found = changes.select(key, "change", "part")
+        if only is not None:
+            keys = only.select(key).where(F.col(key).isNotNull()).distinct()
+            parts = [r["part"] for r in keys.select(part_of(F.col(key)).alias("part")).distinct().collect()]  # at most PARTS
+            changes, found = (df.where(F.col("part").isin(parts)) for df in (changes, found))
+            found = found.join(keys, key, "left_semi")
+        latest = found.groupBy("part", key).agg(F.max("change").alias("change"))
+        return changes.join(latest, ["change", "part", key]).select(*SCHEMAS[table].fieldNames())
 
     def content(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
         """Latest content rows, as of before a change, for the digests of ``only`` if given."""
-        return self._latest("content", S.CONTENT, "content_id", before, only)
+        return self._latest("content", before, only)
 
     def sources(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
-        return self._latest("sources", S.SOURCES, "path", before, only)
+        return self._latest("sources", before, only)
 
     def _write(self, table: str, rows: DataFrame, change: int) -> DataFrame:
         path = f"{self.root}/{table}/change={change}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        placed = rows.withColumn("part", part_of(F.col(KEYS[table])))
+        # Rebalancing gives a folder few files when it is small and splits it when it is large.
+        placed.hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
     def apply(self, batch: DataFrame, change: int, *, scorer: Scorer | None = None, retry_failed: bool = False) -> None:
         """Merge one batch.  State is read as of before ``change``, so a replay gives the same result."""

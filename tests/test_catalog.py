@@ -74,7 +74,7 @@ def test_bounded_scan(spark, tmp_path):
     (tmp_path / "small.bin").write_bytes(b"x" * 10)
     (tmp_path / "large.bin").write_bytes(b"x" * 100)
     got = {r["filename"]: r for r in files.scan_bounded(spark, str(tmp_path), limit=50).collect()}
-    assert got["large.bin"]["content"] is None and got["large.bin"]["read_error"] == "File exceeds 25 MiB"
+    assert got["large.bin"]["content"] is None and got["large.bin"]["read_error"] == "File exceeds 50 bytes"
     assert bytes(got["small.bin"]["content"]) == b"x" * 10 and got["small.bin"]["read_error"] is None
 
 
@@ -330,3 +330,21 @@ def test_id_requests(spark):
     for bad in ("", " , ", "not-an-id"):
         with pytest.raises(ValueError):
             catalog.resolve_ids(df, bad)
+
+
+def test_a_batch_reads_only_the_folders_of_its_keys(spark, store):
+    from sievemark.streaming.ingest import PARTS, part_of
+    from test_scale_helpers import plan_of
+
+    apply(store, 0, [row(f"p/{i}.png", f"c{i}", at=i) for i in range(300)], scorer=SCORER)
+    apply(store, 1, [row("p/7.png", "c7", at=900)], scorer=SCORER)
+    batch = spark.createDataFrame([row("p/7.png", "c7"), row("p/8.png", "c8"), row("p/x.png", None, unread="lost")], BATCH)
+    wanted = {r["p"] for r in batch.where("content_id IS NOT NULL").select(part_of(F.col("content_id")).alias("p")).collect()}
+    assert len(wanted) < PARTS
+    found = store.content(2, only=batch)
+    plan = plan_of(found)
+    assert all("part#" in line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert {r["content_id"] for r in found.collect()} == {"c7", "c8"}
+    assert store.sources(1, only=batch).where("path = 'p/7.png'").first()["seen_at"] == T0 + dt.timedelta(seconds=7)
+    assert store.sources(2, only=batch).where("path = 'p/7.png'").first()["seen_at"] == T0 + dt.timedelta(seconds=900)
+    assert store.content().count() == 300 and store.content(0).count() == 0

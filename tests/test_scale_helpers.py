@@ -188,3 +188,56 @@ def test_quantile_of_mostly_equal_values(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": values}))
     for q in (0.01, 0.05, 0.5, 0.96):
         assert exact_quantile(df, "x", q, direct_rows=20, rank_error=0.01) == pytest.approx(np.quantile(values, q))
+
+
+def test_groups_beyond_the_broadcast_join_unsalted(spark, monkeypatch):
+    from sievemark.operators import skew
+
+    rows = skewed(spark)
+    groups = metadata.duplicate_groups(rows)
+    for most in (0, 1, 100_000):
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", most)
+        out = attach_group_values(rows, groups, "content_hash", "duplicate_count", ["duplicate_count"],
+                                  spread_by=["record_id"], hot_rows=2)
+        assert out.count() == rows.count()
+        assert out.where("content_hash = 'hot' and duplicate_count <> 200").count() == 0
+
+
+def test_sparse_indexes_do_not_make_a_bucket_each(spark, monkeypatch):
+    values = [k * 10**12 + k * k for k in range(400)]
+    df = spark.createDataFrame([("a" if k % 3 else "b", v) for k, v in enumerate(values)], "g string, i bigint")
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(ranking.quantile_bounds, "__defaults__", (50,))
+    got = ranking.index_rank(df, ["g"], F.lit(0), "i").toPandas()
+    assert set(got.columns) == {"g", "i", "rank"}
+    for _, part in got.groupby("g"):
+        part = part.sort_values("i")
+        assert part["rank"].tolist() == list(range(1, len(part) + 1))
+
+
+def test_duplicate_facts_hash_and_do_not_sort(spark):
+    from sievemark.operators import dedup, splits
+
+    rows = skewed(spark)
+    pooled = dedup.pool_splits(rows.withColumn("split_index", F.monotonically_increasing_id()))
+    for df in (dedup.dedup_groups(pooled), metadata.hash_groups(rows), splits.repeated_hashes(rows.withColumnRenamed("split", "assigned_split"))):
+        assert "SortAggregate" not in plan_of(df)
+
+
+def test_records_of_unknown_splits_are_an_error(spark):
+    from sievemark.operators import dedup
+
+    rows = spark.createDataFrame([("other", 0, 1, "h")], "split string, split_index bigint, label int, content_hash string")
+    with pytest.raises(Exception, match="unknown split other"):
+        dedup.deduplicate(dedup.pool_splits(rows)).collect()
+
+
+def test_a_run_can_be_dropped(spark):
+    from unittest.mock import patch
+
+    from sievemark import session
+
+    folder = session.scratch_path(spark, "own-run")  # stands for the run folder, so that other tests keep theirs
+    with patch.object(session, "run_folder", lambda _: folder):
+        assert session.materialize(spark.range(3)).count() == 3
+        assert session.drop_run(spark) and not session.drop_run(spark)
