@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
-from sievemark.functions.labels import file_extension, geometry, score_and_decide
+from sievemark.functions.labels import file_extension, geometry, limit_text, score_and_decide
 from sievemark.functions.vectors import is_finite
 from sievemark.operators.catalog import copies
 from sievemark.operators.skew import HOT_ROWS, attach_group_values
@@ -62,12 +62,12 @@ class Scorer:
         return {**out, "valid": valid}
 
 
-def classify_sources(batch: DataFrame) -> DataFrame:
-    """Verdict on every source from its name and size alone."""
+def classify_sources(batch: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Verdict on every source from its name and, if the caller sets a limit, its size."""
     expected = F.create_map(*[F.lit(x) for pair in S.EXTENSION_FORMATS.items() for x in pair])
     out = batch.withColumn("expected_format", F.try_element_at(expected, file_extension(F.col("filename"))))
     unreadable = F.col("read_error").isNotNull()
-    too_big = F.col("file_size") > S.MAX_FILE_BYTES
+    too_big = F.lit(False) if max_bytes is None else F.col("file_size") > max_bytes
     return out.withColumn(
         "source_status",
         F.when(unreadable, "failed")
@@ -77,7 +77,7 @@ def classify_sources(batch: DataFrame) -> DataFrame:
         "source_error",
         F.when(unreadable, F.col("read_error"))
         .when(F.col("expected_format").isNull(), "Unsupported extension")
-        .when(too_big, "File exceeds 25 MiB"),
+        .when(too_big, f"File exceeds {limit_text(max_bytes or 0)}"),
     )
 
 
@@ -104,14 +104,14 @@ def collapse_contents(classified: DataFrame) -> DataFrame:
 
 def merge_content(
     snapshot: DataFrame, batch: DataFrame, *, scorer: Scorer | None = None, retry_failed: bool = False,
-    pipeline_version: str = S.PIPELINE_VERSION,
+    pipeline_version: str = S.PIPELINE_VERSION, max_bytes: int | None = None,
 ) -> DataFrame:
     """State of every content row the batch touches.
 
     ``snapshot`` is read only for the digests of the batch; the result has the
     CONTENT schema.  Rows the batch does not mention are not returned.
     """
-    groups = collapse_contents(classify_sources(batch))
+    groups = collapse_contents(classify_sources(batch, max_bytes))
     old = snapshot.select("content_id", F.struct(*[c for c in snapshot.columns if c != "content_id"]).alias("old"))
     m = groups.join(old, "content_id", "left")
 
@@ -196,7 +196,7 @@ def apply_scores(content: DataFrame, scorer: Scorer, due: Column, now: Column) -
 
 
 def merge_sources(
-    snapshot: DataFrame, batch: DataFrame, content_formats: DataFrame, *, hot_rows: int = HOT_ROWS
+    snapshot: DataFrame, batch: DataFrame, content_formats: DataFrame, *, hot_rows: int = HOT_ROWS, max_bytes: int | None = None
 ) -> DataFrame:
     """State of every path the batch mentions; the last row per path wins.
 
@@ -206,7 +206,7 @@ def merge_sources(
     columns = ["filename", "content_id", "split", "label", "source_status", "source_error", "expected_format"]
     # Copies, their formats and the rows themselves all read the verdicts: they are reduced and written once.
     verdicts = materialize(
-        classify_sources(batch).groupBy("path")
+        classify_sources(batch, max_bytes).groupBy("path")
         .agg(F.max(F.struct("seen_at", *columns)).alias("s"))
         .select("path", "s.*"),
         "verdicts",

@@ -198,8 +198,10 @@ def explain_catalog(content: DataFrame, model, threshold: float, folder: str) ->
 
 
 def ingest_directory(store: CatalogStore, directory: str, change: int, *, scorer: Scorer | None = None,
-                     retry_failed: bool = False, feature_count: int = 784) -> None:
-    store.apply(file_batch(store.spark, directory, feature_count), change, scorer=scorer, retry_failed=retry_failed)
+                     retry_failed: bool = False, feature_count: int = 784, max_bytes: int | None = None,
+                     max_pixels: int | None = None) -> None:
+    batch = file_batch(store.spark, directory, feature_count, max_bytes=max_bytes, max_pixels=max_pixels)
+    store.apply(batch, change, scorer=scorer, retry_failed=retry_failed, max_bytes=max_bytes)
 
 
 def ingest_dataset(store: CatalogStore, samples: DataFrame, manifest: DataFrame, dataset: str, width: int,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
+from sievemark.functions.labels import limit_text
 
 # First bytes (hex) of each supported format.
 MAGIC_PREFIXES = {
@@ -31,17 +32,15 @@ def scan_file_tree(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def limit_text(limit: int) -> str:
-    return f"{limit / 2**20:g} MiB" if limit >= 1 << 20 else f"{limit} bytes"
-
-
-def scan_bounded(spark: SparkSession, directory: str, limit: int = S.MAX_FILE_BYTES) -> DataFrame:
-    """Files up to ``limit`` bytes with content; larger ones as failed rows without it.
+def scan_bounded(spark: SparkSession, directory: str, limit: int | None = S.MAX_FILE_BYTES) -> DataFrame:
+    """Files up to ``limit`` bytes with content; larger ones as failed rows without it; no limit, all of them.
 
     The size test is pushed into the file scan, so this reader never reads the
     bytes of a large file; decoding images does, in its own scan.
     """
     files = scan_file_tree(spark, directory)
+    if limit is None:
+        return files.select("path", "filename", "file_key", "length", "content", F.lit(None).cast("string").alias("read_error"))
     small = files.where(F.col("length") <= limit).select(
         "path", "filename", "file_key", "length", "content", F.lit(None).cast("string").alias("read_error")
     )
@@ -91,10 +90,16 @@ def gray_features(pixels: Column, size: int) -> Column:
     return F.when(F.octet_length(pixels) == size, values)
 
 
-def file_batch(spark: SparkSession, directory: str, feature_count: int = 784) -> DataFrame:
-    """An ingest batch of a directory: bytes, digests and what decoding gave."""
+def file_batch(
+    spark: SparkSession, directory: str, feature_count: int = 784, *, max_bytes: int | None = None, max_pixels: int | None = None
+) -> DataFrame:
+    """An ingest batch of a directory: digests, formats and what decoding gave.
+
+    Files above ``max_bytes`` and images above ``max_pixels`` are kept as rows
+    with an error; without these limits everything is read.
+    """
     # Digest, format and features are taken in the scans: the join moves neither bytes nor pixels.
-    files = scan_bounded(spark, directory).select(
+    files = scan_bounded(spark, directory, max_bytes).select(
         "path", "filename", "file_key", "length", "read_error", F.sha2("content", 256).alias("content_id"),
         sniffed_format(F.col("content")).alias("sniffed"),
     )
@@ -104,12 +109,13 @@ def file_batch(spark: SparkSession, directory: str, feature_count: int = 784) ->
     )
     readable = F.col("read_error").isNull()
     fmt = F.col("sniffed")
-    too_large = F.col("width") * F.col("height") > S.MAX_PIXELS
+    too_large = F.lit(False) if max_pixels is None else F.col("width") * F.col("height") > max_pixels
     problem = (
         F.when(F.col("decode_error").isNotNull() | F.col("width").isNull(),
                F.coalesce("decode_error", F.lit("cannot identify image file")))
-        .when(too_large, "Image exceeds 25 million pixels")
+        .when(too_large, f"Image exceeds {max_pixels} pixels")
         .when(fmt.isNull(), "Unsupported decoded format")
+        .when(F.col("features").isNull(), f"Image is not single-channel with {feature_count} pixels")
     )
     joined = files.join(images, "file_key", "left")
     good = readable & problem.isNull()

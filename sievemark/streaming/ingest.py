@@ -76,16 +76,17 @@ class CatalogStore:
         placed.hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
-    def apply(self, batch: DataFrame, change: int, *, scorer: Scorer | None = None, retry_failed: bool = False) -> None:
+    def apply(self, batch: DataFrame, change: int, *, scorer: Scorer | None = None, retry_failed: bool = False,
+              max_bytes: int | None = None) -> None:
         """Merge one batch.  State is read as of before ``change``, so a replay gives the same result."""
         batch = batch.persist()
         try:
             old_content = self.content(change, only=batch)
             new_content = self._write(
-                "content", merge_content(old_content, batch, scorer=scorer, retry_failed=retry_failed), change
+                "content", merge_content(old_content, batch, scorer=scorer, retry_failed=retry_failed, max_bytes=max_bytes), change
             )
             old_sources = self.sources(change, only=batch)
-            self._write("sources", merge_sources(old_sources, batch, new_content), change)
+            self._write("sources", merge_sources(old_sources, batch, new_content, max_bytes=max_bytes), change)
         finally:
             batch.unpersist()
 

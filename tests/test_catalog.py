@@ -134,10 +134,23 @@ def test_mismatched_name_alone_is_not_scored(store):
 
 
 def test_oversized_upload(store):
-    apply(store, 0, [row("a/x.png", size=S.MAX_FILE_BYTES + 1)])
+    apply(store, 0, [row("a/x.png", size=S.MAX_FILE_BYTES + 1)], max_bytes=S.MAX_FILE_BYTES)
     assert view(store)["a/x.png"]["error"] == "File exceeds 25 MiB"
 
 
+def test_no_limit_unless_the_caller_sets_one(store):
+    apply(store, 0, [row("a/x.png", size=S.MAX_FILE_BYTES + 1)], scorer=SCORER)
+    assert contents(store)["c1"]["processing_status"] == "complete"
+
+
+def test_images_of_another_size_fail_with_an_error(spark, tmp_path):
+    (tmp_path / "small.png").write_bytes(png_bytes(np.arange(16, dtype=np.uint8).reshape(4, 4)))
+    got = files.file_batch(spark, str(tmp_path), feature_count=64).first()
+    assert got["decode_error"] == "Image is not single-channel with 64 pixels" and got["features"] is None
+    limited = files.file_batch(spark, str(tmp_path), feature_count=16, max_pixels=9).first()
+    assert limited["decode_error"] == "Image exceeds 9 pixels"
+
+
 def test_unreadable_keeps_name_split_and_label(store):
     apply(store, 0, [row("a/x.png", split="val", label=1)])
     apply(store, 1, [("a/x.png", "?") + row("a/x.png", unread="gone", at=3)[2:]])
