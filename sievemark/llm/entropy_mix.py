@@ -18,7 +18,6 @@ MOST = 2
 ROUNDS = 80
 TOLERANCE = 1e-7
 RANK_ROWS = 256
-CORRECTIONS = 12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -105,7 +104,10 @@ def whole_copies(classes: DataFrame, sources: DataFrame, tilts: DataFrame, most:
 
     Running sums of the rates over falling sizes are rounded, so that rounding
     errors do not add up; then copies of the largest class that fits what is
-    still missing (or over) are added (or taken away) until none fits.
+    still missing (or over) are added (or taken away) until none fits. A round
+    does so for falling sizes as far as whole classes fit, and for as many
+    copies of the next class as do. That at least halves what is missing, so
+    the rounds are at most the binary digits of a source's words.
     """
     rated = classes.join(tilts, "position", "left").withColumn(
         "rate", F.when((F.col("size") > 0) & F.col("tilt").isNotNull(), rate(most=most)).otherwise(F.lit(1.0))
@@ -119,20 +121,23 @@ def whole_copies(classes: DataFrame, sources: DataFrame, tilts: DataFrame, most:
         .select("position", "size", "documents", "rate", "copies"),
         "copies",
     )
-    for _ in range(CORRECTIONS):
+    larger = by_size.rowsBetween(W.unboundedPreceding, -1)
+    while True:
         missing = out.groupBy("position").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(
             sources.select("position", "target"), "position"
         ).select("position", (F.round("target").cast("long") - F.col("taken")).alias("missing"))
         room = F.when(F.col("missing") > 0, F.col("documents") * most - F.col("copies")).otherwise(F.col("copies"))
         fitting = out.join(missing, "position").filter((F.col("size") > 0) & (F.col("size") <= F.abs("missing"))).withColumn("room", room)
-        largest = fitting.filter("room > 0").groupBy("position").agg(F.max("size").alias("size"), F.max("missing").alias("missing"))
-        largest = materialize(largest, "largest")
-        if largest.isEmpty():
+        # What is left after all larger classes; below a size, or 0, once a class has not fitted as a whole.
+        left = F.abs("missing") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0))
+        step = F.least(F.floor(F.col("left") / F.col("size")), F.col("room")) * F.signum("missing").cast("long")
+        steps = fitting.filter("room > 0").withColumn("left", left).filter("left >= size").select("position", "size", step.alias("step"))
+        steps = materialize(steps, "steps")
+        if steps.isEmpty():
             break
-        step = F.least(F.floor(F.abs("missing") / F.col("size")), room) * F.signum("missing").cast("long")
         out = materialize(
-            out.join(largest, ["position", "size"], "left")
-            .withColumn("copies", (F.col("copies") + F.coalesce(step, F.lit(0))).cast("long"))
+            out.join(steps, ["position", "size"], "left")
+            .withColumn("copies", (F.col("copies") + F.coalesce("step", F.lit(0))).cast("long"))
             .select("position", "size", "documents", "rate", "copies"),
             "copies",
         )

@@ -243,6 +243,33 @@ def test_mix_odd_rows(odd, nothing):
     assert entropy_mix.mix(nothing).count() == 0
 
 
+def test_mix_is_filled_until_nothing_fits(spark):
+    """One very long and many short documents need more single steps than any fixed number of rounds."""
+    sizes = Counter([100_000] + [20 + k * 37 % 180 for k in range(400)])
+    total = sum(s * n for s, n in sizes.items())
+    shares = {1: 0.7, 2: 1.3, 3: 0.95}
+    classes = spark.createDataFrame([(p, s, n) for p in shares for s, n in sizes.items()], "position long, size long, documents long")
+    sources = spark.createDataFrame([(p, total * x) for p, x in shares.items()], "position long, target double")
+    tilts = spark.createDataFrame([(p, 0.0, 350.0) for p in shares], "position long, tilt double, mean double")
+    got = {(r["position"], r["size"]): r["copies"] for r in entropy_mix.whole_copies(classes, sources, tilts).collect()}
+    for p, share in shares.items():
+        copies, missing = dict(sizes), round(total * share) - total
+        while True:
+            room = {s: sizes[s] * 2 - c if missing > 0 else c for s, c in copies.items()}
+            size = max((s for s in copies if room[s] > 0 and s <= abs(missing)), default=None)
+            if size is None:
+                break
+            step = min(abs(missing) // size, room[size]) * (1 if missing > 0 else -1)
+            copies[size] += step
+            missing -= step * size
+        assert {s: got[p, s] for s in sizes} == copies
+    docs = spark.createDataFrame([(k, "w " * n, "a") for k, n in enumerate(sizes.elements())], "doc_id long, text string, source string")
+    for share in (0.7, 1.3):
+        rows = entropy_mix.mix(docs, share=share).collect()
+        missing = round(rows[0]["target"]) - sum(r["taken"] for r in rows)
+        assert not [r for r in rows if r["size"] <= abs(missing) and (r["copies"] < 2 if missing > 0 else r["copies"] > 0)], (share, missing)
+
+
 # --- fingerprints
 
 
