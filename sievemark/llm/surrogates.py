@@ -17,14 +17,20 @@ ROUNDS = 200
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Mme", "Mlle", "Madame", "Frau", "Señora", "Sra", "Signora", "госпожа", "г-жа")
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "г-н")
 NEUTRAL = ("Dr", "Prof")
+PARTICLES = tuple("af al av bin da das de dei del della den der di do dos du e el ibn la las le los ten ter van von y zu zum zur фон".split())
 SECRET_WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
 
 _TITLES = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
 _SECRET = f"(?i:{'|'.join(SECRET_WORDS)}) {{0,2}}[=:] {{0,2}}[\"']?"
 _NAME_LEAD = rf"(?:{_TITLES})\.? "
+# ASCII first, as it is told apart fast; scripts written without spaces do not tell where an address begins.
+_ADDRESS = r"A-Za-z0-9[\p{L}\p{M}\d&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]]"
+# A name's word, without the s of a genitive, or initials.
+_WORD = r"(?:\p{Lu}(?:(?:['’](?!s(?![\p{L}\p{M}]))|-)?[\p{L}\p{M}])+|\p{Lu}\.(?:-?\p{Lu}\.)*|\p{Lu}(?= \p{Lu}))"
+_INITIALS = r"^\p{Lu}(?:\.(?:-?\p{Lu}\.)*)?$"
 PATTERN = "|".join((
     rf"(?<![\p{{L}}\d]){_SECRET}[A-Za-z0-9+/_=.-]{{8,}}",
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    rf"(?<![._%+\-{_ADDRESS}])[._%+\-{_ADDRESS}]++@[\-{_ADDRESS}]+(?:\.[\-{_ADDRESS}]+)+",
     r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
@@ -32,11 +38,15 @@ PATTERN = "|".join((
     r"\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     r"(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    rf"(?<!\p{{L}}){_NAME_LEAD}\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
+    rf"(?<!\p{{L}}){_NAME_LEAD}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_WORD})*+",
 ))
 
+TITLED = rf"(?<!\p{{L}}){_NAME_LEAD}\p{{L}}"
+
 DIGITS_ONLY = ("card", "phone", "number")
-NAMES = ("name_f", "name_m", "name_u", "surname")
+NAMES = ("first", "surname")
+# Parts of names that identify nobody by themselves: particles stay, initials are redrawn without regard to others.
+LOOSE = ("particle", "initial")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -63,24 +73,26 @@ def lead_of(kind: Column, found: Column) -> Column:
 def parts_of(found: Column) -> Column:
     """(lead, parts) of a detected entity; each part has a kind, its text and the value that identifies it.
 
-    A name's last word is a surname; words before it are first names of the
+    A name's last word is a surname; words before it are first names, with the
     gender the title tells. Spelling of letter case, and separators between
     digits, do not identify.
     """
 
     def build(kind: Column, lead: Column) -> Column:
         rest = F.substring(found, F.length(lead) + 1, F.length(found))
-        first = (
-            F.when(lead.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "name_f").when(lead.rlike(rf"^(?:{'|'.join(MALE)})\b"), "name_m").otherwise("name_u")
-        )
+        gender = F.when(lead.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").when(lead.rlike(rf"^(?:{'|'.join(MALE)})\b"), "m").otherwise("u")
         words = F.when(kind == "name", F.split(rest, " ")).otherwise(F.array(rest))
 
         def part(word: Column, at: Column, n: Column) -> Column:
-            own = F.when(kind != "name", kind).when(at == n - 1, "surname").otherwise(first)
+            own = (
+                F.when(kind != "name", kind).when(word.isin(*PARTICLES), "particle").when(word.rlike(_INITIALS), "initial")
+                .when(at == n - 1, "surname").otherwise("first")
+            )
             value = (
                 F.when(kind.isin(*DIGITS_ONLY), F.regexp_replace(word, r"\D", "")).when(kind.isin("email", "name"), F.lower(word)).otherwise(word)
             )
-            return F.struct(own.alias("kind"), word.alias("text"), value.alias("value"))
+            told = F.when(own == "first", gender).otherwise("u")
+            return F.struct(own.alias("kind"), word.alias("text"), value.alias("value"), told.alias("gender"))
 
         parts = let(words, lambda w: F.transform(w, lambda word, at: part(word, at, F.size(w))))
         return F.struct(lead.alias("lead"), parts.alias("parts"))
@@ -93,6 +105,46 @@ def entities_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), parts_of)
 
 
+def name_parts(entities: Column) -> Column:
+    """The parts of all titled names among the entities of a text."""
+    parts = F.flatten(F.transform(entities, lambda e: e["parts"]))
+    return F.filter(parts, lambda p: p["kind"].isin(*NAMES))
+
+
+def repeats_of(text: Column, entities: Column) -> Column:
+    """Spellings under which the titled names of a text may stand again without a title, the longest first.
+
+    These are the whole name and each of its words, as written or in capitals,
+    but no word that the text also has in lower case.
+    """
+    named = F.filter(entities, lambda e: F.exists(e["parts"], lambda p: p["kind"].isin(*NAMES)))
+    whole = F.transform(named, lambda e: F.array_join(F.transform(e["parts"], lambda p: p["text"]), " "))
+    common = F.split(text, r"[^\p{L}\p{M}'’-]+")
+    words = let(common, lambda seen: F.filter(
+        F.transform(name_parts(entities), lambda p: p["text"]), lambda w: (F.length(w) > 1) & ~F.array_contains(seen, F.lower(w))
+    ))
+    # A whole name of one word is judged as a word.
+    spelled = F.concat(F.filter(whole, lambda w: w.contains(" ")), words)
+    both = F.array_distinct(F.concat(spelled, F.transform(spelled, F.upper)))
+    order = lambda x, y: F.when(F.length(x) > F.length(y), -1).when(F.length(x) < F.length(y), 1).otherwise(0)
+    return F.when(F.size(named) > 0, F.array_sort(both, order)).otherwise(F.array().cast("array<string>"))
+
+
+def repeated_parts(found: Column, known: Column) -> Column:
+    """(lead, parts) of a repeat: its words by the parts of titled names."""
+
+    def part(word: Column) -> Column:
+        as_known = F.get(F.filter(known, lambda p: p["value"] == F.lower(word)), F.lit(0))
+        loose = F.when(F.lower(word).isin(*PARTICLES), "particle").otherwise("initial")
+        return F.struct(
+            F.coalesce(as_known["kind"], loose).alias("kind"),
+            word.alias("text"), F.lower(word).alias("value"),
+            F.coalesce(as_known["gender"], F.lit("u")).alias("gender"),
+        )
+
+    return F.struct(F.lit("").alias("lead"), F.transform(F.split(found, " "), part).alias("parts"))
+
+
 # --- one surrogate ------------------------------------------------------------------------------------------------
 
 
@@ -112,7 +164,10 @@ def _like(char: Column, stream: Column, at: Column) -> Column:
     number = lambda n: _number(stream, at, n)
     return (
         F.when(code.between(48, 57), number(10).cast("string")).when(code.between(97, 122), _pick("abcdefghijklmnopqrstuvwxyz", number(26)))
-        .when(code.between(65, 90), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(26))).otherwise(char)
+        .when(code.between(65, 90), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", number(26))).when(code < 128, char)
+        .when(char.rlike(r"^\p{IsCyrillic}"), _pick("абвгдежзиклмнопрстуфхцчшщыэюя", number(29)))
+        .when(char.rlike(r"^\p{IsGreek}"), _pick("αβγδεζηθικλμνξοπρστυφχψω", number(24)))
+        .when(char.rlike(r"^\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", number(26))).otherwise(char)
     )
 
 
@@ -146,7 +201,7 @@ def _card(value: Column, stream: Column) -> Column:
     return let(drawn, finish)
 
 
-def _name(value: Column, kind: Column, stream: Column, attempt: Column) -> Column:
+def _name(value: Column, kind: Column, stream: Column, attempt: Column, gender: Column) -> Column:
     """A pronounceable name in the value's script with an ending of its gender; longer after many attempts."""
 
     def spelled(consonants: str, vowels: str, male: tuple[str, ...], female: tuple[str, ...], family: tuple[str, ...]) -> Column:
@@ -155,7 +210,7 @@ def _name(value: Column, kind: Column, stream: Column, attempt: Column) -> Colum
             _pick(consonants, _number(stream, i * 2, len(consonants))), _pick(vowels, _number(stream, i * 2 + 1, len(vowels)))
         )), "")
         end = lambda options: F.element_at(F.array(*[F.lit(o) for o in options]), _number(stream, 58, len(options)) + 1)
-        ending = F.when(kind == "name_f", end(female)).when(kind == "surname", end(family)).otherwise(end(male))
+        ending = F.when(kind == "surname", end(family)).when(gender == "f", end(female)).otherwise(end(male))
         return F.concat(body, ending)
 
     return (
@@ -165,7 +220,7 @@ def _name(value: Column, kind: Column, stream: Column, attempt: Column) -> Colum
     )
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY, gender: Column | None = None) -> Column:
     """The replacement of an identifying value: a keyed hash of kind, value and attempt, spelled in the value's format."""
     message = F.concat_ws("\u0001", kind, attempt.cast("string"), value)
     digest = F.sha2(F.concat(F.lit(key), F.sha2(F.concat(F.lit(key), message), 256)), 512)
@@ -179,7 +234,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
         same_class = _chars(value, lambda c, i: _like(c, stream, i))
         return (
             F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(value, stream)).when(kind.isin("phone", "number"), digits)
-            .when(kind.isin(*NAMES), _name(value, kind, stream, attempt))
+            .when(kind.isin(*NAMES), _name(value, kind, stream, attempt, F.lit("u") if gender is None else gender))
             .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(same_class)
         )
 
@@ -197,11 +252,12 @@ def in_form_of(kind: Column, text: Column, spelled: Column) -> Column:
     digits = F.when(text.rlike(r"^\d+$"), spelled).otherwise(
         F.aggregate(F.split(text, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), lay, lambda acc: acc["out"])
     )
+    initial = F.when(F.upper(text) == text, F.upper(spelled)).otherwise(spelled)
     name = F.when((F.length(text) > 1) & (F.upper(text) == text), F.upper(spelled)).otherwise(F.initcap(spelled))
     email = F.when(F.lower(text) == text, spelled).when(F.upper(text) == text, F.upper(spelled)).otherwise(
         _chars(spelled, lambda c, i: let(F.substring(text, i + 1, F.lit(1)), lambda t: F.when(F.lower(t) != t, F.upper(c)).otherwise(c)))
     )
-    return F.when(kind.isin(*DIGITS_ONLY), digits).when(kind.isin(*NAMES), name).when(kind == "email", email).otherwise(spelled)
+    return F.when(kind.isin(*DIGITS_ONLY), digits).when(kind.isin(*NAMES), name).when(kind == "email", email).when(kind == "initial", initial).otherwise(spelled)
 
 
 # --- the corpus ---------------------------------------------------------------------------------------------------
@@ -215,17 +271,17 @@ def assign(values: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame
     goes to the first; the others draw again under the next attempt. Distinct
     values therefore get distinct surrogates, none of which is a real value.
     """
-    known = materialize(values, "values")
+    known = materialize(values if "gender" in values.columns else values.withColumn("gender", F.lit("u")), "values")
     taken = known.select("kind", F.col("value").alias("spelled"))
     waiting = known.withColumn("attempt", F.lit(0))
     given: list[DataFrame] = []
     for _ in range(rounds):
-        drawn = materialize(waiting.withColumn("spelled", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "drawn")
+        drawn = materialize(waiting.withColumn("spelled", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key, F.col("gender"))), "drawn")
         winners = drawn.groupBy("kind", "spelled").agg(F.min("value").alias("value")).join(taken, ["kind", "spelled"], "left_anti")
         kept = materialize(drawn.join(winners, ["kind", "spelled", "value"]).select("kind", "value", "attempt", "spelled"), "given")
         given.append(kept)
         waiting = materialize(
-            drawn.join(kept, ["kind", "value"], "left_anti").select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "waiting"
+            drawn.join(kept, ["kind", "value"], "left_anti").select("kind", "value", "gender", (F.col("attempt") + 1).alias("attempt")), "waiting"
         )
         if waiting.isEmpty():
             break
@@ -239,30 +295,38 @@ def assign(values: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame
 
 
 def distinct_values(docs: DataFrame) -> DataFrame:
-    found = docs.select(F.explode(entities_of(whole_text())).alias("e")).select(F.explode("e.parts").alias("p"))
-    return found.groupBy(F.col("p.kind").alias("kind"), F.col("p.value").alias("value")).agg(F.count("*").alias("mentions"))
+    """(kind, value, mentions, gender, mixed) of the corpus; a first name's gender is the one most of its titles tell."""
+    found = docs.select(F.explode(entities_of(whole_text())).alias("e")).select(F.explode("e.parts").alias("p")).filter(~F.col("p.kind").isin(*LOOSE))
+    told = F.col("p.gender")
+    lean = F.sum(F.when(told == "f", 1).when(told == "m", -1).otherwise(0))
+    return found.groupBy(F.col("p.kind").alias("kind"), F.col("p.value").alias("value")).agg(
+        F.count("*").alias("mentions"), F.when(lean > 0, "f").when(lean < 0, "m").otherwise("u").alias("gender"),
+        (F.min(told) != F.max(told)).alias("mixed"),
+    )
 
 
 def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with surrogates in the text; ``n_chars``, where present, follows a changed text.
 
     Detected are e-mail and IPv4 addresses, card numbers, telephone and
-    similar numbers, cloud keys, secrets after words such as ``password=`` and
-    names after titles. Equal values get equal surrogates throughout the
+    similar numbers, cloud keys, secrets after words such as ``password=``,
+    names after titles, and these names without a title in the same text. Equal values get equal surrogates throughout the
     corpus and distinct values distinct ones; a surrogate has its value's
     format: class and place of characters, separators and letter case, a
     card's first and check digit, an address's top-level domain, a name's
-    script and, by its title, gender. The rest of the text stays as it is.
+    script and, by the titles it has in the corpus, gender. The rest of the text stays as it is.
     NULL texts stay NULL; other columns and repeated rows are kept; an
     empty table gives an empty table.
 
     Only distinct values are shuffled. First draws are computed in the row;
-    the few values that had to draw again are looked up through their
-    documents.
+    the few values that had to draw again, or whose titles differ in gender,
+    are looked up through their documents.
     """
     names = docs.columns
-    values = distinct_values(docs).select("kind", "value")
-    again = materialize(assign(values, key).filter("attempt > 0").select("kind", "value", "attempt"), "again")
+    values = materialize(distinct_values(docs).select("kind", "value", "gender", "mixed"), "distinct")
+    assigned = assign(values.select("kind", "value", "gender"), key).select("kind", "value", "attempt")
+    again = assigned.join(values, ["kind", "value"]).filter("attempt > 0 OR mixed").select("kind", "value", "attempt", "gender")
+    again = materialize(again, "again")
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), whole_text().alias("text"))
     if again.isEmpty():
         lookup = None
@@ -274,21 +338,34 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
         )
         tables = (
             mentions.join(again, ["kind", "value"]).groupBy(F.col("k_id").alias("m_id"), F.col("k_text").alias("m_text"))
-            .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "value"), "attempt"))).alias("attempts"))
+            .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "value"), F.struct("attempt", "gender")))).alias("attempts"))
         )
         tables = materialize(tables, "attempts")
         keyed = keyed.join(tables, F.col("k_id").eqNullSafe(F.col("m_id")) & (F.col("k_text") == F.col("m_text")), "left")
         lookup = F.col("attempts")
 
     def written(part: Column) -> Column:
-        attempt = F.lit(0)
+        attempt, gender = F.lit(0), part["gender"]
         if lookup is not None:
-            attempt = F.coalesce(F.try_element_at(lookup, F.concat_ws("\u0001", part["kind"], part["value"])), F.lit(0))
-        return in_form_of(part["kind"], part["text"], surrogate(part["kind"], part["value"], attempt, key))
-
-    found = keyed.withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    new = F.transform("found", lambda m: let(parts_of(m), lambda e: F.concat(e["lead"], F.array_join(F.transform(e["parts"], written), " "))))
-    between = F.split("text", PATTERN, -1)
+            settled = F.try_element_at(lookup, F.concat_ws("\u0001", part["kind"], part["value"]))
+            attempt, gender = F.coalesce(settled["attempt"], attempt), F.coalesce(settled["gender"], gender)
+        spelled = in_form_of(part["kind"], part["text"], surrogate(part["kind"], part["value"], attempt, key, gender))
+        return F.when(part["kind"] == "particle", part["text"]).otherwise(spelled)
+
+    # Texts without a title are not searched for names once more.
+    keyed = keyed.withColumn("entities", F.when(F.col("text").rlike(TITLED), entities_of(F.col("text"))))
+    keyed = keyed.withColumn("repeats", repeats_of(F.col("text"), F.col("entities")))
+    named = F.size("repeats") > 0
+    quoted = F.array_join(F.transform("repeats", lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E"))), "|")
+    pattern = F.when(named, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{M}\d])(?:"), quoted, F.lit(r")(?![\p{L}\p{M}\d])"))).otherwise(F.lit(PATTERN))
+    keyed = keyed.withColumns({"pattern": pattern, "known": F.when(named, name_parts(F.col("entities")))})
+    found = keyed.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
+
+    def parts_in_row(m: Column) -> Column:
+        return F.when(F.array_contains("repeats", m), repeated_parts(m, F.col("known"))).otherwise(parts_of(m))
+
+    new = F.transform("found", lambda m: let(parts_in_row(m), lambda e: F.concat(e["lead"], F.array_join(F.transform(e["parts"], written), " "))))
+    between = F.split("text", F.col("pattern"), -1)
     rebuilt = F.array_join(F.zip_with(between, F.array_append(new, F.lit("")), lambda gap, sur: F.concat(gap, sur)), "")
     changed = found.withColumn("new_text", F.when(F.size("found") > 0, rebuilt))
     columns = []

@@ -134,6 +134,22 @@ def test_surrogates_keep_identity_and_format(spark):
     assert re.fullmatch(r"г-жа [А-Яа-я]+а [А-Яа-я]+", out[3]) and "Иванова" not in out[3]
 
 
+def test_surrogates_cover_whole_names_and_repeats(spark):
+    texts = [
+        "Señor Juan Carlos García López spoke to Dr. J. Smith and Herr Ludwig van Beethoven.", "Write to jürgen.müller@mail.example.com today.",
+        "Mrs Anna Berger came. Anna Berger left; BERGER's coat stayed.", "Dr Anna Berger is in.", "Mr Field saw a field. Field work.", "Anna Berger",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs).collect()}
+    assert not re.search("Juan|Carlos|García|López|Smith|Ludwig|Beethoven", out[0])
+    assert re.fullmatch(r"Señor \w+ \w+ \w+ \w+ spoke to Dr\. [A-Z]\. \w+ and Herr \w+ van \w+\.", out[0])
+    assert re.fullmatch(r"Write to [a-z]{6}\.[a-z]{6}@\w{4}\.\w{7}\.com today\.", out[1]) and "gen" not in out[1] and "mü" not in out[1]
+    first, last = re.match(r"Mrs (\w+) (\w+) came", out[2]).groups()
+    assert first != "Anna" and out[2] == f"Mrs {first} {last} came. {first} {last} left; {last.upper()}'s coat stayed."
+    assert out[3] == f"Dr {first} {last} is in." and out[5] == texts[5]
+    assert re.fullmatch(r"Mr (?!Field)\w+ saw a field\. Field work\.", out[4])
+
+
 def test_surrogates_never_collide(spark):
     values = spark.createDataFrame([("phone", d) for d in "2345"], "kind string, value string")
     spelled = [r["spelled"] for r in surrogates.assign(values).collect()]
