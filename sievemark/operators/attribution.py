@@ -7,11 +7,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions.labels import class_name, sigmoid
 from sievemark.functions.vectors import dot, literal_vector, standardize, vec_sum
+from sievemark.operators.boosting import LEAF, Tree, margins
 from sievemark.operators.models import BoostedModel, LogisticModel, feature_moments
 
 
@@ -57,48 +58,31 @@ def with_residual(explained: DataFrame) -> DataFrame:
 
 # --- Trees ---------------------------------------------------------------------
 
-def tree_nodes(model: BoostedModel, path: str) -> DataFrame:
-    """Nodes of a fitted ensemble as a table: the model is saved and its node data read back."""
-    model.fitted.write().overwrite().save(path)
-    spark = SparkSession.active()
-    weights = spark.createDataFrame(
-        list(enumerate(float(w) for w in model.fitted.treeWeights)), "treeID int, weight double"
-    )
-    return (
-        spark.read.parquet(f"{path}/data").join(F.broadcast(weights), "treeID")
-        .select("treeID", "weight", "nodeData.*")
-    )
-
-
-def leaf_paths(nodes: pd.DataFrame) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Leaves as (weighted value, conditions); repeated features on a path are merged.
+def leaf_paths(trees: tuple[Tree, ...]) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """Leaves as (value, conditions); repeated features on a path are merged.
 
     A condition is (feature, low, high, share): low < x <= high, and the share
-    of training rows that take this way at the splits on that feature.
+    of the training hessian that takes this way at the splits on that feature.
     """
     leaves = []
-    for _, tree in nodes.groupby("treeID"):
-        by_id = tree.set_index("id")
-        stack = [(0, {})]
+    for tree in trees:
+        stack: list[tuple[int, dict]] = [(0, {})]
         while stack:
-            node_id, conditions = stack.pop()
-            node = by_id.loc[node_id]
-            if node["leftChild"] < 0:
-                value = float(node["prediction"]) * float(node["weight"])
-                leaves.append((value, [(f, *c) for f, c in conditions.items()]))
+            node, conditions = stack.pop()
+            feature, cut = tree.feature[node], tree.cut[node]
+            if feature == LEAF:
+                leaves.append((tree.value[node], [(f, *c) for f, c in conditions.items()]))
                 continue
-            feature = int(node["split"]["featureIndex"])
-            cut = float(node["split"]["leftCategoriesOrThreshold"][0])
-            for child, is_left in ((int(node["leftChild"]), True), (int(node["rightChild"]), False)):
+            for child, is_left in ((tree.left[node], True), (tree.right[node], False)):
                 low, high, share = conditions.get(feature, (-math.inf, math.inf, 1.0))
-                share *= float(by_id.loc[child]["rawCount"]) / float(node["rawCount"])
+                share *= tree.cover[child] / tree.cover[node]
                 bounds = (low, min(high, cut), share) if is_left else (max(low, cut), high, share)
                 stack.append((child, {**conditions, feature: bounds}))
     return leaves
 
 
-def tree_contributions(x: np.ndarray, leaves) -> tuple[np.ndarray, float, np.ndarray]:
-    """(phi, base, raw sum) of a batch of rows.
+def tree_contributions(x: np.ndarray, leaves) -> tuple[np.ndarray, float]:
+    """(phi, base) of a batch of rows.
 
     Path-dependent Shapley values leaf by leaf.  For one leaf, a feature g in
     the coalition multiplies the leaf's weight by hit_g (does the row meet g's
@@ -106,12 +90,10 @@ def tree_contributions(x: np.ndarray, leaves) -> tuple[np.ndarray, float, np.nda
     the coefficients of prod_g (share_g + hit_g t).
     """
     phi = np.zeros(x.shape)
-    raw = np.zeros(len(x))
     base = 0.0
     for value, conditions in leaves:
         base += value * math.prod(c[3] for c in conditions)
         hits = [((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in conditions]
-        raw += value * (np.prod(hits, axis=0) if hits else 1.0)
         m = len(conditions)
         for i, (feature, _, _, share) in enumerate(conditions):
             sizes = np.zeros((m, len(x)))
@@ -122,15 +104,16 @@ def tree_contributions(x: np.ndarray, leaves) -> tuple[np.ndarray, float, np.nda
                     sizes = sizes * other[3] + moved
             weights = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m) for k in range(m)]
             phi[:, feature] += value * (hits[i] - share) * (np.asarray(weights) @ sizes)
-    return phi, base, raw
+    return phi, base
 
 
-def explain_trees(rows: DataFrame, model: BoostedModel, path: str, key: str = "record_id") -> DataFrame:
-    """Tree contributions to the log-odds (twice the raw sum), computed in Arrow batches.
+def explain_trees(rows: DataFrame, model: BoostedModel, key: str = "record_id") -> DataFrame:
+    """Tree contributions to the log-odds, computed in Arrow batches.
 
-    The node table is bounded by trees x 2^depth and travels with the task.
+    The leaves are bounded by trees x 2^depth and travel with the task. The margin comes from walking the trees, so the
+    residual compares the two.
     """
-    leaves = leaf_paths(tree_nodes(model, path).toPandas())
+    leaves, trees = leaf_paths(model.trees), model.trees
     key_type = rows.schema[key].dataType.simpleString()
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,10 +121,11 @@ def explain_trees(rows: DataFrame, model: BoostedModel, path: str, key: str = "r
             if batch.empty:
                 continue
             # Trees hold 64-bit cuts, so rows are compared in 64 bits.
-            phi, base, raw = tree_contributions(np.stack(batch["vec"]).astype(float), leaves)
-            margin = 2.0 * raw
+            x = np.stack(batch["vec"]).astype(float)
+            phi, base = tree_contributions(x, leaves)
+            margin = margins(x, trees)
             yield pd.DataFrame({
-                key: batch[key], "phi": list(2.0 * phi), "base": 2.0 * base,
+                key: batch[key], "phi": list(phi), "base": base,
                 "margin": margin, "probability": 1.0 / (1.0 + np.exp(-margin)),
             })
 

@@ -31,17 +31,12 @@ BATCH_COLUMNS = [
 
 @dataclass(frozen=True)
 class Scorer:
-    """A model as the catalog sees it: raw score, threshold, kind and version.
+    """A model as the catalog sees it: raw score as an expression over the features, threshold, kind and version."""
 
-    ``raw_score`` is an expression over the features; a model that scores
-    whole tables gives ``add_raw`` instead, which adds a ``_raw`` column.
-    """
-
-    raw_score: Callable[[Column], Column] | None
+    raw_score: Callable[[Column], Column]
     raw_threshold: float
     kind: str
     version: str
-    add_raw: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
         if self.kind == "probability" and not 0 <= self.raw_threshold <= 1:
@@ -50,8 +45,6 @@ class Scorer:
             raise ValueError("decision threshold must be finite")
 
     def with_raw(self, content: DataFrame) -> DataFrame:
-        if self.add_raw is not None:
-            return self.add_raw(content)
         return content.withColumn("_raw", self.raw_score(F.col("features")))
 
     def columns(self, raw: Column) -> dict[str, Column]:

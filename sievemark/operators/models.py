@@ -1,4 +1,4 @@
-"""Training, tuning and scoring of the three binary classifiers with MLlib."""
+"""Training, tuning and scoring of the three binary classifiers."""
 
 from __future__ import annotations
 
@@ -7,12 +7,10 @@ from dataclasses import asdict, dataclass, field
 import hashlib
 import itertools
 import json
-import math
 import time
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,12 +18,15 @@ from pyspark.sql import functions as F
 
 from sievemark import schemas as S
 from sievemark.functions.labels import sigmoid
-from sievemark.functions.vectors import dot, literal_vector, standardize
+from sievemark.functions.vectors import dot, literal_vector, standardize, vector_hash
+from sievemark.operators import boosting, solvers
 from sievemark.operators.metrics import auc_rank, select_threshold, threshold_metrics
 from sievemark.operators.skew import broadcast_if_small
+from sievemark.operators.solvers import rbf
 from sievemark.operators.splits import holdout_fold, stratified_folds
+from sievemark.session import materialize
 
-RANDOM_FEATURES = 128
+LANDMARKS = 200
 
 
 # --- Moments and weights -------------------------------------------------------
@@ -121,71 +122,71 @@ class LogisticModel:
 
 @dataclass(frozen=True)
 class MarginModel:
-    """Approximate RBF-kernel margin: random Fourier features and a linear SVM."""
+    """RBF-kernel margin: weighted kernel values at landmark rows."""
 
     standardizer: Standardizer
-    frequencies: tuple[tuple[float, ...], ...]
-    phases: tuple[float, ...]
+    landmarks: tuple[tuple[float, ...], ...]
+    gamma: float
     coefficients: tuple[float, ...]
     intercept: float
     name: str = "svm"
     kind: str = "margin"
 
-    def features(self, vec: Column) -> Column:
-        return fourier_features(self.frequencies, self.phases)(self.standardizer.apply(vec))
-
     def raw_score(self, vec: Column) -> Column:
-        return dot(self.features(vec), literal_vector(self.coefficients)) + F.lit(self.intercept)
+        score, size = kernel_margins(self.landmarks, self.gamma, self.coefficients, self.intercept), len(self.standardizer.mean)
+        fits = vec.isNotNull() & (F.size(vec) == size)
+        return F.when(fits, score(self.standardizer.apply(F.when(fits, vec).otherwise(F.array_repeat(F.lit(0.0), size)))))
 
     def score(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("score", self.raw_score(F.col("vec")))
 
     def describe(self) -> str:
-        return json.dumps([self.standardizer.mean, self.standardizer.scale, self.frequencies,
-                           self.phases, self.coefficients, self.intercept])
+        return json.dumps([self.standardizer.mean, self.standardizer.scale, self.landmarks, self.gamma, self.coefficients, self.intercept])
 
 
 @dataclass(frozen=True)
 class BoostedModel:
-    """Gradient-boosted trees; the log-odds is twice MLlib's raw sum F."""
+    """Gradient-boosted trees for the log-odds."""
 
-    fitted: object
+    trees: tuple[boosting.Tree, ...]
+    n_features: int
     name: str = "xgboost"
     kind: str = "probability"
 
+    def margin(self, vec: Column) -> Column:
+        """The log-odds, NULL where a vector does not fit the model."""
+        fits = vec.isNotNull() & (F.size(vec) == self.n_features)
+        return F.when(fits, tree_margins(self.trees)(F.when(fits, vec).otherwise(F.array_repeat(F.lit(0.0), self.n_features))))
+
+    def raw_score(self, vec: Column) -> Column:
+        return sigmoid(self.margin(vec))
+
     def score(self, rows: DataFrame) -> DataFrame:
-        keep = rows.columns
-        scored = self.fitted.transform(rows.withColumn("_features", array_to_vector(F.col("vec"))))
-        return scored.select(*keep, vector_to_array("probability")[1].alias("score"))
-
-    def add_raw(self, content: DataFrame) -> DataFrame:
-        """Catalog rows with the probability of their features, NULL where they do not fit the model."""
-        size = self.fitted.numFeatures
-        fits = F.col("features").isNotNull() & (F.size("features") == size)
-        filled = F.when(fits, F.col("features")).otherwise(F.array_repeat(F.lit(0.0), size))
-        out = self.fitted.transform(content.withColumn("_features", array_to_vector(filled)))
-        return out.select(*content.columns, F.when(fits, vector_to_array("probability")[1]).alias("_raw"))
+        return rows.withColumn("score", self.raw_score(F.col("vec")))
 
     def describe(self) -> str:
-        return self.fitted.toDebugString
+        return json.dumps([self.n_features, [asdict(t) for t in self.trees]])
 
 
-def fourier_features(frequencies, phases) -> Callable[[Column], Column]:
-    """sqrt(2/D) cos(w z + b) per random frequency (Rahimi and Recht, 2007).
+def kernel_margins(landmarks, gamma: float, coefficients, intercept: float) -> Callable[[Column], Column]:
+    """Kernel values against all landmarks are one matrix product per Arrow batch; the landmarks travel with the tasks."""
+    z, beta = np.asarray(landmarks, dtype=float), np.asarray(coefficients, dtype=float)
 
-    One matrix product per Arrow batch; as an array expression this would be
-    features x frequencies interpreted steps per row.
-    """
-    w, b = np.asarray(frequencies, dtype=float), np.asarray(phases, dtype=float)
-    gain = math.sqrt(2.0 / len(b))
+    @F.pandas_udf("double")
+    def margins(vec: pd.Series) -> pd.Series:
+        return pd.Series(rbf(np.stack(vec.to_numpy()), z, gamma) @ beta + intercept) if len(vec) else pd.Series([], dtype=float)
+
+    return margins
 
-    @F.pandas_udf("array<double>")
-    def features(z: pd.Series) -> pd.Series:
-        if z.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(gain * np.cos(np.stack(z.to_numpy()) @ w.T + b)))
 
-    return features
+def tree_margins(trees: tuple[boosting.Tree, ...]) -> Callable[[Column], Column]:
+    """Log-odds of all trees, per Arrow batch; their nodes travel with the tasks."""
+
+    @F.pandas_udf("double")
+    def margins(vec: pd.Series) -> pd.Series:
+        return pd.Series(boosting.margins(np.stack(vec.to_numpy()), trees)) if len(vec) else pd.Series([], dtype=float)
+
+    return margins
 
 
 def model_version(model, threshold: float) -> str:
@@ -197,17 +198,8 @@ def model_version(model, threshold: float) -> str:
 # --- Storing --------------------------------------------------------------------
 
 def save_model(model, threshold: float, path: str, spark) -> None:
-    """Write a fitted model and its threshold below ``path``, replacing what is there.
-
-    Numbers of the linear models go into one JSON row, which keeps every
-    digit; trees are stored by MLlib itself.
-    """
-    if isinstance(model, BoostedModel):
-        model.fitted.write().overwrite().save(f"{path}/trees")
-        numbers = {}
-    else:
-        numbers = asdict(model)
-    row = (model.name, float(threshold), model_version(model, threshold), json.dumps(numbers))
+    """Write a fitted model and its threshold below ``path`` as one JSON row that keeps every digit, replacing what is there."""
+    row = (model.name, float(threshold), model_version(model, threshold), json.dumps(asdict(model)))
     stored = spark.createDataFrame([row], "name string, threshold double, version string, numbers string")
     stored.coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
@@ -219,12 +211,12 @@ def _tuples(value):
 def load_model(spark, path: str) -> tuple[object, float]:
     """A stored model and its threshold; one that differs from what was stored is an error."""
     row = spark.read.parquet(f"{path}/model").first()
-    numbers = {k: _tuples(v) for k, v in json.loads(row["numbers"]).items() if k != "standardizer"}
+    stored = json.loads(row["numbers"])
+    numbers = {k: _tuples(v) for k, v in stored.items() if k not in ("standardizer", "trees")}
     if row["name"] == "xgboost":
-        model = BoostedModel(GBTClassificationModel.load(f"{path}/trees"))
+        model = BoostedModel(tuple(boosting.Tree(**{k: _tuples(v) for k, v in t.items()}) for t in stored["trees"]), **numbers)
     else:
-        scaler = json.loads(row["numbers"])["standardizer"]
-        scaler = Standardizer(**{k: _tuples(v) for k, v in scaler.items()})
+        scaler = Standardizer(**{k: _tuples(v) for k, v in stored["standardizer"].items()})
         model = {"logistic": LogisticModel, "svm": MarginModel}[row["name"]](standardizer=scaler, **numbers)
     if model_version(model, row["threshold"]) != row["version"]:
         raise ValueError(f"the model at {path} is not the one that was stored")
@@ -233,54 +225,64 @@ def load_model(spark, path: str) -> tuple[object, float]:
 
 # --- Fitting -------------------------------------------------------------------
 
+def _standardized(train: DataFrame, scaler: Standardizer, class_weight: str | None) -> DataFrame:
+    """Weighted standardised rows as a written table, which each iteration reads once."""
+    rows = _weighted(train, class_weight).select("label", "weight", scaler.apply(F.col("vec")).alias("vec"))
+    return materialize(solvers.weighted_rows(rows), "standardized")
+
+
+def with_constant(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([x, np.ones(len(x))])
+
+
 def fit_logistic(train: DataFrame, *, C: float = 1.0, penalty: str = "l2", class_weight: str | None = None,
-                 standardizer: Standardizer | None = None, n: int | None = None) -> LogisticModel:
+                 standardizer: Standardizer | None = None) -> LogisticModel:
+    """Penalised logistic regression by proximal Newton; the intercept is the weight of a constant column and penalised like others."""
     scaler = standardizer or Standardizer.fit(train)
-    rows = _weighted(train, class_weight).select(
-        F.col("label").cast("double").alias("label"), "weight",
-        array_to_vector(scaler.apply(F.col("vec"))).alias("features"),
-    )
-    n = n or train.count()
-    fitted = LogisticRegression(
-        maxIter=200, tol=1e-8, standardization=False, weightCol="weight",
-        elasticNetParam=1.0 if penalty == "l1" else 0.0, regParam=1.0 / (C * n),
-    ).fit(rows)
-    return LogisticModel(scaler, tuple(float(c) for c in fitted.coefficients), float(fitted.intercept))
+    rows = _standardized(train, scaler, class_weight)
+    weights, _ = solvers.minimize(rows, with_constant, len(scaler.mean) + 1, solvers.logistic_loss, C, penalty=penalty)
+    return LogisticModel(scaler, tuple(weights[:-1].tolist()), float(weights[-1]))
+
+
+def landmark_rows(train: DataFrame, count: int, seed: int = S.DEFAULT_SEED) -> list[list[float]]:
+    """At most ``count`` distinct vectors, those with the smallest seeded hashes."""
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), vector_hash(F.col("vec"))), 256)
+    return [r["vec"] for r in train.select("vec", order.alias("_order")).dropDuplicates(["_order"]).orderBy("_order").limit(count).collect()]
 
 
 def fit_margin(train: DataFrame, *, C: float = 1.0, gamma: float | str = "scale", class_weight: str | None = None,
-               standardizer: Standardizer | None = None, n: int | None = None,
-               features: int = RANDOM_FEATURES, seed: int = S.DEFAULT_SEED) -> MarginModel:
+               standardizer: Standardizer | None = None, landmarks: int = LANDMARKS, seed: int = S.DEFAULT_SEED) -> MarginModel:
+    """RBF-kernel margin with squared hinge loss on Nystroem features (Williams and Seeger, 2001).
+
+    Kernel values at ``landmarks`` training rows, whitened by their own kernel
+    matrix, are the features; with every row a landmark this is the exact
+    kernel model. The intercept is not penalised.
+    """
     scaler = standardizer or Standardizer.fit(train)
-    d = len(scaler.mean)
-    # 'scale' is 1 / (features * variance); standardised inputs have variance 1.
-    width = 1.0 / d if gamma == "scale" else float(gamma)
-    rng = np.random.default_rng(seed)
-    frequencies = tuple(map(tuple, rng.normal(0.0, math.sqrt(2.0 * width), (features, d))))
-    phases = tuple(rng.uniform(0.0, 2.0 * math.pi, features))
-    z = scaler.apply(F.col("vec"))
-    rows = _weighted(train, class_weight).select(
-        F.col("label").cast("double").alias("label"), "weight",
-        array_to_vector(fourier_features(frequencies, phases)(z)).alias("features"),
+    # 'scale' is 1 / (features * variance); standardised inputs have variance 1, constant ones 0.
+    width = 1.0 / max(1, sum(s > 0 for s in scaler.scale)) if gamma == "scale" else float(gamma)
+    scale = np.array([s or 1.0 for s in scaler.scale])
+    chosen = (np.asarray(landmark_rows(train, landmarks, seed), dtype=float) - scaler.mean) / scale
+    whiten = solvers.whitening(chosen, width)
+    size = whiten.shape[1]
+
+    def features(x: np.ndarray) -> np.ndarray:
+        return with_constant(solvers.rbf(x, chosen, width) @ whiten)
+
+    weights, _ = solvers.minimize(
+        _standardized(train, scaler, class_weight), features, size + 1, solvers.squared_hinge_loss, C, penalised=np.append(np.ones(size), 0.0),
     )
-    n = n or train.count()
-    fitted = LinearSVC(maxIter=100, regParam=1.0 / (C * n), standardization=False, weightCol="weight").fit(rows)
-    return MarginModel(scaler, frequencies, phases, tuple(float(c) for c in fitted.coefficients),
-                       float(fitted.intercept))
+    return MarginModel(scaler, tuple(map(tuple, chosen.tolist())), width, tuple((whiten @ weights[:-1]).tolist()), float(weights[-1]))
 
 
 def fit_boosted(train: DataFrame, *, n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.1,
-                subsample: float = 1.0, colsample_bytree: float = 1.0, min_child_weight: int = 1,
-                seed: int = S.DEFAULT_SEED, **_) -> BoostedModel:
-    rows = train.select(
-        F.col("label").cast("double").alias("label"), array_to_vector(F.col("vec")).alias("_features")
-    )
-    fitted = GBTClassifier(
-        featuresCol="_features", maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate,
-        subsamplingRate=subsample, featureSubsetStrategy=str(colsample_bytree) if colsample_bytree < 1 else "all",
-        minInstancesPerNode=min_child_weight, seed=seed,
-    ).fit(rows)
-    return BoostedModel(fitted)
+                subsample: float = 1.0, colsample_bytree: float = 1.0, min_child_weight: float = 1, max_bins: int = boosting.MAX_BINS,
+                seed: int = S.DEFAULT_SEED) -> BoostedModel:
+    """Second-order boosted trees; ``min_child_weight`` bounds a child's hessian sum."""
+    return BoostedModel(*boosting.fit_trees(
+        train, n_estimators=n_estimators, max_depth=max_depth, learning_rate=learning_rate, subsample=subsample,
+        colsample_bytree=colsample_bytree, min_child_weight=min_child_weight, max_bins=max_bins, seed=seed,
+    ))
 
 
 FITTERS: dict[str, Callable] = {"logistic": fit_logistic, "svm": fit_margin, "xgboost": fit_boosted}
@@ -331,7 +333,7 @@ def tune_and_fit(
         fixed = {}
         for fold in fold_ids:
             fitting = parts.where(F.col("fold") != fold)
-            shared = {} if name == "xgboost" else {"standardizer": Standardizer.fit(fitting), "n": fitting.count()}
+            shared = {} if name == "xgboost" else {"standardizer": Standardizer.fit(fitting)}
             fixed[fold] = (fitting, parts.where(F.col("fold") == fold), shared)
         results = []
         for setting in sample_settings(grid or GRIDS[name], n_iter, seed):

@@ -154,7 +154,7 @@ def explain(rows: DataFrame, model, threshold: float, folder: str, width: int, *
     if isinstance(model, models.LogisticModel):
         explained = attribution.explain_linear(rows, model, background)
     elif isinstance(model, models.BoostedModel):
-        phi = attribution.explain_trees(rows, model, f"{folder}/nodes")
+        phi = attribution.explain_trees(rows, model)
         explained = rows.join(phi, "record_id")
     else:
         raise ValueError(f"no exact attribution for model {model.name!r}")
@@ -170,12 +170,10 @@ def explain(rows: DataFrame, model, threshold: float, folder: str, width: int, *
 def catalog_scorer(model, threshold: float) -> Scorer:
     """A trained model for ingest and rescoring."""
     version = models.model_version(model, threshold)
-    if isinstance(model, models.BoostedModel):
-        return Scorer(None, threshold, model.kind, version, add_raw=model.add_raw)
     return Scorer(model.raw_score, threshold, model.kind, version)
 
 
-def explain_catalog(content: DataFrame, model, threshold: float, folder: str) -> DataFrame:
+def explain_catalog(content: DataFrame, model, threshold: float) -> DataFrame:
     """Contributions of scored contents under the model that scored them.
 
     Rows scored by another version, or whose stored score is not what the
@@ -191,7 +189,7 @@ def explain_catalog(content: DataFrame, model, threshold: float, folder: str) ->
     if isinstance(model, models.LogisticModel):
         explained = attribution.explain_linear(good, model)
     elif isinstance(model, models.BoostedModel):
-        explained = attribution.explain_trees(good, model, f"{folder}/nodes")
+        explained = attribution.explain_trees(good, model)
     else:
         raise ValueError(f"no exact attribution for model {model.name!r}")
     return marked.select("record_id", "problem").join(explained.drop("problem", "vec"), "record_id", "left")

@@ -100,34 +100,29 @@ def test_empty_background_is_an_error(rows, logistic):
         attribution.explain_linear(rows, logistic, background=rows.limit(0))
 
 
-def test_trees_against_every_coalition(spark, rows, boosted):
-    path = scratch_path(spark, "trees")
-    got = attribution.explain_trees(rows, boosted, path).orderBy("record_id").limit(4).collect()
-    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toPandas()
-    weights = list(boosted.fitted.treeWeights)
-
-    def walk(tree, node_id, x, known):
-        node = tree.loc[node_id]
-        if node["leftChild"] < 0:
-            return node["prediction"]
-        left, right = int(node["leftChild"]), int(node["rightChild"])
-        feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+def test_trees_against_every_coalition(rows, boosted):
+    got = attribution.explain_trees(rows, boosted).orderBy("record_id").limit(4).collect()
+
+    def walk(tree, node, x, known):
+        feature = tree.feature[node]
+        if feature < 0:
+            return tree.value[node]
+        left, right = tree.left[node], tree.right[node]
         if feature in known:
-            return walk(tree, left if x[feature] <= cut else right, x, known)
-        shares = [tree.loc[c]["rawCount"] / node["rawCount"] for c in (left, right)]
+            return walk(tree, left if x[feature] <= tree.cut[node] else right, x, known)
+        shares = [tree.cover[c] / tree.cover[node] for c in (left, right)]
         return shares[0] * walk(tree, left, x, known) + shares[1] * walk(tree, right, x, known)
 
-    trees = [(weights[t], g.set_index("id")) for t, g in nodes.groupby("treeID")]
     x = matrix(rows)
     for i, row in enumerate(got):
-        value = lambda s: 2 * sum(w * walk(t, 0, x[i], s) for w, t in trees)
+        value = lambda s: sum(walk(t, 0, x[i], s) for t in boosted.trees)
         assert row["phi"] == pytest.approx(coalition_values(value, 4), abs=1e-9)
         assert row["base"] == pytest.approx(value(set()), abs=1e-9)
         assert abs(row["residual"]) < 1e-9
 
 
-def test_tree_margin_is_the_model_probability(spark, rows, boosted):
-    explained = attribution.explain_trees(rows, boosted, scratch_path(spark, "trees"))
+def test_tree_margin_is_the_model_probability(rows, boosted):
+    explained = attribution.explain_trees(rows, boosted)
     joined = explained.join(boosted.score(rows).select("record_id", "score"), "record_id")
     assert joined.where("abs(score - probability) > 1e-9").count() == 0
     assert joined.count() == 150
@@ -204,10 +199,10 @@ def test_catalog_is_explained_by_its_own_model_only(spark, rows, logistic, boost
         scored = materialize(ingest.rescore(content, flows.catalog_scorer(model, 0.5)))
         assert scored.where("processing_status = 'complete' and positive_score between 0 and 1").count() == 20
         spoiled = scored.withColumn("positive_score", F.col("positive_score") + F.when(F.col("content_id") == "r003", 0.01).otherwise(0.0))
-        got = flows.explain_catalog(spoiled, model, 0.5, scratch_path(spark, "explain")).toPandas().set_index("record_id")
+        got = flows.explain_catalog(spoiled, model, 0.5).toPandas().set_index("record_id")
         assert got.loc["r003", "problem"] == "stored score differs" and got.loc["r003", "phi"] is None
         assert got["problem"].notna().sum() == 1 and got["residual"].abs().max() < 1e-8
-        stale = flows.explain_catalog(scored, model, 0.6, scratch_path(spark, "explain"))
+        stale = flows.explain_catalog(scored, model, 0.6)
         assert stale.where("problem = 'other model version' and phi is null").count() == 20
     short = content.withColumn("features", F.lit([1.0]))
     bad = ingest.rescore(short, flows.catalog_scorer(boosted, 0.5))
@@ -252,7 +247,7 @@ def test_train_select_predict_explain(spark, rows):
     assert explained.count() == 1 and spark.read.option("header", True).csv(f"{folder}/explain/pixels").count() == 4
     flows.explain(identified, boosted, 0.5, f"{folder}/explain-trees", 2)
     with pytest.raises(ValueError):
-        flows.explain(identified, models.MarginModel(tuning.model.standardizer, (), (), (), 0.0), 0.0, f"{folder}/x", 2)
+        flows.explain(identified, models.MarginModel(tuning.model.standardizer, (), 1.0, (), 0.0), 0.0, f"{folder}/x", 2)
 
 
 def test_augmented_training_leaves_other_splits_alone(spark, rows):
@@ -263,7 +258,7 @@ def test_augmented_training_leaves_other_splits_alone(spark, rows):
 
 def test_stored_models_score_alike(spark, rows):
     train = rows.where("assigned_split = 'train'")
-    for model in (models.fit_logistic(train), models.fit_margin(train, features=16),
+    for model in (models.fit_logistic(train), models.fit_margin(train, landmarks=16),
                   models.fit_boosted(train, n_estimators=3, max_depth=2)):
         path = scratch_path(spark, "model")
         models.save_model(model, 0.25, path, spark)
