@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 import hashlib
 
 import numpy as np
@@ -69,9 +70,9 @@ class PrefixHash:
                 return False
         return True
 
-    def common_prefix(self, i: int, other: PrefixHash, j: int) -> int:
-        """Length of the longest common extension of two positions, by binary search."""
-        low, high = 0, min(self.n - i, other.n - j)
+    def common_prefix(self, i: int, other: PrefixHash, j: int, limit: int) -> int:
+        """Length, at most ``limit``, of the longest common extension of two positions, by binary search."""
+        low, high = 0, limit
         while low < high:
             middle = (low + high + 1) // 2
             if self.span_equal(i, other, j, middle):
@@ -80,34 +81,47 @@ class PrefixHash:
                 high = middle - 1
         return low
 
-    def common_suffix(self, other: PrefixHash, limit: int) -> int:
-        """Length, at most ``limit``, of the longest common ending, by binary search."""
+    def common_suffix(self, i: int, other: PrefixHash, j: int, limit: int) -> int:
+        """Length, at most ``limit``, of the longest common ending before two positions, by binary search."""
         low, high = 0, limit
         while low < high:
             middle = (low + high + 1) // 2
-            if self.span_equal(self.n - middle, other, other.n - middle, middle):
+            if self.span_equal(i - middle, other, j - middle, middle):
                 low = middle
             else:
                 high = middle - 1
         return low
 
-    def spans(self, starts: np.ndarray, length: int, top: int) -> np.ndarray:
-        """Hashes of the spans of ``length`` at ``starts``, moved to the power ``top``."""
+    def spans(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the spans at ``starts``, wherever they stand: inverse powers move each to power 0."""
         out = np.zeros(starts.size, dtype=np.uint64)
         for base, sums in zip(BASES, self.sums, strict=True):
-            difference = (sums[starts + length] + np.uint64(PRIME) - sums[starts]) % np.uint64(PRIME)
-            out = (out << np.uint64(31)) | (difference * powers(base, top + 1)[top - starts] % np.uint64(PRIME))
+            difference = (sums[starts + SPAN] + np.uint64(PRIME) - sums[starts]) % np.uint64(PRIME)
+            inverse = powers(pow(base, -1, PRIME), self.n)[starts]
+            out = (out << np.uint64(31)) | (difference * inverse % np.uint64(PRIME))
         return out
 
-    def anchors(self, low: int, high: int, length: int) -> np.ndarray:
-        """Places chosen by content alone, after a blank or before every eighth code, where a span fits."""
-        if high - low < length:
-            return np.zeros(0, dtype=np.int64)
-        here = self.codes[low : high - length + 1]
+    @cached_property
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places chosen by content alone, after a blank or at every eighth code, where a span fits, and their spans' hashes."""
+        if self.n < SPAN:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        here = self.codes[: self.n - SPAN + 1]
         chosen = (here & np.uint32(7)) == 0
         chosen[1:] |= here[:-1] == 32
-        chosen[0] = True
-        return np.flatnonzero(chosen) + low
+        starts = np.flatnonzero(chosen)
+        return starts, self.spans(starts)
+
+    def window(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors whose spans lie in [low, high), and ``low`` itself."""
+        if high - low < SPAN:
+            return self.anchors[0][:0], self.anchors[1][:0]
+        starts, hashes = self.anchors
+        i, j = np.searchsorted(starts, [low, high - SPAN + 1])
+        if i < j and starts[i] == low:
+            return starts[i:j], hashes[i:j]
+        first = np.array([low])
+        return np.concatenate([first, starts[i:j]]), np.concatenate([self.spans(first), hashes[i:j]])
 
 
 def fingerprint(value: tuple[int, ...], n: int) -> str:
@@ -115,6 +129,24 @@ def fingerprint(value: tuple[int, ...], n: int) -> str:
     return f"{n:x}-" + "".join(f"{v:08x}" for v in value)
 
 
+def among(some: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Which of ``some`` are among the sorted values."""
+    at = np.searchsorted(sorted_values, some)
+    return sorted_values[np.minimum(at, sorted_values.size - 1)] == some
+
+
+def shared(a: PrefixHash, a_span: tuple[int, int], b: PrefixHash, b_span: tuple[int, int]) -> int:
+    """Code points of both windows in spans, at anchors, that the other window has too."""
+    (left, left_hash), (right, right_hash) = a.window(*a_span), b.window(*b_span)
+    if not left.size or not right.size:
+        return 0
+    hits = among(left_hash, np.sort(right_hash))
+    if not hits.any():
+        return 0
+    back = among(right_hash, np.sort(left_hash[hits]))
+    return sum(int(np.minimum(np.diff(starts), SPAN).sum()) + SPAN for starts in (left[hits], right[back]))
+
+
 def likeness(a: PrefixHash, b: PrefixHash) -> float:
     """Share of both texts that the other also has, from 0 to 1.
 
@@ -122,23 +154,34 @@ def likeness(a: PrefixHash, b: PrefixHash) -> float:
     code points that lie in a span of 32, taken at places chosen by content,
     which the other text has too. Two empty texts are 1.
     """
-    if not a.n and not b.n:
-        return 1.0
     if a.n == b.n and a.value() == b.value():
         return 1.0
-    head = a.common_prefix(0, b, 0)
-    tail = a.common_suffix(b, min(a.n, b.n) - head)
-    total = 2 * (head + tail)
-    left = a.anchors(head, a.n - tail, SPAN)
-    right = b.anchors(head, b.n - tail, SPAN)
-    if left.size and right.size:
-        top = max(a.n, b.n)
-        hashes = a.spans(left, SPAN, top), b.spans(right, SPAN, top)
-        for text, starts, own, others in ((a, left, *hashes), (b, right, *hashes[::-1])):
-            found = starts[np.isin(own, others)]
-            if found.size:
-                total += int(np.minimum(np.diff(found, append=text.n), SPAN).sum())
-    return total / (a.n + b.n)
+    short = min(a.n, b.n)
+    head = a.common_prefix(0, b, 0, short)
+    tail = a.common_suffix(a.n, b, b.n, short - head)
+    return (2 * (head + tail) + shared(a, (head, a.n - tail), b, (head, b.n - tail))) / (a.n + b.n)
+
+
+def edited_value(own: PrefixHash, after: PrefixHash) -> tuple[int, ...]:
+    """The edited text's value, from the sums of the two texts it is made of."""
+    kept = own.n - own.n // 2
+    taken = min(own.n // 2, after.n)
+    return tuple(
+        (int(a[kept]) + int(b[taken]) * pow(base, kept, PRIME)) % PRIME for base, a, b in zip(BASES, own.sums, after.sums, strict=True)
+    )
+
+
+def edited_likeness(own: PrefixHash, after: PrefixHash) -> float:
+    """``likeness`` of a text and its edited text, which need not be hashed: beyond what it keeps it is a window of the next text."""
+    kept = own.n - own.n // 2
+    taken = min(own.n // 2, after.n)
+    n = kept + taken
+    if own.n == n and own.value() == edited_value(own, after):
+        return 1.0
+    more = own.common_prefix(kept, after, 0, taken)
+    tail = own.common_suffix(own.n, after, taken, taken - more)
+    middle = shared(own, (kept + more, own.n - tail), after, (more, taken - tail))
+    return (2 * (kept + more + tail) + middle) / (own.n + n)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -162,13 +205,11 @@ OPEN_DDL = RESULT_DDL + ", part long, role string, text string"
 def compared(doc_id: int | None, text: str, own: PrefixHash, following: str, after: PrefixHash) -> dict:
     """A document's row, given the document that follows it."""
     edited = edited_text(text, following)
-    half = own.n // 2
-    changed = PrefixHash(np.concatenate([own.codes[: own.n - half], after.codes[:half]]))
     return {
         "doc_id": doc_id, "n_chars": own.n,
         "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": fingerprint(own.value(), own.n), "edited_fingerprint": fingerprint(changed.value(), changed.n),
-        "near_edited": likeness(own, changed), "near_next": likeness(own, after),
+        "fingerprint": fingerprint(own.value(), own.n), "edited_fingerprint": fingerprint(edited_value(own, after), len(edited)),
+        "near_edited": edited_likeness(own, after), "near_next": likeness(own, after),
     }
 
 

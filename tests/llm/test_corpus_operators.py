@@ -294,7 +294,38 @@ def test_spans_and_extensions():
     x, y = prefix_hash.PrefixHash(prefix_hash.code_points(a)), prefix_hash.PrefixHash(prefix_hash.code_points(b))
     for i, j, n in itertools.product(range(8), range(9), range(6)):
         assert x.span_equal(i, y, j, n) == (a[i : i + n] == b[j : j + n])
-    assert x.common_prefix(0, y, 2) == 7 and x.common_suffix(y, 13) == 5
+    assert x.common_prefix(0, y, 2, 13) == 7 and x.common_suffix(x.n, y, y.n, 13) == 5
+
+
+def plain_likeness(a, b):
+    """By comparing texts and sets of their 32-grams."""
+    if a == b:
+        return 1.0
+    head = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    tail = next((k for k, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1])) if x != y), min(len(a), len(b)) - head)
+    inner = [t[head : len(t) - tail] for t in (a, b)]
+    marks = [{i: t[i : i + 32] for i in range(len(t) - 31) if i == 0 or t[i - 1] == " " or ord(t[i]) % 8 == 0} for t in inner]
+    total = 2 * (head + tail)
+    for k in (0, 1):
+        other = set(marks[1 - k].values())
+        total += len({i + j for i, gram in marks[k].items() if gram in other for j in range(32)})
+    return total / (len(a) + len(b))
+
+
+def test_likeness_against_sets(texts):
+    rng = np.random.default_rng(4)
+    given = [t or "" for _, t in sorted(texts.items())]
+    pairs = list(itertools.pairwise(given[:60]))
+    for _ in range(600):
+        a = "".join(rng.choice(list("ab h(é"), rng.choice([0, 1, 2, 5, 31, 32, 33, 64, 100, 300])))
+        i, j = sorted(rng.integers(0, len(a) + 1, 2))
+        pairs.append((a, a[:i] + "".join(rng.choice(list("ab h("), rng.integers(0, 60))) + a[j:] + a[i:j] * int(rng.integers(0, 2))))
+    for a, b in pairs:
+        x, y = (prefix_hash.PrefixHash(prefix_hash.code_points(t)) for t in (a, b))
+        row, edited = prefix_hash.compared(1, a, x, b, y), prefix_hash.edited_text(a, b)
+        assert row["near_next"] == plain_likeness(a, b) and row["near_edited"] == plain_likeness(a, edited)
+        whole = prefix_hash.PrefixHash(prefix_hash.code_points(edited))
+        assert row["edited_fingerprint"] == prefix_hash.fingerprint(whole.value(), whole.n)
 
 
 @pytest.mark.parametrize("table", ["documents", "odd", "nothing"])
