@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark import schemas as S
 from sievemark.functions.identity import seeded_order
 from sievemark.functions.labels import split_rank
+from sievemark.functions.raster import affine, side_of
 from sievemark.operators.dedup import dedup_report, deduplicate
 from sievemark.operators.ranking import hash_rank, index_rank
 from sievemark.operators.skew import broadcast_if_small
@@ -234,10 +235,18 @@ def seeded_sample(rows: DataFrame, k: int, key: str, seed: int = S.DEFAULT_SEED)
 
 
 def augment_training(
-    train: DataFrame, copies: int = 1, *, brightness: float = 0.05, contrast: float = 0.05,
-    probability: float = 0.5, seed: int = S.DEFAULT_SEED, top: float = 255.0,
+    train: DataFrame, copies: int = 1, *, width: int | None = None, scale: float = 0.03, translate: float = 0.03, rotate: float = 5.0,
+    brightness: float = 0.05, contrast: float = 0.05, probability: float = 0.5, seed: int = S.DEFAULT_SEED, top: float = 255.0,
 ) -> DataFrame:
-    """Training rows plus ``copies`` versions with a mild seeded change of contrast and brightness."""
+    """Training rows plus ``copies`` versions, mildly and reproducibly changed.
+
+    With ``probability`` a copy's picture is stretched per axis by up to
+    ``scale``, shifted by up to ``translate`` of its size and turned by up to
+    ``rotate`` degrees; independently, its contrast and brightness change.
+    ``width`` is the picture's; without it squares are told by their size,
+    and other vectors only change in contrast and brightness. Draws hang on
+    content, copy and seed. NULL vectors stay NULL.
+    """
     if copies < 1:
         raise ValueError("copies must be at least 1")
 
@@ -246,14 +255,16 @@ def augment_training(
         digits = F.substring(seeded_order(seed, key), 1, 13)
         return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
 
-    copied = (
-        train.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-        .withColumn("_apply", unit("p") < probability)
-        .withColumn("_gain", F.lit(1.0) + (unit("c") * 2 - 1) * contrast)
-        .withColumn("_shift", (unit("b") * 2 - 1) * brightness * top)
-    )
-    changed = F.transform(
-        "vec", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(top), x * F.col("_gain") + F.col("_shift")))
-    )
-    changed_rows = copied.withColumn("vec", F.when(F.col("_apply"), changed).otherwise(F.col("vec")))
-    return train.withColumn("copy", F.lit(0)).unionByName(changed_rows.drop("_apply", "_gain", "_shift"))
+    def around(tag: str, reach: float) -> Column:
+        return (unit(tag) * 2 - 1) * reach
+
+    side = side_of(F.col("vec")) if width is None else F.lit(width)
+    copied = train.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_width", side).withColumns({
+        "_warp": F.col("_width").isNotNull() & (unit("a") < probability), "_sx": 1 + around("sx", scale), "_sy": 1 + around("sy", scale),
+        "_tx": around("tx", translate) * F.col("_width"), "_ty": around("ty", translate) * (F.size("vec") / F.col("_width")),
+        "_turn": around("r", rotate), "_apply": unit("p") < probability, "_gain": 1 + around("c", contrast), "_shift": around("b", brightness) * top,
+    })
+    warped = copied.withColumn("vec", F.when(F.col("_warp"), affine(*map(F.col, ("vec", "_width", "_sx", "_sy", "_tx", "_ty", "_turn")))).otherwise(F.col("vec")))
+    changed = F.transform("vec", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(top), x * F.col("_gain") + F.col("_shift"))))
+    out = warped.withColumn("vec", F.when(F.col("_apply"), changed).otherwise(F.col("vec")))
+    return train.withColumn("copy", F.lit(0)).unionByName(out.select(*train.columns, "copy"))

@@ -427,14 +427,35 @@ def _unit_sql(tag: str) -> str:
 
 @query("augment_union", sql="WITH " + given.SAMPLES_SQL + f""",
 train AS (SELECT vec_id, label, vec, content_hash FROM samples WHERE split = 'train'),
-copied AS (SELECT train.*, copy, {_unit_sql('p')} < 0.5 AS changed, 1.0 + ({_unit_sql('c')} * 2 - 1) * 0.05 AS gain,
-                  ({_unit_sql('b')} * 2 - 1) * 0.05 AS shift FROM train, (VALUES (1), (2)) c(copy))
-SELECT vec_id, label, 0 AS copy, round(list_sum(vec), 6) AS total FROM train
+copied AS (
+  SELECT train.*, copy, {_unit_sql('a')} < 0.5 AS warped, 1 + ({_unit_sql('sx')} * 2 - 1) * 0.03 AS sx, 1 + ({_unit_sql('sy')} * 2 - 1) * 0.03 AS sy,
+         ({_unit_sql('tx')} * 2 - 1) * 0.03 * 8 AS tx, ({_unit_sql('ty')} * 2 - 1) * 0.03 * 8 AS ty, radians(({_unit_sql('r')} * 2 - 1) * 5.0) AS turn,
+         {_unit_sql('p')} < 0.5 AS changed, 1.0 + ({_unit_sql('c')} * 2 - 1) * 0.05 AS gain, ({_unit_sql('b')} * 2 - 1) * 0.05 AS shift
+  FROM train, (VALUES (1), (2)) c(copy)
+),
+places AS (
+  SELECT *, p % 8 - 3.5 - tx AS x, p // 8 - 3.5 - ty AS y FROM copied, (SELECT unnest(range(64)) AS p) q
+),
+origins AS (
+  SELECT *, (x * cos(turn) + y * sin(turn)) / sx + 3.5 AS ox, (y * cos(turn) - x * sin(turn)) / sy + 3.5 AS oy FROM places
+),
+corners AS (
+  SELECT o.*, CASE WHEN floor(ox) + i BETWEEN 0 AND 7 AND floor(oy) + j BETWEEN 0 AND 7
+                   THEN vec[CAST((floor(oy) + j) * 8 + floor(ox) + i AS INTEGER) + 1] ELSE 0 END AS v,
+         (CASE i WHEN 1 THEN ox - floor(ox) ELSE 1 - (ox - floor(ox)) END) * (CASE j WHEN 1 THEN oy - floor(oy) ELSE 1 - (oy - floor(oy)) END) AS share
+  FROM origins o, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) n(i, j)
+),
+cells AS (
+  SELECT vec_id, label, copy, p, CASE WHEN any_value(warped) THEN sum(v * share) ELSE any_value(vec[p + 1]) END AS v,
+         any_value(changed) AS changed, any_value(gain) AS gain, any_value(shift) AS shift
+  FROM corners GROUP BY vec_id, label, copy, p
+)
+SELECT vec_id, label, 0 AS copy, CAST(p AS INTEGER) AS position, round(vec[p + 1], 6) AS value FROM train, (SELECT unnest(range(64)) AS p) q
 UNION ALL
-SELECT vec_id, label, copy, round(list_sum(CASE WHEN changed THEN
-         list_transform(vec, lambda x: greatest(0.0, least(1.0, x * gain + shift))) ELSE vec END), 6) FROM copied
+SELECT vec_id, label, copy, CAST(p AS INTEGER), round(CASE WHEN changed THEN greatest(0.0, least(1.0, v * gain + shift)) ELSE v END, 6) FROM cells
 """)
 def augment_union(spark, folder):
+    """Originals and changed copies, every value of each."""
     train = given.samples(spark, folder).where("split = 'train'")
     rows = splits.augment_training(train, copies=2, top=1.0)
-    return rows.select("vec_id", "label", "copy", F.round(vec_sum(F.col("vec")), 6).alias("total"))
+    return rows.select("vec_id", "label", "copy", F.posexplode("vec").alias("position", "value")).withColumn("value", F.round("value", 6) + 0.0)

@@ -250,18 +250,21 @@ def build_catalog(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 _stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """When the table's path last changed, its files and their bytes, as the file system tells without reading any of them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = store.getContentSummary(where)
+    return store.getFileStatus(where).getModificationTime(), size.getFileCount(), size.getLength()
+
+
 def catalog_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The stored catalog of a folder, ingested on first use in a session and again when its tables change.
 
     Browsing reads tables that an ingest left in the shared folder; ingest
     itself is what ``build_catalog`` and the ingest queries measure.
     """
-    state = table(spark, folder, "documents").select(F.lit("documents").alias("name"), "_metadata").unionByName(
-        table(spark, folder, "labels").select(F.lit("labels").alias("name"), "_metadata")
-    ).groupBy("name").agg(  # one row per table: files, bytes, newest change
-        F.count_distinct("_metadata.file_path"), F.sum("_metadata.file_size"), F.max("_metadata.file_modification_time"),
-    )
-    key = (spark.sparkContext.applicationId, folder, tuple(sorted(map(tuple, state.collect()))))
+    key = (spark.sparkContext.applicationId, folder, *(table_state(spark, f"{folder}/{name}.parquet") for name in ("documents", "labels")))
     if key not in _stored:
         _stored[key] = build_catalog(spark, folder)
     return _stored[key]

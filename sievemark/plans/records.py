@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemark import schemas as S
 from sievemark.functions import identity, labels, vectors
+from sievemark.functions.raster import gray_features
 from sievemark.operators import checks, dedup
 from sievemark.operators.catalog import field_value_rows, json_fields
 from sievemark.operators.metadata import add_duplicate_flags, duplicate_peers
@@ -78,6 +79,56 @@ def scan_decoded_images(spark, folder):
     ).distinct()
 
 
+def _axis_sql(name: str, cells: str, size: int) -> str:
+    """Shares of old cells in ``size`` new ones, per old number of cells."""
+    return f"""
+{name} AS (
+  SELECT before, after, cell, share / sum(share) OVER (PARTITION BY before, after) AS share FROM (
+    SELECT before, after, cell, greatest(0, 1 - abs(cell + 0.5 - (after + 0.5) * before / {size}.0) / greatest(before / {size}.0, 1)) AS share
+    FROM (SELECT DISTINCT {cells} AS before FROM pictures) b, (SELECT unnest(range({size})) AS after) a, (SELECT unnest(range(40)) AS cell) c
+    WHERE cell < before
+  ) q WHERE share > 0
+)"""
+
+
+@query("resampled_features", sql="""
+WITH pictures AS (
+  SELECT vec_id, 9 + vec_id % 31 AS width, 7 + vec_id % 23 AS height, CASE vec_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS channels, embedding
+  FROM embeddings
+),
+samples AS (
+  SELECT vec_id, width, height, channels, i, CAST(floor(abs(CAST(embedding[i % 64 + 1] AS DOUBLE)) * 1024) AS BIGINT) + i * 7 AS v
+  FROM pictures, (SELECT unnest(range(39 * 29 * 4)) AS i) q WHERE i < width * height * channels
+),
+pixels AS (
+  SELECT vec_id, width, height, (i // channels) // width AS r, (i // channels) % width AS c,
+         CASE WHEN any_value(channels) = 1 THEN max(v % 256)
+              ELSE (sum((v % 256) * CASE i % channels WHEN 2 THEN 19595 WHEN 1 THEN 38470 WHEN 0 THEN 7471 ELSE 0 END) + 32768) // 65536 END AS g
+  FROM samples GROUP BY vec_id, width, height, channels, i // channels
+),""" + _axis_sql("across", "width", 28) + "," + _axis_sql("down", "height", 28) + """,
+wide AS (
+  SELECT vec_id, height, r, after AS x, floor(sum(g * share) + 0.5 + 1e-9) AS g
+  FROM pixels JOIN across ON before = width AND cell = c GROUP BY vec_id, height, r, after
+),
+done AS (
+  SELECT vec_id, after * 28 + x AS position, floor(sum(g * share) + 0.5 + 1e-9) AS g
+  FROM wide JOIN down ON before = height AND cell = r GROUP BY vec_id, after, x
+)
+SELECT vec_id, CAST(position AS INTEGER) AS position, CAST(g AS INTEGER) AS intensity FROM done
+""")
+def resampled_features(spark, folder):
+    """Pictures of many sizes, gray and in colour, made of the vectors' digits: every intensity at the model's size."""
+    width, height = 9 + F.col("vec_id") % 31, 7 + F.col("vec_id") % 23
+    channels = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.col("vec_id") % 3 + 1).cast("int"))
+    sized = given.table(spark, folder, "embeddings").select("vec_id", "embedding", width.alias("width"), height.alias("height"), channels.alias("channels"))
+    places = F.sequence(F.lit(0).cast("long"), F.col("width") * F.col("height") * F.col("channels") - 1)
+    value = lambda i: F.floor(F.abs(F.get("embedding", (i % 64).cast("int")).cast("double")) * 1024) + i * 7
+    pixels = F.unhex(F.array_join(F.transform(places, lambda i: F.lpad(F.hex(F.pmod(value(i), F.lit(256))), 2, "0")), ""))
+    pictures = sized.select("vec_id", "width", "height", "channels", pixels.alias("pixels"))
+    features = gray_features(F.col("width"), F.col("height"), F.col("channels"), F.col("pixels"), 28, 28)
+    return pictures.select("vec_id", F.posexplode(features).alias("position", "intensity")).withColumn("intensity", F.col("intensity").cast("int"))
+
+
 @query("scan_labeled_samples", sql=SAMPLES + """
 SELECT split, split_index, CAST(label AS BIGINT) AS label, len(vec) AS features, round(list_aggregate(vec, 'sum'), 6) AS total
 FROM indexed WHERE split = 'val'

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
 from sievemark.functions.labels import limit_text
+from sievemark.functions.raster import gray_features
 
 # First bytes (hex) of each supported format.
 MAGIC_PREFIXES = {
@@ -75,29 +78,23 @@ def scan_decoded_images(spark: SparkSession, directory: str) -> DataFrame:
         F.when(ok, F.col("image.width").cast("long")).alias("width"),
         F.when(ok, F.col("image.height").cast("long")).alias("height"),
         F.when(ok, F.when(channels == 1, "L").when(channels == 3, "RGB").otherwise("RGBA")).alias("color_mode"),
-        F.when(ok, F.col("image.data")).alias("pixels"),
+        F.when(ok, channels).alias("channels"), F.when(ok, F.col("image.data")).alias("pixels"),
         F.when(~ok, F.lit("cannot identify image file")).alias("decode_error"),
     )
 
 
-def gray_features(pixels: Column, size: int) -> Column:
-    """Intensities of a single-channel image whose pixel count is the model's; else NULL.
-
-    Resampling other sizes is left to the producer of the files.
-    """
-    positions = F.sequence(F.lit(1), F.lit(size))
-    values = F.transform(positions, lambda i: F.conv(F.hex(F.substring(pixels, i, F.lit(1))), 16, 10).cast("double"))
-    return F.when(F.octet_length(pixels) == size, values)
-
-
 def file_batch(
     spark: SparkSession, directory: str, feature_count: int = 784, *, max_bytes: int | None = None, max_pixels: int | None = None
 ) -> DataFrame:
     """An ingest batch of a directory: digests, formats and what decoding gave.
 
-    Files above ``max_bytes`` and images above ``max_pixels`` are kept as rows
+    Pictures of any size, gray or in colour, get the features of a square of
+    ``feature_count`` gray values. Files above ``max_bytes`` and images above ``max_pixels`` are kept as rows
     with an error; without these limits everything is read.
     """
+    side = math.isqrt(feature_count)
+    if side * side != feature_count:
+        raise ValueError("feature_count must be a square")
     # Digest, format and features are taken in the scans: the join moves neither bytes nor pixels.
     files = scan_bounded(spark, directory, max_bytes).select(
         "path", "filename", "file_key", "length", "read_error", F.sha2("content", 256).alias("content_id"),
@@ -105,7 +102,7 @@ def file_batch(
     )
     images = scan_decoded_images(spark, directory).select(
         "file_key", "width", "height", "color_mode", "decode_error",
-        gray_features(F.col("pixels"), feature_count).alias("features"),
+        gray_features(F.col("width"), F.col("height"), F.col("channels"), F.col("pixels"), side, side).alias("features"),
     )
     readable = F.col("read_error").isNull()
     fmt = F.col("sniffed")
@@ -115,7 +112,7 @@ def file_batch(
                F.coalesce("decode_error", F.lit("cannot identify image file")))
         .when(too_large, f"Image exceeds {max_pixels} pixels")
         .when(fmt.isNull(), "Unsupported decoded format")
-        .when(F.col("features").isNull(), f"Image is not single-channel with {feature_count} pixels")
+        .when(F.col("features").isNull(), "Image data are incomplete")
     )
     joined = files.join(images, "file_key", "left")
     good = readable & problem.isNull()

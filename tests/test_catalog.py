@@ -2,14 +2,17 @@
 
 import datetime as dt
 import hashlib
+import math
 import os
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import png_bytes
+from conftest import SMALL, png_bytes
 from sievemark import schemas as S
+from sievemark.functions.raster import axis_weights, gray_features
 from sievemark.operators import catalog, dedup, ingest, splits
 from sievemark.plans import flows
 from sievemark.session import materialize, scratch_path
@@ -143,12 +146,68 @@ def test_no_limit_unless_the_caller_sets_one(store):
     assert contents(store)["c1"]["processing_status"] == "complete"
 
 
-def test_images_of_another_size_fail_with_an_error(spark, tmp_path):
-    (tmp_path / "small.png").write_bytes(png_bytes(np.arange(16, dtype=np.uint8).reshape(4, 4)))
-    got = files.file_batch(spark, str(tmp_path), feature_count=64).first()
-    assert got["decode_error"] == "Image is not single-channel with 64 pixels" and got["features"] is None
-    limited = files.file_batch(spark, str(tmp_path), feature_count=16, max_pixels=9).first()
+def bmp_bytes(cells: np.ndarray) -> bytes:
+    """A 24-bit bitmap of (height, width, blue-green-red) cells."""
+    height, width, _ = cells.shape
+    lines = b"".join(row.astype(np.uint8).tobytes() + bytes(-3 * width % 4) for row in cells[::-1])
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + len(lines), 0, 54, 40, width, height, 1, 24, 0, len(lines), 2835, 2835, 0, 0) + lines
+
+
+def plain_features(cells: np.ndarray, side: int) -> list[float]:
+    """Gray values by hand, cell by cell."""
+    gray = [[float((int(r) * 19595 + int(g) * 38470 + int(b) * 7471 + 32768) // 65536) for b, g, r in row] for row in cells]
+
+    def along(line: list[float]) -> list[float]:
+        step = len(line) / side
+        out = []
+        for k in range(side):
+            shares = [max(0.0, 1 - abs(c + 0.5 - (k + 0.5) * step) / max(step, 1.0)) for c in range(len(line))]
+            out.append(math.floor(sum(s * v for s, v in zip(shares, line)) / sum(shares) + 0.5 + 1e-9))
+        return out
+
+    columns = zip(*[along(row) for row in gray])
+    return [float(v) for row in zip(*[along(list(c)) for c in columns]) for v in row]
+
+
+def test_images_of_any_size_and_colour_get_features(spark, tmp_path):
+    small = np.arange(16, dtype=np.uint8).reshape(4, 4)
+    (tmp_path / "small.png").write_bytes(png_bytes(small))
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").limit(12).collect()
+    pictures = {}
+    for k, r in enumerate(rows):
+        height, width = (12, 16) if k < 8 else (40 + k, 3 + k)
+        data = np.resize((np.abs(np.array(r["embedding"])) * 1000).astype(np.uint8), height * width * 3) + np.arange(height * width * 3, dtype=np.uint8)
+        pictures[f"p{k}.bmp"] = data.reshape(height, width, 3)
+        (tmp_path / f"p{k}.bmp").write_bytes(bmp_bytes(pictures[f"p{k}.bmp"]))
+    got = {r["filename"]: r for r in files.file_batch(spark, str(tmp_path)).collect()}
+    assert len(got) == 13 and not any(r["decode_error"] for r in got.values())
+    assert all(len(r["features"]) == 784 for r in got.values())
+    for name, cells in pictures.items():
+        assert list(got[name]["features"]) == plain_features(cells, 28)
+        assert got[name]["color_mode"] == "RGB" and got[name]["width"] == cells.shape[1]
+    same = files.file_batch(spark, str(tmp_path), feature_count=16).where("filename = 'small.png'").first()
+    assert list(same["features"]) == [float(v) for v in small.ravel()] and same["color_mode"] == "L"
+    limited = files.file_batch(spark, str(tmp_path), feature_count=16, max_pixels=9).where("filename = 'small.png'").first()
     assert limited["decode_error"] == "Image exceeds 9 pixels"
+    with pytest.raises(ValueError):
+        files.file_batch(spark, str(tmp_path), feature_count=10)
+
+
+def test_pictures_that_are_none(spark):
+    rows = spark.createDataFrame(
+        [(1, 2, 2, 1, bytearray(b"1234")), (2, 2, 2, 3, bytearray(b"1234")), (3, 0, 2, 1, bytearray(b"")), (4, None, 2, 1, bytearray(b"12")),
+         (5, 1, 1, 2, bytearray(b"12")), (6, 1, 1, 4, None), (7, 1, 1, 4, bytearray(b"abcd"))], "k int, w int, h int, c int, data binary")
+    got = {r["k"]: r["f"] for r in rows.select("k", gray_features(F.col("w"), F.col("h"), F.col("c"), F.col("data"), 2, 2).alias("f")).collect()}
+    assert list(got[1]) == [49.0, 50.0, 51.0, 52.0] and len(set(got[7])) == 1
+    assert all(got[k] is None for k in (2, 3, 4, 5, 6))
+    assert rows.limit(0).select(gray_features(F.col("w"), F.col("h"), F.col("c"), F.col("data"), 2, 2)).count() == 0
+
+
+@pytest.mark.parametrize("before, after", [(28, 28), (1, 5), (5, 1), (16, 28), (100, 28), (7, 3)])
+def test_axis_weights(before, after):
+    weights = axis_weights(before, after)
+    assert weights.shape == (after, before) and weights.sum(axis=1) == pytest.approx(np.ones(after)) and (weights.sum(axis=0) > 0).all()
+    assert weights == pytest.approx(weights[::-1, ::-1]) and (before != after or (weights == np.eye(before)).all())
 
 
 def test_unreadable_keeps_name_split_and_label(store):

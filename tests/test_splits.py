@@ -1,11 +1,13 @@
 """Planted duplicates: pooling, deduplication and splits."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievemark.functions.raster import affine
 from sievemark.operators import dedup, splits
 
 
@@ -114,3 +116,48 @@ def test_augmentation_keeps_originals_and_bounds(spark):
     assert all(0.0 <= x <= 255.0 for v in changed for x in v)
     share = np.mean([v != [0.0, 100.0, 255.0] for v in changed])
     assert 0.2 < share < 0.8
+
+
+def warped_by_hand(vec, width, sx, sy, tx, ty, degrees):
+    height, turn = len(vec) // width, math.radians(degrees)
+
+    def cell(c, r):
+        return vec[r * width + c] if 0 <= c < width and 0 <= r < height else 0.0
+
+    out = []
+    for place in range(len(vec)):
+        x, y = place % width - (width - 1) / 2 - tx, place // width - (height - 1) / 2 - ty
+        ox = (x * math.cos(turn) + y * math.sin(turn)) / sx + (width - 1) / 2
+        oy = (y * math.cos(turn) - x * math.sin(turn)) / sy + (height - 1) / 2
+        c, r = math.floor(ox), math.floor(oy)
+        out.append(sum(
+            cell(c + i, r + j) * (ox - c if i else 1 - ox + c) * (oy - r if j else 1 - oy + r) for i in (0, 1) for j in (0, 1)))
+    return out
+
+
+@pytest.mark.parametrize("width, size, change", [
+    (8, 64, (1.0, 1.0, 0.0, 0.0, 0.0)), (8, 64, (1.1, 0.9, 0.4, -0.3, 7.0)), (5, 15, (0.5, 2.0, 1.0, 0.0, 90.0)), (1, 1, (1.0, 1.0, 0.0, 0.0, 45.0)),
+    (4, 16, (1.0, 1.0, 2.0, -1.0, 0.0)), (6, 36, (1.0, 1.0, 0.0, 0.0, 180.0)),
+])
+def test_affine_warp(spark, width, size, change):
+    rng = np.random.default_rng(size)
+    vec = rng.uniform(0, 255, size).tolist()
+    rows = spark.createDataFrame([(vec, width, *change), (None, width, *change), ([], width, *change)], "vec array<double>, w int, a double, b double, c double, d double, e double")
+    got = rows.select(affine(*map(F.col, ("vec", "w", "a", "b", "c", "d", "e"))).alias("v")).collect()
+    assert list(got[0]["v"]) == pytest.approx(warped_by_hand(vec, width, *change), abs=1e-9)
+    if change == (1.0, 1.0, 0.0, 0.0, 0.0):
+        assert list(got[0]["v"]) == vec
+    assert got[1]["v"] is None and list(got[2]["v"]) == []
+
+
+def test_warped_copies(spark):
+    vec = [float(k * 3 % 256) for k in range(784)]
+    rows = spark.createDataFrame([(i, i % 2, vec, f"{i:064d}") for i in range(60)], "vec_id int, label int, vec array<double>, content_hash string")
+    out = splits.augment_training(rows, brightness=0.0, contrast=0.0, probability=1.0).where("copy = 1").toPandas()
+    assert all(len(v) == 784 and list(v) != vec for v in out["vec"]) and len({tuple(v) for v in out["vec"]}) == 60
+    assert abs(np.mean([np.mean(v) for v in out["vec"]]) - np.mean(vec)) < 10
+    still = splits.augment_training(rows, scale=0.0, translate=0.0, rotate=0.0, brightness=0.0, contrast=0.0, probability=1.0)
+    assert all(list(r["vec"]) == pytest.approx(vec, abs=1e-9) for r in still.collect())
+    wide = rows.withColumn("vec", F.slice("vec", 1, 6))
+    changed = splits.augment_training(wide, width=3, brightness=0.0, contrast=0.0, probability=1.0).where("copy = 1").toPandas()
+    assert all(len(v) == 6 and list(v) != vec[:6] for v in changed["vec"])
