@@ -95,6 +95,8 @@ def balance(classes: DataFrame, sources: DataFrame, most: int = MOST, rounds: in
         state = materialize(bracketed.withColumn("tilt", tilt).select("position", "target", "mean", "tilt", "low", "high", "done"), "tilt")
         if state.filter("NOT done").isEmpty():
             break
+    else:
+        raise RuntimeError("the tilts did not converge")
     # Sums of doubles depend on their order in the last digits; rounding keeps reruns equal.
     return state.select("position", F.round("tilt", 10).alias("tilt"), "mean")
 
@@ -193,20 +195,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, with all its columns.
 
-    Rows that agree in id, source and size share their copies evenly.
+    Rows that agree in id, source and size share their copies evenly; where that leaves some over, the first of them get one more.
     """
     decided = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("alike"))
     decided = materialize(
-        decided.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies", "alike"), "decided"
+        decided.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies", "alike",
+                       F.monotonically_increasing_id().alias("class")), "decided"
     )
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("k_id"),
-        F.col("source").cast("string").alias("k_source"), word_count(whole_text()).alias("k_size"),
-        F.xxhash64(F.monotonically_increasing_id()).alias("turn"),
+        F.col("source").cast("string").alias("k_source"), word_count(whole_text()).alias("k_size"), F.monotonically_increasing_id().alias("turn"),
     )
     same = F.col("k_id").eqNullSafe(F.col("m_id")) & F.col("k_source").eqNullSafe(F.col("m_source")) & (F.col("k_size") == F.col("m_size"))
-    own = F.floor(F.col("copies") / F.col("alike")) + (F.pmod("turn", "alike") < F.pmod("copies", "alike")).cast("long")
-    return (
-        keyed.join(decided, same).withColumn("own", own).filter("own > 0")
-        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select("row.*")
-    )
+    joined = keyed.join(decided.hint("merge"), same).select("row", "turn", "class", "copies", "alike")
+    each, over = F.floor(F.col("copies") / F.col("alike")), F.pmod("copies", "alike")
+    even = joined.filter(over == 0).select("row", each.alias("own"))
+    bucket = F.pmod(F.xxhash64("turn"), F.ceil(F.col("alike") / RANK_ROWS))
+    uneven = bucketed_row_number(joined.filter(over > 0), ["class"], bucket, [bucket, F.col("turn")], "rank")
+    owned = even.unionByName(uneven.select("row", (each + (F.col("rank") <= over).cast("long")).alias("own")))
+    return owned.filter("own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select("row.*")

@@ -51,6 +51,15 @@ def _split(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame,
     return leaves, cells.join(leaves, "cell", "left_anti").select("cell")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """Rows with a number, the hash of their id and the bytes of their text; the number is data once this is written."""
+    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), hash_bits(F.col("doc_id")).alias("hash"),
+                       F.octet_length(whole_text()).cast("long").alias("n_bytes"))
+
+
+COLUMNS = ["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]
+
+
 def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, shard, depth, shard_bytes, shard_rows) of every row.
 
@@ -58,19 +67,25 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     starts as one bucket; a bucket above ``limit`` bytes of text splits on its
     next bit, the others stay, so ``shard`` is a string of ``depth`` bits and
     no two shards' strings begin alike. A document larger than the limit
-    cannot fit: it is a shard of its own, named by its id. Rows whose whole
+    cannot fit: it is a shard of its own, named by its id, and from the second
+    of several such rows of one id, smaller ones first, also by a number. Rows whose whole
     hash is equal (repeated ids) and that together exceed the limit go to
     numbered overflow pages of that bucket, each within the limit. NULL text
     is empty; an empty table gives no row. Other columns are not read.
     """
-    named = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), hash_bits(F.col("doc_id")).alias("hash"),
-                    F.octet_length(whole_text()).cast("long").alias("n_bytes")),
-        "hashed",
-    )
-    columns = ["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows"]
-    alone = named.filter(F.col("n_bytes") > limit).select(
-        "doc_id", "n_bytes", F.concat(F.lit("alone:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shard"),
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return _placed(materialize(_named(numbered), "hashed"), limit).select(*COLUMNS)
+
+
+def _placed(named: DataFrame, limit: int) -> DataFrame:
+    """The shard of every numbered row."""
+    columns = ["row", *COLUMNS]
+    large = named.filter(F.col("n_bytes") > limit).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Rows of one id by size; equal sizes are spread, as any order of theirs will do.
+    bucket = F.struct(F.col("n_bytes"), F.pmod(F.xxhash64("row"), F.lit(64)).alias("part"))
+    copy = bucketed_row_number(large, ["id"], bucket, [bucket, F.col("row")], "copy")
+    alone = copy.select(
+        "row", "doc_id", "n_bytes", F.concat(F.lit("alone:"), "id", F.when(F.col("copy") > 1, F.concat(F.lit("/"), F.col("copy") - 1)).otherwise("")).alias("shard"),
         F.lit(BITS).alias("depth"), F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows"),
     )
     left = named.filter(F.col("n_bytes") <= limit)
@@ -79,8 +94,9 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     parts = [alone]
     while True:
         leaves, large = _split(left, low, high, limit)
-        placed = left.withColumn("cell", F.shiftright("hash", BITS - high)).join(leaves, "cell")
-        parts.append(placed.select("doc_id", "n_bytes", bits(F.col("prefix"), F.col("depth")).alias("shard"), "depth", "shard_bytes", "shard_rows"))
+        # Leaves grow with the input, so they are not broadcast.
+        placed = left.withColumn("cell", F.shiftright("hash", BITS - high)).join(leaves.hint("merge"), "cell")
+        parts.append(placed.select("row", "doc_id", "n_bytes", bits(F.col("prefix"), F.col("depth")).alias("shard"), "depth", "shard_bytes", "shard_rows"))
         large = materialize(large, "large")
         if large.isEmpty():
             break
@@ -98,7 +114,7 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages for rows that share a whole hash: as many rows each as the largest of them allows."""
-    stored = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "overflow")
+    stored = materialize(rows, "overflow")
     sizes = materialize(stored.groupBy("hash").agg(F.max("n_bytes").alias("largest"), F.count("*").alias("rows")), "overflow-sizes")
     joined = materialize(stored.join(sizes, "hash"), "overflow-rows")
     bucket = F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / RANK_ROWS))
@@ -116,19 +132,26 @@ def directory(sharded: DataFrame) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write ``docs`` with one folder per shard. Rows with equal ids and text lengths go to one of their pages."""
-    placed = shard(docs, limit).groupBy("doc_id", "n_bytes").agg(F.min("shard").alias("shard"))
-    placed = placed.select(F.col("doc_id").alias("s_id"), F.col("n_bytes").alias("s_bytes"), "shard")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("k_id"),
-                        F.octet_length(whole_text()).cast("long").alias("k_bytes"))
-    joined = keyed.join(placed, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_bytes") == F.col("s_bytes")))
-    joined.repartition("shard").select("row.*", "shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> str:
+    """Write ``docs`` with one folder per shard, each row to its own; returns the folders' column.
+
+    Rows are numbered and written once, so that repeated rows are told apart.
+    The column is ``shard``, with as many underscores as it takes to differ from those of ``docs``.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    stored = materialize(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept"), F.monotonically_increasing_id().alias("row")), "numbered")
+    named = _named(stored.select("row", F.col("kept.doc_id").alias("doc_id"), F.col("kept.text").alias("text")))
+    placed = _placed(materialize(named, "hashed"), limit).select("row", "shard")
+    joined = stored.join(placed.hint("merge"), "row").repartition("shard")
+    joined.select("kept.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
 ORACLE = f"""
 WITH named AS (
-    SELECT doc_id, ('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS hash,
+    SELECT row_number() OVER () AS r, doc_id, ('0x' || substr(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS hash,
            strlen(coalesce(text, ''))::BIGINT AS n_bytes
     FROM documents
 ), deep AS (
@@ -137,11 +160,12 @@ WITH named AS (
 ), buckets AS (
     SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM deep GROUP BY depth, prefix
 ), leaves AS (
-    SELECT d.doc_id, d.n_bytes, min(d.depth) AS depth, min_by(d.prefix, d.depth) AS prefix,
+    SELECT d.r, d.doc_id, d.n_bytes, min(d.depth) AS depth, min_by(d.prefix, d.depth) AS prefix,
            min_by(b.shard_bytes, d.depth) AS shard_bytes, min_by(b.shard_rows, d.depth) AS shard_rows
-    FROM deep d JOIN buckets b USING (depth, prefix) WHERE b.shard_bytes <= {SHARD_BYTES} GROUP BY d.doc_id, d.n_bytes
+    FROM deep d JOIN buckets b USING (depth, prefix) WHERE b.shard_bytes <= {SHARD_BYTES} GROUP BY d.r, d.doc_id, d.n_bytes
 )
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes, shard_rows FROM leaves
 UNION ALL
-SELECT doc_id, n_bytes, 'alone:' || coalesce(CAST(doc_id AS VARCHAR), ''), 48, n_bytes, 1 FROM named WHERE n_bytes > {SHARD_BYTES}
+SELECT doc_id, n_bytes, 'alone:' || coalesce(CAST(doc_id AS VARCHAR), '') || CASE WHEN copy > 0 THEN '/' || copy ELSE '' END, 48, n_bytes, 1
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_bytes) - 1 AS copy FROM named WHERE n_bytes > {SHARD_BYTES}) q
 """

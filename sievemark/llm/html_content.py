@@ -25,15 +25,17 @@ from sievemark.llm.common import batch_of, column_of, hash_sample, text_slices,
 
 TRAINING_PAGES = 150
 TRAINING_BYTES = 32_768
+TRAINING_BLOCKS = 40
 EPOCHS = 25
 RATE = 0.08
 DECAY = 1e-4
 
 # HTML element names by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object".split())
+RAW = frozenset("script style iframe textarea title".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
+    "svg math object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
 ENDS_PARAGRAPH = frozenset(
@@ -44,6 +46,8 @@ SAME_KIND = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
+# Elements that no drawing or formula has; one that begins inside ends it.
+HTML_ONLY = ENDS_PARAGRAPH | INLINE | VOID | frozenset("body head html li dd dt td th tr thead tbody tfoot caption button form select option".split())
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 
 TAG_GROUPS = (
@@ -68,7 +72,7 @@ FEATURES = tuple(g[0] for g in TAG_GROUPS) + ("other tag",) + tuple(f"hint {h[0]
 GROUP_OF = {tag: k for k, tags in enumerate(TAG_GROUPS) for tag in tags}
 HINT_OF = {word: k for k, words in enumerate(HINTS) for word in words}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _LABEL = re.compile(r"data-content-label\s*=\s*\"?([01])", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -94,10 +98,63 @@ class Page:
     runs: list[tuple[int, str]]  # the node and the decoded text of each run of inline content
 
 
+class _Open:
+    """The open elements: blocks on a stack, inline ones as counts in the block they were opened in.
+
+    For each name the depths at which it was opened, so that an end tag finds its element without a search.
+    """
+
+    def __init__(self):
+        self.blocks: list[tuple[str, int]] = []     # name and node
+        self.inline: list[dict[str, int]] = []
+        self.depths: dict[str, list[tuple[int, int]]] = {}
+        self.links = 0
+
+    def push(self, name: str, node: int) -> None:
+        self.depths.setdefault(name, []).append((len(self.blocks), node))
+        self.blocks.append((name, node))
+        self.inline.append({})
+
+    def push_inline(self, name: str) -> None:
+        at = len(self.blocks) - 1
+        self.inline[at][name] = self.inline[at].get(name, 0) + 1
+        self.depths.setdefault(name, []).append((at, self.blocks[at][1]))
+        self.links += name == "a"
+
+    def depth_of(self, name: str) -> int:
+        """Where the innermost open element of that name is, or -1; entries of closed blocks are dropped on the way."""
+        places = self.depths.get(name)
+        while places:
+            at, node = places[-1]
+            if at < len(self.blocks) and self.blocks[at][1] == node:
+                return at
+            places.pop()
+        return -1
+
+    def end_inline(self, name: str) -> bool:
+        at = self.depth_of(name)
+        if at < 0:
+            return False
+        self.depths[name].pop()
+        self.inline[at][name] -= 1
+        self.links -= name == "a"
+        return True
+
+    def cut(self, at: int) -> None:
+        """Close all blocks from a depth on, with the inline elements in them."""
+        self.links -= sum(open_.get("a", 0) for open_ in self.inline[at:])
+        del self.blocks[at:], self.inline[at:]
+
+
 def parse(source: str) -> Page:
-    """Block tree and text runs of a page. Unclosed and stray tags are repaired the way browsers do it in outline."""
+    """Block tree and text runs of a page. Unclosed and stray tags are repaired the way browsers do it in outline.
+
+    Drawings and formulas are inline; a block that begins inside ends them. Each tag takes a constant number of
+    steps, however deeply elements are nested.
+    """
     nodes = [Node("html", -1, 0)]
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; an inline one carries its block's node
+    open_ = _Open()
+    open_.push("html", 0)
     runs: list[tuple[int, str]] = []
     pieces: list[str] = []
     links = 0
@@ -107,7 +164,7 @@ def parse(source: str) -> Page:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            at = stack[-1][1]
+            at = open_.blocks[-1][1]
             nodes[at].runs.append(len(runs))
             nodes[at].link_chars += min(links, len(text))
             runs.append((at, text))
@@ -115,9 +172,9 @@ def parse(source: str) -> Page:
 
     def close(k: int) -> None:
         flush()
-        del stack[k:]
+        open_.cut(k)
 
-    at, size = 0, len(source)
+    at, size, last = 0, len(source), source.rfind(">")
     while at < size:
         start = source.find("<", at)
         if start < 0:
@@ -125,11 +182,12 @@ def parse(source: str) -> Page:
         if start > at:
             text = source[at:start]
             pieces.append(text)
-            if any(name == "a" for name, _ in stack):
+            if open_.links:
                 links += len(text)
             at = start
             continue
-        found = _TOKEN.match(source, at)
+        # Beyond the last ">" no tag can end, only a comment that is never closed.
+        found = _TOKEN.match(source, at) if at < last or source.startswith("<!--", at) else None
         if not found:
             pieces.append("&lt;")
             at += 1
@@ -139,14 +197,15 @@ def parse(source: str) -> Page:
         if name is None:
             continue
         name = name.lower()
+        drawn = any(open_.depth_of(f) == len(open_.blocks) - 1 for f in FOREIGN)
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in INLINE:
-                        del stack[k]
-                    else:
-                        close(k)
-                    break
+            if name in INLINE or open_.depth_of(name) == -1:
+                open_.end_inline(name)
+            elif (k := open_.depth_of(name)) > 0:
+                if open_.blocks[k][0] == name:
+                    close(k)
+                else:
+                    open_.end_inline(name)
             continue
         if name in RAW:
             if not rest.endswith("/"):
@@ -154,11 +213,21 @@ def parse(source: str) -> Page:
                 at = end.end() if end else size
             pieces.append(" ")
             continue
+        if drawn and name not in HTML_ONLY:
+            if not rest.endswith("/"):
+                open_.push_inline(name)     # a drawing's or formula's own element
+            pieces.append(" ")
+            continue
+        if drawn and name not in INLINE:
+            for f in FOREIGN:
+                while open_.depth_of(f) == len(open_.blocks) - 1:
+                    open_.end_inline(f)
         if name in ("br", "wbr", "img"):
             pieces.append("" if name == "wbr" else " ")
             continue
         if name in INLINE:
-            stack.append((name, stack[-1][1]))
+            if not (name in FOREIGN and rest.endswith("/")):
+                open_.push_inline(name)
             continue
         if name in ("head", "html"):
             continue
@@ -167,31 +236,23 @@ def parse(source: str) -> Page:
                 flush()
             continue
         if name == "body":
-            if len(stack) == 1:
+            if len(open_.blocks) == 1 and not any(open_.inline[0].values()):
                 flush()
                 nodes.append(Node("body", 0, 1, hints_of(rest)))
-                stack.append(("body", 1)) if len(nodes) == 2 else nodes.pop()
+                open_.push("body", 1) if len(nodes) == 2 else nodes.pop()
             continue
-        if name in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if name in ENDS_PARAGRAPH and open_.blocks[-1][0] == "p":
+            close(len(open_.blocks) - 1)
         if name in SAME_KIND:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SAME_KIND[name]:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE.get(name, ("table",)):
-                    break
+            same = max(open_.depth_of(n) for n in SAME_KIND[name])
+            if same > max(0, *(open_.depth_of(n) for n in SCOPE.get(name, ("table",)))):
+                close(same)
         flush()
-        parent = stack[-1][1]
+        parent = open_.blocks[-1][1]
         label = _LABEL.search(rest)
         nodes.append(Node(name, parent, nodes[parent].depth + 1, hints_of(rest), int(label.group(1)) if label else None))
         nodes[parent].paragraphs += name == "p"
-        stack.append((name, len(nodes) - 1))
+        open_.push(name, len(nodes) - 1)
     flush()
     return Page(nodes, runs)
 
@@ -368,7 +429,7 @@ def article_blocks(source: str) -> list[str]:
 def labelled_variants(source: str, seed: int) -> list[str]:
     """Pages with known labels made from a page: itself, if it marks an article, and its text in another layout.
 
-    The layout is drawn by ``seed``: which element holds the article, and which menus, headers, notices,
+    The other layout has the first ``TRAINING_BLOCKS`` blocks of the text and is drawn by ``seed``: which element holds the article, and which menus, headers, notices,
     adverts, forms, sidebars, reader comments and footers stand around and inside it.
     """
     blocks = article_blocks(source)
@@ -376,7 +437,7 @@ def labelled_variants(source: str, seed: int) -> list[str]:
     if blocks:
         out.append(re.sub(r"<article\b", '<article data-content-label="1"', source, flags=re.I))
     rng = np.random.default_rng(seed)
-    texts = [html.escape(t, quote=False) for t in (blocks or _PLACEHOLDER)][:40]
+    texts = [html.escape(t, quote=False) for t in (blocks or _PLACEHOLDER)][:TRAINING_BLOCKS]
     one = lambda options: options[int(rng.integers(len(options)))]
     some = lambda share: rng.random() < share
     words = " ".join(texts).split()
@@ -438,9 +499,11 @@ def seed_of(source: str) -> int:
 
 
 def training_pages(pages: DataFrame, rows: int = TRAINING_PAGES, limit: int = TRAINING_BYTES) -> list[str]:
-    """Labelled pages made from at most ``rows`` pages of at most ``limit`` bytes, the first by a hash of the html."""
-    short = pages.select(F.col("html").cast("string").alias("html")).filter(F.octet_length("html") <= limit)
-    sources = sorted({r["html"] for r in hash_sample(short, "html", rows).collect()})
+    """Labelled pages made from at most ``rows`` distinct pages of at most ``limit`` bytes, the first by a hash of the html."""
+    short = pages.select(F.col("html").cast("string").alias("html")).filter(F.octet_length("html") <= limit).withColumn("hash", F.xxhash64("html"))
+    # Hashes first, so that copies of a page count once; then the pages of the few chosen ones.
+    chosen = [r["hash"] for r in hash_sample(short.select("hash").distinct(), "hash", rows).collect()]
+    sources = sorted(r["html"] for r in short.filter(F.col("hash").isin(chosen)).dropDuplicates(["hash"]).collect())
     made = [v for s in sources for v in labelled_variants(s, seed_of(s))]
     # Without pages to learn from, the layouts are filled with placeholder sentences.
     return made + [v for k in range(max(0, 60 - len(sources))) for v in labelled_variants("", k)]
