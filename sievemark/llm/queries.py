@@ -23,7 +23,7 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(table(spark, sf_dir, "documents"))
+    return surrogates.replace(table(spark, sf_dir, "documents"), counter="n_replaced")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
