@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +84,9 @@ def check_peer_ids(metadata: DataFrame, peers: DataFrame, key: str = "content_ha
     return members.unionByName(sizes).where("problem is not null")
 
 
-def check_row_schema(metadata: DataFrame) -> DataFrame:
-    """Rows outside the ranges and patterns of the row model, with the broken rule."""
-    rules = {
+def row_rules() -> dict[str, Column]:
+    """What each row of the row model must meet."""
+    return {
         "split": F.col("split").isin(*S.MODEL_SPLITS),
         "split_index": F.col("split_index") >= 0,
         "label": F.col("label").isin(0, 1),
@@ -98,15 +98,42 @@ def check_row_schema(metadata: DataFrame) -> DataFrame:
         "max_value": is_finite(F.col("max_value")),
         "content_hash": F.col("content_hash").rlike(HASH_PATTERN),
     }
-    broken = F.array_compact(F.array(*[
-        F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()
-    ]))
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def check_row_schema(metadata: DataFrame) -> DataFrame:
+    """Rows outside the ranges and patterns of the row model, with the broken rule."""
     return (
-        metadata.select("record_id", F.array_join(broken, ",").alias("broken_rules"))
+        metadata.select("record_id", F.array_join(_broken(row_rules()), ",").alias("broken_rules"))
         .where("broken_rules <> ''")
     )
 
 
+def write_checked(rows: DataFrame, path: str, rules: dict[str, Column] | None = None) -> dict[str, int]:
+    """Write ``rows`` and return how many break each rule, counted while they are written.
+
+    All rules together cost no scan of their own: they are observed on the
+    rows that pass to the writer. A rule that is not true, NULL included, is
+    broken. ``broken_rows`` lists the rows of rules that counted some.
+    """
+    rules = row_rules() if rules is None else rules
+    seen = Observation("rules")
+    counts = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]
+    rows.observe(seen, *counts).write.mode("overwrite").parquet(path)
+    return {name: int(seen.get.get(name) or 0) for name in rules}
+
+
+def broken_rows(stored: DataFrame, counted: dict[str, int], rules: dict[str, Column] | None = None) -> DataFrame:
+    """``stored`` rows that break a rule which counted any, with ``broken_rules``; nothing is read if none did."""
+    rules = {n: r for n, r in (row_rules() if rules is None else rules).items() if counted.get(n)}
+    if not rules:
+        return stored.withColumn("broken_rules", F.lit(None).cast("array<string>")).limit(0)
+    return stored.withColumn("broken_rules", _broken(rules)).where(F.size("broken_rules") > 0)
+
+
 def check_lengths(vectors: DataFrame, labels: DataFrame, split: str = "split") -> DataFrame:
     """Splits whose vector and label counts differ."""
     v = vectors.groupBy(split).agg(F.count(F.lit(1)).alias("vectors"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
-from sievemark.operators import catalog, checks, ingest
+from sievemark.operators import catalog, checks, ingest, sketches
 from sievemark.operators.ranking import range_row_number
 from sievemark.plans import given
 from sievemark.plans.curation import ASSIGNED_SQL, assigned_docs
@@ -153,6 +153,47 @@ def kpi_tiles(spark, folder):
     return catalog.kpis(given.catalog(spark, folder))
 
 
+SKETCHED = (
+    ("all", {}), ("complete", {"processing_status": ["complete"]}), ("complete in train", {"processing_status": ["complete"], "split": ["train"]}),
+    ("png or without format", {"format": ["PNG", None]}), ("failed in train or val", {"processing_status": ["failed"], "split": ["train", "val"]}),
+)
+
+
+@query("distinct_ids_sketch", sql=CATALOG + """
+SELECT 'all' AS filter, count(DISTINCT content_id) AS ids, true AS within_bound FROM catalog
+UNION ALL SELECT 'complete', count(DISTINCT content_id), true FROM catalog WHERE processing_status = 'complete'
+UNION ALL SELECT 'complete in train', count(*), true FROM (
+  SELECT content_id FROM catalog WHERE processing_status = 'complete' AND content_id IS NOT NULL
+  INTERSECT SELECT content_id FROM catalog WHERE split = 'train') q
+UNION ALL SELECT 'png or without format', count(DISTINCT content_id), true FROM catalog WHERE format = 'PNG' OR format IS NULL
+UNION ALL SELECT 'failed in train or val', count(*), true FROM (
+  SELECT content_id FROM catalog WHERE processing_status = 'failed' AND content_id IS NOT NULL
+  INTERSECT SELECT content_id FROM catalog WHERE split IN ('train', 'val')) q
+""")
+def distinct_ids_sketch(spark, folder):
+    """Distinct contents under several filters, exact and from sketches of three parts that were stored and merged."""
+    rows = given.catalog(spark, folder).select("content_id", "processing_status", "split", "format", F.pmod(F.xxhash64("path"), F.lit(3)).alias("part"))
+    rows = materialize(rows, "catalog")
+    facets = ["processing_status", "split", "format"]
+    stored = [materialize(sketches.id_sketches(rows.where(F.col("part") == k), "content_id", facets), "sketches") for k in range(3)]
+    merged = materialize(sketches.merged_ids(stored[0].unionByName(stored[1]).unionByName(stored[2])), "sketches")
+    ids = rows.where("content_id is not null")
+    total = F.count_distinct("content_id")
+    out = None
+    for name, filters in SKETCHED:
+        exact = ids
+        for facet, values in filters.items():
+            allowed = F.coalesce(F.col(facet).isin([v for v in values if v is not None]), F.lit(False)) | (F.col(facet).isNull() & F.lit(None in values))
+            # A content meets a facet by any of its records.
+            exact = exact.join(ids.where(allowed).select("content_id").distinct(), "content_id", "left_semi")
+        counted = exact.agg(total.alias("ids")).withColumn("_one", F.lit(1))
+        about = sketches.distinct_ids(merged, filters).select(F.col("ids").alias("about"), F.lit(1).alias("_one"))
+        near = F.abs(F.col("about") - F.col("ids")) <= F.lit(sketches.COUNT_ERROR) * F.greatest(F.col("ids"), F.lit(ids.count()))
+        row = counted.join(F.broadcast(about), "_one").select(F.lit(name).alias("filter"), "ids", near.alias("within_bound"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("facet_values", sql=CATALOG + """
 SELECT facet, value, count(*) AS n FROM (
   SELECT 'statuses' AS facet, processing_status AS value FROM catalog UNION ALL SELECT 'classes', predicted_class FROM catalog

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from sievemark import schemas as S
 from sievemark.functions.vectors import vec_sum
-from sievemark.operators import analysis, dedup, metadata, predictions, splits
+from sievemark.operators import analysis, dedup, digests, metadata, predictions, sketches, splits
 from sievemark.operators.quantiles import exact_quantile
 from sievemark.plans import given
 from sievemark.plans.registry import query
-from sievemark.session import scratch_path
+from sievemark.session import materialize, scratch_path
 from sievemark.sources import sinks
 
 METADATA = "WITH " + given.METADATA_SQL
@@ -39,6 +39,19 @@ def low_variance_threshold(spark, folder):
     return rows.agg(F.round(F.max(F.lit(value)), 9).alias("threshold"))
 
 
+@query("low_variance_sketch", sql=METADATA + "SELECT count(*) AS n, true AS within_bound FROM metadata")
+def low_variance_sketch(spark, folder):
+    """The threshold from one sketch a split, held against the exact ranks of the rows."""
+    rows = given.stored_metadata(spark, folder)
+    parts = materialize(sketches.quantile_sketches(rows, "std_value", ["split"]), "sketches")
+    merged = sketches.merged_quantiles(parts, [S.LOW_VARIANCE_QUANTILE]).select("n", F.col("quantiles")[0].alias("threshold"))
+    threshold = merged.first()["threshold"]
+    share = sketches.rank_share(rows, "std_value", F.lit(threshold)).withColumn("_one", F.lit(1))
+    low, high = S.LOW_VARIANCE_QUANTILE - sketches.RANK_ERROR, S.LOW_VARIANCE_QUANTILE + sketches.RANK_ERROR
+    within = (F.col("below") <= high) & (F.col("not_above") >= low)
+    return merged.withColumn("_one", F.lit(1)).join(F.broadcast(share), "_one").select("n", within.alias("within_bound"))
+
+
 @query("low_variance_rows", sql=METADATA + "SELECT record_id, round(std_value, 6) AS std_value FROM qc WHERE low_variance_flag")
 def low_variance_rows(spark, folder):
     return metadata.low_variance_rows(given.stored_metadata(spark, folder)).select(
@@ -353,6 +366,42 @@ def split_fingerprint(spark, folder):
     return splits.split_fingerprint(assigned_docs(spark, folder))
 
 
+def _tree_sql(name: str, below: str, depth: int) -> str:
+    line = "prefix || ':' || digest"
+    return f"""
+{name} AS (
+  SELECT split, {depth} AS depth, substr(prefix, 1, {depth}) AS prefix, sha256(string_agg({line}, chr(10) ORDER BY {line})) AS digest,
+         CAST(sum(hashes) AS BIGINT) AS hashes FROM {below} GROUP BY split, substr(prefix, 1, {depth})
+)"""
+
+
+@query("split_fingerprint_tree", sql=ASSIGNED_SQL + """,
+leaves AS (
+  SELECT assigned_split AS split, 4 AS depth, substr(content_hash, 1, 4) AS prefix,
+         sha256(string_agg(content_hash, chr(10) ORDER BY content_hash)) AS digest, count(*) AS hashes
+  FROM assigned GROUP BY assigned_split, substr(content_hash, 1, 4)
+),""" + _tree_sql("middle", "leaves", 2) + "," + _tree_sql("top", "middle", 0) + """
+SELECT * FROM leaves UNION ALL SELECT * FROM middle UNION ALL SELECT * FROM top
+""")
+def split_fingerprint_tree(spark, folder):
+    return digests.digest_tree(assigned_docs(spark, folder), depth=4)
+
+
+@query("split_tree_difference", sql=ASSIGNED_SQL + """,
+moved AS (SELECT assigned_split AS split, CASE assigned_split WHEN 'train' THEN 'val' ELSE 'train' END AS target, content_hash AS hash
+          FROM assigned WHERE content_hash LIKE '%0')
+SELECT split, hash, 1 AS "left", 0 AS "right" FROM moved UNION ALL SELECT target, hash, 0, 1 FROM moved
+""")
+def split_tree_difference(spark, folder):
+    """The manifest against one in which every hash that ends in 0 has another split, found by walking both trees."""
+    first = assigned_docs(spark, folder).select("assigned_split", "content_hash")
+    other = F.when(F.col("assigned_split") == "train", "val").otherwise("train")
+    second = first.withColumn("assigned_split", F.when(F.col("content_hash").endswith("0"), other).otherwise(F.col("assigned_split")))
+    left, right = (digests.write_by_prefix(m, scratch_path(spark, "manifest")) for m in (first, second))
+    leaves = digests.tree_difference(digests.digest_tree(left, depth=4), digests.digest_tree(right, depth=4))
+    return digests.changed_hashes(left, right, leaves)
+
+
 @query("split_overlap_check", sql=DOCS + """
 SELECT content_hash, count(*) AS occurrences, min(source_split) <> max(source_split) AS across_splits
 FROM pooled GROUP BY content_hash HAVING count(*) > 1

@@ -432,14 +432,36 @@ SELECT record_id, concat_ws(',', CASE WHEN split_index % 17 = 0 THEN 'width' END
 FROM metadata WHERE split_index % 17 = 0 OR split_index % 13 = 0 OR split_index % 11 = 0
 """)
 def check_row_schema(spark, folder):
+    return checks.check_row_schema(spoiled_metadata(spark, folder))
+
+
+def spoiled_metadata(spark, folder):
     """Every 17th row lost its width, every 13th has a negative deviation, every 11th an upper-case hash."""
     i = F.col("split_index")
-    rows = given.stored_metadata(spark, folder).withColumns({
+    return given.stored_metadata(spark, folder).withColumns({
         "width": F.when(i % 17 != 0, F.col("width")),
         "std_value": F.when(i % 13 == 0, -F.col("std_value") - 1).otherwise(F.col("std_value")),
         "content_hash": F.when(i % 11 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")),
     })
-    return checks.check_row_schema(rows)
+
+
+@query("rules_while_writing", sql=METADATA + """,
+counted AS (
+  SELECT count(*) FILTER (WHERE split_index % 17 = 0) AS width, count(*) FILTER (WHERE split_index % 13 = 0) AS std_value,
+         count(*) FILTER (WHERE split_index % 11 = 0) AS content_hash FROM metadata
+)
+SELECT rule, coalesce(n, 0) AS counted, coalesce(n, 0) AS listed FROM (VALUES ('split'), ('split_index'), ('label'), ('width'), ('height'), ('mean_value'),
+  ('std_value'), ('min_value'), ('max_value'), ('content_hash')) r(rule)
+LEFT JOIN (SELECT unnest(['width', 'std_value', 'content_hash']) AS rule, unnest([width, std_value, content_hash]) AS n FROM counted) c USING (rule)
+""")
+def rules_while_writing(spark, folder):
+    """Rows that break each rule: counted by the write itself, and listed from what was written."""
+    path = scratch_path(spark, "checked")
+    counted = checks.write_checked(spoiled_metadata(spark, folder), path)
+    broken = checks.broken_rows(spark.read.parquet(path), counted)
+    listed = broken.select(F.explode("broken_rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("listed"))
+    rules = spark.createDataFrame(list(counted.items()), "rule string, counted long")      # one row a rule
+    return rules.join(listed, "rule", "left").select("rule", "counted", F.coalesce("listed", F.lit(0)).cast("long").alias("listed"))
 
 
 @query("check_peer_ids", sql=DOCS + f""",
