@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import schemas as S
-from sievemark.operators import catalog, checks, ingest, sketches
+from sievemark.operators import catalog, checks, ingest, sketches, tiles
 from sievemark.operators.ranking import range_row_number
 from sievemark.plans import given
 from sievemark.plans.curation import ASSIGNED_SQL, assigned_docs
@@ -153,6 +153,41 @@ def kpi_tiles(spark, folder):
     return catalog.kpis(given.catalog(spark, folder))
 
 
+# The catalog once every due content has the second model's score.
+RESCORED = (
+    CATALOG.replace("WHEN coalesce(valid, false) THEN 'complete' ELSE 'awaiting_model' END", "ELSE 'complete' END")
+    .replace("file_size / 1000.0 - 2.0 AS raw", "file_size / 1000.0 - 1.0 AS raw").replace("raw >= 0 THEN", "raw >= 0.5 THEN")
+)
+
+
+@query("maintained_tiles", sql=RESCORED + """
+SELECT 'records' AS facet, '' AS value, count(*) AS n FROM catalog
+UNION ALL SELECT 'unique_contents', '', count(DISTINCT content_id) FROM catalog
+UNION ALL SELECT 'classified', '', count(predicted_class) FROM catalog
+UNION ALL SELECT * FROM (SELECT 'need_attention', '', count(*) AS n FROM catalog WHERE processing_status IN ('failed', 'model_error', 'unsupported')) q WHERE n > 0
+UNION ALL SELECT 'statuses', processing_status, count(*) FROM catalog GROUP BY 2
+UNION ALL SELECT 'classes', predicted_class, count(*) FROM catalog GROUP BY 2
+UNION ALL SELECT 'formats', format, count(*) FROM catalog GROUP BY 2
+UNION ALL SELECT 'splits', split, count(*) FROM catalog GROUP BY 2
+UNION ALL SELECT 'outcomes', outcome, count(*) FROM catalog GROUP BY 2
+""")
+def maintained_tiles(spark, folder):
+    """Counts kept through an ingest of two thirds, one of everything with replays, and a rescore of all due contents."""
+    rows = materialize(given.batch(spark, folder), "batch")
+    state = (empty(spark, S.SOURCES), empty(spark, S.CONTENT))
+    counts = tiles.count_tiles(catalog.add_outcomes(catalog.join_catalog(*state)))
+    for batch in (rows.where("doc_id % 3 <> 1"), rows):
+        content = materialize(ingest.merge_content(state[1], batch, scorer=given.SCORER_V1), "content")
+        sources = materialize(ingest.merge_sources(state[0], batch, content), "sources")
+        after = tuple(materialize(ingest.upsert(*x), "state") for x in ((state[0], sources, "path"), (state[1], content, "content_id")))
+        counts = materialize(tiles.change_tiles(counts, state, after, sources, content), "tiles")
+        state = after
+    due = materialize(ingest.apply_scores(state[1].where(ingest.rescore_due("v2")), given.SCORER_V2, F.lit(True), F.col("processed_at")), "rescored")
+    after = (state[0], materialize(ingest.upsert(state[1], due, "content_id"), "state"))
+    counts = tiles.change_tiles(counts, state, after, empty(spark, S.SOURCES), due)
+    return counts.where(F.col("facet") != tiles.LATEST)
+
+
 SKETCHED = (
     ("all", {}), ("complete", {"processing_status": ["complete"]}), ("complete in train", {"processing_status": ["complete"], "split": ["train"]}),
     ("png or without format", {"format": ["PNG", None]}), ("failed in train or val", {"processing_status": ["failed"], "split": ["train", "val"]}),

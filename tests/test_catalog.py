@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL, png_bytes
 from sievemark import schemas as S
 from sievemark.functions.raster import axis_weights, gray_features
-from sievemark.operators import catalog, dedup, ingest, splits
+from sievemark.operators import catalog, dedup, ingest, splits, tiles
 from sievemark.plans import flows
 from sievemark.session import materialize, scratch_path
 from sievemark.sources import files
@@ -420,3 +420,53 @@ def test_a_batch_reads_only_the_folders_of_its_keys(spark, store):
     assert store.sources(1, only=batch).where("path = 'p/7.png'").first()["seen_at"] == T0 + dt.timedelta(seconds=7)
     assert store.sources(2, only=batch).where("path = 'p/7.png'").first()["seen_at"] == T0 + dt.timedelta(seconds=900)
     assert store.content().count() == 300 and store.content(0).count() == 0
+
+
+# --- maintained counts
+
+
+def counted(tiles_table):
+    return {(r["facet"], r["value"]): r["n"] for r in tiles_table.collect()}
+
+
+def test_tiles_follow_every_change(spark, store):
+    """Ingest, replay, a moved path, a broken file, a lost file and a rescore: the counts equal a full recount each time."""
+    view_of = lambda s, c: catalog.add_outcomes(catalog.join_catalog(s, c))
+    now = (materialize(store.sources()), materialize(store.content()))
+    kept = materialize(tiles.count_tiles(view_of(*now)))
+    steps = [
+        [row("a/x.png"), row("a/y.png"), row("a/n.txt", "c2"), row("b/broken.png", "c3", broken="bad"), row("b/j.jpg", "c4")],
+        [row("a/x.png"), row("a/y.png")],
+        [row("a/y.png", "c5", at=4), row("a/n.txt", "c5", at=4)],
+        [("a/x.png", "?") + row("a/x.png", unread="gone", at=5)[2:]],
+        [row("b/broken.png", "c6", at=6), row("b/other.png", "c3", broken="bad", at=6)],
+    ]
+    for change, batch in enumerate(steps):
+        apply(store, change, batch, scorer=SCORER if change else None)
+        after = (materialize(store.sources()), materialize(store.content()))
+        changed = [store._changes(t, None).where(F.col("change") == change) for t in ("sources", "content")]
+        kept = materialize(tiles.change_tiles(kept, now, after, *changed))
+        assert counted(kept) == counted(tiles.count_tiles(view_of(*after))), change
+        again = materialize(tiles.change_tiles(kept, after, after, *changed))
+        assert counted(again) == counted(kept)
+        now = after
+    due = materialize(store.rescore(SCORER, len(steps)))
+    after = (now[0], materialize(store.content()))
+    kept = materialize(tiles.change_tiles(kept, now, after, now[0].limit(0), due))
+    full = view_of(*after)
+    assert counted(kept) == counted(tiles.count_tiles(full))
+    for kept_form, whole in (
+        (tiles.kpis(kept), catalog.kpis(full)), (tiles.facet_values(kept), catalog.facet_values(full)),
+        (tiles.value_distributions(kept), catalog.value_distributions(full)), (tiles.status_counts(kept), catalog.status_counts(full)),
+        (tiles.catalog_stamp(kept), catalog.catalog_stamp(full)),
+    ):
+        columns = sorted(whole.columns)
+        assert sorted(map(tuple, kept_form.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect()))
+
+
+def test_tiles_of_nothing(spark):
+    none = (spark.createDataFrame([], S.SOURCES), spark.createDataFrame([], S.CONTENT))
+    empty_tiles = tiles.count_tiles(catalog.add_outcomes(catalog.join_catalog(*none)))
+    assert empty_tiles.count() == 0
+    assert tuple(tiles.kpis(empty_tiles).first()) == (0, 0, 0, 0) and tiles.catalog_stamp(empty_tiles).first()["last_processed_at"] is None
+    assert tiles.change_tiles(empty_tiles, none, none, *none).count() == 0
