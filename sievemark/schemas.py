@@ -65,7 +65,7 @@ BOOSTED_GRID = {
     "min_child_weight": [1, 3, 5],
 }
 
-# --- Schemas -----------------------------------------------------------------
+# --- Fixed values as well: the columns of the tables, in order. ---------------
 
 SAMPLES = T.StructType([
     T.StructField("split", T.StringType()),
