@@ -209,8 +209,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     same = F.col("k_id").eqNullSafe(F.col("m_id")) & F.col("k_source").eqNullSafe(F.col("m_source")) & (F.col("k_size") == F.col("m_size"))
     joined = keyed.join(decided.hint("merge"), same).select("row", "turn", "class", "copies", "alike")
     each, over = F.floor(F.col("copies") / F.col("alike")), F.pmod("copies", "alike")
-    even = joined.filter(over == 0).select("row", each.alias("own"))
-    bucket = F.pmod(F.xxhash64("turn"), F.ceil(F.col("alike") / RANK_ROWS))
-    uneven = bucketed_row_number(joined.filter(over > 0), ["class"], bucket, [bucket, F.col("turn")], "rank")
-    owned = even.unionByName(uneven.select("row", (each + (F.col("rank") <= over).cast("long")).alias("own")))
+    owned = joined.filter(over == 0).select("row", each.alias("own"))
+    if not decided.filter(over > 0).isEmpty():      # where ids are unique, rows are joined once
+        bucket = F.pmod(F.xxhash64("turn"), F.ceil(F.col("alike") / RANK_ROWS))
+        uneven = bucketed_row_number(joined.filter(over > 0), ["class"], bucket, [bucket, F.col("turn")], "rank")
+        owned = owned.unionByName(uneven.select("row", (each + (F.col("rank") <= over).cast("long")).alias("own")))
     return owned.filter("own > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select("row.*")
