@@ -44,11 +44,12 @@ def _split(rows: DataFrame, low: int, high: int, limit: int) -> tuple[DataFrame,
         levels.groupBy("depth", "prefix").agg(F.sum("cell_bytes").alias("shard_bytes"), F.sum("cell_rows").alias("shard_rows"))
         .filter(F.col("shard_bytes") <= limit)
     )
-    first = levels.select("cell", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("cell").agg(
+    # Cells and leaves grow with the input, so none is broadcast.
+    first = levels.select("cell", "depth", "prefix").join(fits.hint("merge"), ["depth", "prefix"]).groupBy("cell").agg(
         F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf")
     ).select("cell", "leaf.*")
     leaves = materialize(first, "leaves")
-    return leaves, cells.join(leaves, "cell", "left_anti").select("cell")
+    return leaves, cells.join(leaves.hint("merge"), "cell", "left_anti").select("cell")
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -94,13 +95,12 @@ def _placed(named: DataFrame, limit: int) -> DataFrame:
     parts = [alone]
     while True:
         leaves, large = _split(left, low, high, limit)
-        # Leaves grow with the input, so they are not broadcast.
         placed = left.withColumn("cell", F.shiftright("hash", BITS - high)).join(leaves.hint("merge"), "cell")
         parts.append(placed.select("row", "doc_id", "n_bytes", bits(F.col("prefix"), F.col("depth")).alias("shard"), "depth", "shard_bytes", "shard_rows"))
         large = materialize(large, "large")
         if large.isEmpty():
             break
-        left = left.withColumn("cell", F.shiftright("hash", BITS - high)).join(large, "cell", "left_semi").drop("cell")
+        left = left.withColumn("cell", F.shiftright("hash", BITS - high)).join(large.hint("merge"), "cell", "left_semi").drop("cell")
         if high == BITS:
             parts.append(_overflow(left, limit))
             break
