@@ -56,8 +56,13 @@ def scan(text: bytes, compiled: list[regex.Pattern], buckets: int) -> tuple[int,
     return n_words, found
 
 
+def stored_kind(buckets: int) -> str:
+    """How a bucket number is stored: in as few bytes as all of them need."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
 def feature_rows(docs: DataFrame, *, key: str = "doc_id", orders: int = ORDERS, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, a row number, the number of words and the buckets of all features (32-bit, little-endian) per row.
+    """doc_id, a row number, the number of words and the buckets of all features, as ``stored_kind``, per row.
 
     NULL text has no features. The row number is data only once the result is written.
     """
@@ -68,7 +73,7 @@ def feature_rows(docs: DataFrame, *, key: str = "doc_id", orders: int = ORDERS,
             done = [scan(text or b"", compiled, buckets) for text in column_of(batch, "text")]
             yield batch_of(
                 FEATURES, doc_id=column_of(batch, "doc_id"), row=[next(numbers) for _ in done], n_words=[n for n, _ in done],
-                buckets=[np.asarray(found, dtype="<u4").tobytes() for _, found in done],
+                buckets=[np.asarray(found, dtype=stored_kind(buckets)).tobytes() for _, found in done],
             )
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(scanned, FEATURES_DDL)
@@ -81,7 +86,7 @@ def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for found in column_of(batch, "buckets"):
-                total += np.bincount(np.frombuffer(found, dtype="<u4"), minlength=buckets)
+                total += np.bincount(np.frombuffer(found, dtype=stored_kind(buckets)), minlength=buckets)
         some = np.flatnonzero(total)
         yield batch_of(COUNTS, bucket=some, n=total[some])
 
@@ -105,7 +110,7 @@ def weighing(gain: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(b, dtype="<u4") for b in column_of(batch, "buckets")]
+            found = [np.frombuffer(b, dtype=stored_kind(gain.size)) for b in column_of(batch, "buckets")]
             yield batch_of(
                 WEIGHTS, **{c: batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "row", "n_words")},
                 n_features=[f.size for f in found], weight=[int(gain[f].sum()) // f.size if f.size else 0 for f in found],

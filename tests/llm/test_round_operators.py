@@ -192,6 +192,7 @@ def test_importance_odd_rows(spark, odd, nothing):
     check_resampled(importance.resample(odd, target).collect(), ODD, ["one two three", None, "漢字"])
     check_resampled(importance.resample(odd, target.limit(0)).collect(), ODD, [])
     assert importance.resample(nothing, target).count() == 0
+    assert importance.resample(odd, target, buckets=100_000).count() == len(ODD)
     # A third of the rows share an id and a text, hence a score; the cut falls among them.
     many = [(9, LONG[:400])] * 300 + [(k, f"{k} " * 25) for k in range(1000, 1040)]
     rows = importance.resample(spark.createDataFrame([(*r, 3, "b", 4, "s") for r in many], DOCS), target).collect()
