@@ -97,9 +97,23 @@ class Lexicon:
     def log_base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.divisor)
 
+    def class_mass(self) -> np.ndarray:
+        """Smoothed counts a class's words share, so that a class's words and its unknown word add to one.
+
+        Only classes by last bytes can meet an unknown word, which counts a
+        half. A class of one word gives it all its probability, and so does
+        the end, which is itself unknown where there is no training row.
+        """
+        mass = self.class_counts.copy()
+        mass[OWN_CLASS:END_CLASS] += 0.5
+        if not self.ends:
+            mass[END_CLASS] = 0.5
+        return mass
+
     def log_class(self) -> np.ndarray:
-        """log10 of each class's share: its words and one unknown word."""
-        return np.log10((self.class_counts + 0.5) / self.divisor)
+        """log10 of each class's share; of no meaning for the classes no text can have."""
+        mass = self.class_mass()
+        return np.log10(np.where(mass > 0, mass, 1.0) / self.divisor)
 
 
 def frequent(counts: DataFrame, most: int = HEAD_WORDS) -> list[tuple[bytes, int]]:
@@ -372,7 +386,8 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     texts of at most ``START_TOKENS`` tokens). ``score`` is the base score,
     less the classes' shares, plus the exact likelihood of the class sequence
     by the scaled forward recursion: the log10 probability of the words and the end of
-    the text under the whole model. NULL text is empty: one token, the end.
+    the text under the whole model. Over all texts these probabilities add to
+    one, with one unknown word for each class by last bytes. NULL text is empty: one token, the end.
     Repeated rows are separate documents. An empty table gives no row;
     without training rows only the unknown word has probability.
     """
@@ -380,7 +395,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     ends = docs.filter(fold(F.col("doc_id")) != HELD_OUT_FOLD).count()
     lex = lexicon(counts, ends)
     encoded = materialize(encode(docs, lex), "encoded")
-    prior = (lex.class_counts + 0.5) / (lex.class_counts + 0.5).sum()
+    prior = lex.class_mass() / lex.class_mass().sum()
     short = encoded.filter((fold(F.col("doc_id")) != HELD_OUT_FOLD) & (F.col("n_tokens") <= START_TOKENS)).select("row", "classes")
     sample = [np.frombuffer(r["classes"], dtype="<u2") for r in hash_sample(short, "row", START_ROWS).collect()]
     model = first_model(sample, prior, states, START_ROUNDS)

@@ -108,6 +108,43 @@ def test_hidden_markov_odd_rows(odd, nothing):
     assert hmm.score_documents(nothing, states=2, rounds=1).count() == 0
 
 
+def unknown_words(known):
+    """One word outside ``known`` for every class by last bytes."""
+    found = {}
+    for letters in itertools.product("abcdefghijklmnopqrstuvwxyz0123456789", repeat=hmm.TAIL_BYTES):
+        word = "".join(letters)
+        if word not in known:
+            found.setdefault(hmm.tail_class(word.encode()), word)
+    assert len(found) == hmm.TAIL_CLASSES
+    return list(found.values())
+
+
+@pytest.mark.parametrize("own", [4_096, 3])
+def test_hidden_markov_probabilities_add_to_one(spark, own, monkeypatch):
+    """With one state the words of one-word texts are draws: all of them together have (1 - end) * end.
+
+    With three classes of their own, other known words share classes with unknown ones.
+    """
+    frequent = hmm.frequent
+    monkeypatch.setattr(hmm, "frequent", lambda counts: frequent(counts, own))
+    training = ["a b a c", "a d", "", "b e f a g", None]
+    known = sorted({w for t in training for w in words(t)})
+    ids = itertools.count()
+    learned = list(itertools.islice((i for i in ids if fold_of(i) != 1), len(training)))
+    tested = ["", *known, *unknown_words(known)]
+    scored = list(itertools.islice((i for i in ids if fold_of(i) == 1), len(tested)))
+    docs = spark.createDataFrame([*zip(learned, training, strict=True), *zip(scored, tested, strict=True)], "doc_id long, text string")
+    out = {r["doc_id"]: 10 ** r["score"] for r in hmm.score_documents(docs, states=1, rounds=1).collect()}
+    end = out[scored[0]]
+    tokens = sum(len(words(t)) + 1 for t in training)
+    types, weight = len(known) + 1, hmm.SMOOTHING * hmm.CLASSES
+    share = (len(training) + 0.5) / (tokens + 0.5 * types + 0.5 * hmm.TAIL_CLASSES)
+    assert end == pytest.approx((len(training) + weight * share) / (tokens + weight), rel=1e-9)
+    assert sum(out[i] for i in scored[1:]) == pytest.approx((1 - end) * end, rel=1e-9)
+    alone = hmm.score_documents(docs.filter(docs.doc_id.isin(scored)), states=2, rounds=1).collect()
+    assert all(r["n_known"] == 0 and r["score"] < 0 for r in alone)
+
+
 # --- surrogates
 
 
