@@ -14,6 +14,7 @@ from sievemark import schemas as S
 from sievemark.functions.labels import normalize_label, outcome_text
 from sievemark.operators.ranking import range_row_number
 from sievemark.operators.skew import HOT_ROWS, attach_group_values
+from sievemark.sources.buckets import Bucketed
 
 NEED_ATTENTION = ("failed", "model_error", "unsupported")
 SORT_COLUMNS = ("filename", "processed_at", "confidence", "width", "height", "file_size")
@@ -55,10 +56,19 @@ def join_catalog(sources: DataFrame, content: DataFrame, *, hot_rows: int = HOT_
     per_content = copies(sources).join(
         content.select("content_id", F.struct(*CONTENT_COLUMNS).alias("c")), "content_id", "left"
     )
-    joined = attach_group_values(
+    return _shown(attach_group_values(
         sources, per_content, "content_id", "copies", ["copies", "c"],
         spread_by=["path"], hot_rows=hot_rows,
-    )
+    ))
+
+
+def join_stored(sources: Bucketed, content: Bucketed) -> DataFrame:
+    """``join_catalog`` of tables stored in as many buckets of the content id: neither is shuffled."""
+    packed = content.regular.select("content_id", F.struct(*CONTENT_COLUMNS).alias("c"))
+    return _shown(sources.with_group_values(lambda rows: copies(rows).join(packed, "content_id", "left"), ["copies", "c"]))
+
+
+def _shown(joined: DataFrame) -> DataFrame:
     accepted = F.col("source_status") == "accepted"
     known = F.col("c").isNotNull()
     masked = {

@@ -11,6 +11,7 @@ from sievemark import schemas as S
 from sievemark.functions import identity, vectors
 from sievemark.operators.quantiles import exact_quantile
 from sievemark.operators.skew import HOT_ROWS, attach_group_values
+from sievemark.sources.buckets import Bucketed
 
 
 def extract_metadata(samples: DataFrame, width: int, height: int, namespace: uuid.UUID) -> DataFrame:
@@ -75,6 +76,16 @@ def add_duplicate_flags(
         ["duplicate_count", "cross_split_duplicate_flag"],
         spread_by=[spread_by], hot_rows=hot_rows,
     )
+    return _filled_flags(flagged)
+
+
+def add_stored_duplicate_flags(stored: Bucketed) -> DataFrame:
+    """``add_duplicate_flags`` of rows stored in buckets of their hash: no row is shuffled."""
+    values = ["duplicate_count", "cross_split_duplicate_flag"]
+    return _filled_flags(stored.with_group_values(lambda rows: duplicate_groups(rows, stored.key), values))
+
+
+def _filled_flags(flagged: DataFrame) -> DataFrame:
     return (
         flagged.withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(1).cast("long")))
         .withColumn("exact_duplicate_flag", F.col("duplicate_count") > 1)

@@ -13,6 +13,7 @@ from sievemark.plans.curation import ASSIGNED_SQL, assigned_docs
 from sievemark.plans.registry import query
 from sievemark.session import materialize, scratch_path
 from sievemark.sources import sinks
+from sievemark.sources.buckets import upsert_bucketed, write_bucketed
 from sievemark.streaming.ingest import CatalogStore, stream_ingest
 
 CATALOG = "WITH " + given.CATALOG_SQL
@@ -99,7 +100,7 @@ SELECT path, filename, split, label, content_id, file_size, format, width, heigh
 FROM catalog
 """)
 def join_catalog(spark, folder):
-    out = catalog.join_catalog(*given.catalog_tables(spark, folder)).drop("processed_at", "pipeline_version")
+    out = catalog.join_stored(*given.catalog_tables(spark, folder)).drop("processed_at", "pipeline_version")
     digits = {"aspect_ratio": 6, "megapixels": 6, "confidence": 9, "positive_score": 9}
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
@@ -312,9 +313,9 @@ SELECT content_id, file_size, CASE WHEN a1 > 0 AND NOT broken THEN decoded_forma
 """)
 def ingest_merge_content(spark, folder):
     first, second = two_batches(spark, folder)
-    state = materialize(ingest.merge_content(empty(spark, S.CONTENT), first), "content")
-    changed = ingest.merge_content(state, second, retry_failed=True)
-    return ingest.upsert(state, changed, "content_id").select(
+    state = write_bucketed(materialize(ingest.merge_content(empty(spark, S.CONTENT), first), "content"), "content_id")
+    changed = ingest.merge_content(state.regular, second, retry_failed=True)
+    return upsert_bucketed(state, changed).regular.select(
         "content_id", "file_size", "format", "processing_status", "attempts"
     )
 
@@ -402,7 +403,7 @@ def ingest_samples(spark, folder):
 SELECT content_id FROM g WHERE NOT broken AND a1 > 0
 """)
 def stale_predictions(spark, folder):
-    _, content = given.catalog_tables(spark, folder)
+    content = given.catalog_tables(spark, folder)[1].regular
     return ingest.stale_predictions(content, "v2").select("content_id")
 
 
@@ -410,7 +411,7 @@ def stale_predictions(spark, folder):
 SELECT content_id FROM g WHERE NOT broken AND a1 > 0 AND NOT v1
 """)
 def rescore_candidates(spark, folder):
-    _, content = given.catalog_tables(spark, folder)
+    content = given.catalog_tables(spark, folder)[1].regular
     return content.where(ingest.rescore_due("v1")).select("content_id")
 
 
@@ -420,7 +421,7 @@ SELECT content_id, CASE WHEN a1 = 0 THEN 'unsupported' WHEN broken THEN 'failed'
        CASE WHEN a1 > 0 AND NOT broken THEN round(1 / (1 + exp(-(file_size / 1000.0 - 1.0))), 9) END AS positive_score FROM g
 """)
 def rescore_catalog(spark, folder):
-    _, content = given.catalog_tables(spark, folder)
+    content = given.catalog_tables(spark, folder)[1].regular
     once = ingest.rescore(content, given.SCORER_V2)
     return ingest.rescore(once, given.SCORER_V2).select(
         "content_id", "processing_status", "model_version", F.round("positive_score", 9).alias("positive_score")
@@ -461,7 +462,7 @@ FROM f WHERE NOT (v1 AND NOT broken) OR abs(fresh - stored) > 1e-8 + 1e-7 * stor
 """)
 def check_attribution_version(spark, folder):
     """Stored scores against a model that differs for long texts only."""
-    _, content = given.catalog_tables(spark, folder)
+    content = given.catalog_tables(spark, folder)[1].regular
     raw = F.col("file_size") / F.lit(1000.0) - F.lit(2.0)
     fresh = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.when(F.col("file_size") >= 3000, raw - 0.01).otherwise(raw)))
     return checks.check_attribution_version(content, "v1", fresh)

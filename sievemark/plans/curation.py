@@ -12,6 +12,7 @@ from sievemark.plans import given
 from sievemark.plans.registry import query
 from sievemark.session import materialize, scratch_path
 from sievemark.sources import sinks
+from sievemark.sources.buckets import write_bucketed
 
 METADATA = "WITH " + given.METADATA_SQL
 DOCS = "WITH " + given.DOCS_SQL
@@ -79,6 +80,18 @@ def duplicate_count(spark, folder):
     )
 
 
+@query("stored_duplicate_flags", sql=DOC_GROUPS + """
+SELECT doc_id, duplicate_count, duplicate_count > 1 AS exact_duplicate_flag, cross_split AS cross_split_duplicate_flag
+FROM rows JOIN groups USING (content_hash)
+""")
+def stored_duplicate_flags(spark, folder):
+    """Duplicate columns of documents that were stored in buckets of their hash."""
+    rows = materialize(given.docs(spark, folder).select("doc_id", "split", "content_hash"), "documents")
+    return metadata.add_stored_duplicate_flags(write_bucketed(rows, "content_hash")).select(
+        "doc_id", "duplicate_count", "exact_duplicate_flag", "cross_split_duplicate_flag"
+    )
+
+
 @query("cross_split_flag", sql=DOC_GROUPS + """
 SELECT doc_id, cross_split AS cross_split_duplicate_flag FROM rows JOIN groups USING (content_hash)
 """)

@@ -9,12 +9,13 @@ from sievemark import schemas as S
 from sievemark.functions.identity import dataset_namespace, record_uuid
 from sievemark.functions.labels import split_rank
 from sievemark.functions.vectors import vector_hash
-from sievemark.operators.catalog import add_outcomes, join_catalog
+from sievemark.operators.catalog import add_outcomes, join_stored
 from sievemark.operators.dedup import pool_splits
 from sievemark.operators.ingest import Scorer, merge_content, merge_sources
 from sievemark.operators.metadata import add_qc_fields, extract_metadata
 from sievemark.operators.ranking import index_rank
 from sievemark.session import materialize
+from sievemark.sources.buckets import Bucketed, write_bucketed
 
 WIDTH = HEIGHT = 8
 NAMESPACE = dataset_namespace("sievemark:given")
@@ -247,7 +248,7 @@ def build_catalog(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return sources, content
 
 
-_stored: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_stored: dict[tuple, tuple[Bucketed, Bucketed]] = {}
 
 
 def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
@@ -258,20 +259,20 @@ def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return store.getFileStatus(where).getModificationTime(), size.getFileCount(), size.getLength()
 
 
-def catalog_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def catalog_tables(spark: SparkSession, folder: str) -> tuple[Bucketed, Bucketed]:
     """The stored catalog of a folder, ingested on first use in a session and again when its tables change.
 
-    Browsing reads tables that an ingest left in the shared folder; ingest
+    Sources and content lie in as many buckets of the content id. Browsing reads tables that an ingest left in the shared folder; ingest
     itself is what ``build_catalog`` and the ingest queries measure.
     """
     key = (spark.sparkContext.applicationId, folder, *(table_state(spark, f"{folder}/{name}.parquet") for name in ("documents", "labels")))
     if key not in _stored:
-        _stored[key] = build_catalog(spark, folder)
+        _stored[key] = tuple(write_bucketed(df, "content_id") for df in build_catalog(spark, folder))
     return _stored[key]
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
-    return add_outcomes(join_catalog(*catalog_tables(spark, folder)))
+    return add_outcomes(join_stored(*catalog_tables(spark, folder)))
 
 
 BATCH_SQL = DOCS_SQL + """,
