@@ -54,7 +54,7 @@ def copies(sources: DataFrame) -> DataFrame:
 def join_catalog(sources: DataFrame, content: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every source with its content; status and prediction show only for accepted sources."""
     per_content = copies(sources).join(
-        content.select("content_id", F.struct(*CONTENT_COLUMNS).alias("c")), "content_id", "left"
+        content.select("content_id", F.struct(*CONTENT_COLUMNS).alias("c")).hint("merge"), "content_id", "left"
     )
     return _shown(attach_group_values(
         sources, per_content, "content_id", "copies", ["copies", "c"],
@@ -65,7 +65,7 @@ def join_catalog(sources: DataFrame, content: DataFrame, *, hot_rows: int = HOT_
 def join_stored(sources: Bucketed, content: Bucketed) -> DataFrame:
     """``join_catalog`` of tables stored in as many buckets of the content id: neither is shuffled."""
     packed = content.regular.select("content_id", F.struct(*CONTENT_COLUMNS).alias("c"))
-    return _shown(sources.with_group_values(lambda rows: copies(rows).join(packed, "content_id", "left"), ["copies", "c"]))
+    return _shown(sources.with_group_values(lambda rows: copies(rows).join(packed.hint("merge"), "content_id", "left"), ["copies", "c"]))
 
 
 def _shown(joined: DataFrame) -> DataFrame:

@@ -106,7 +106,8 @@ def merge_content(
     """
     groups = collapse_contents(classify_sources(batch, max_bytes))
     old = snapshot.select("content_id", F.struct(*[c for c in snapshot.columns if c != "content_id"]).alias("old"))
-    m = groups.join(old, "content_id", "left")
+    # Merged at every size, as all joins of the state below: a broadcast of it would pass through the driver.
+    m = groups.join(old.hint("merge"), "content_id", "left")
 
     is_new = F.col("old").isNull()
     any_accepted = F.col("accepted_copies") > 0
@@ -204,14 +205,14 @@ def merge_sources(
         .select("path", "s.*"),
         "verdicts",
     )
-    formats = copies(verdicts).join(content_formats.select("content_id", "format"), "content_id", "left")
+    formats = copies(verdicts).join(content_formats.select("content_id", "format").hint("merge"), "content_id", "left")
     joined = attach_group_values(
         verdicts, formats, "content_id", "copies", ["format"], spread_by=["path"], hot_rows=hot_rows
     )
     mismatch = (F.col("source_status") == "accepted") & (F.col("format") != F.col("expected_format"))
     unread = F.col("source_status") == "failed"
     old = snapshot.select("path", F.struct("filename", "split", "label").alias("old"))
-    out = joined.join(old, "path", "left")
+    out = joined.join(old.hint("merge"), "path", "left")
     known = F.col("old").isNotNull()
     status = F.when(mismatch, "unsupported").otherwise(F.col("source_status"))
     error = F.when(mismatch, "Extension does not match decoded format").otherwise(F.col("source_error"))
@@ -230,7 +231,7 @@ def merge_sources(
 
 def upsert(snapshot: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """New snapshot: changed rows replace rows of the same key."""
-    kept = snapshot.join(changed.select(key), key, "left_anti")
+    kept = snapshot.join(changed.select(key).hint("merge"), key, "left_anti")
     return kept.unionByName(changed)
 
 
@@ -238,7 +239,7 @@ def batch_statuses(sources: DataFrame, content: DataFrame) -> DataFrame:
     """Histogram of what became of the batch's sources."""
     # Counted per content first, so a hot content joins as one row.
     counted = sources.groupBy("content_id", "source_status").agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(content.select("content_id", "processing_status"), "content_id", "left")
+    joined = counted.join(content.select("content_id", "processing_status").hint("merge"), "content_id", "left")
     status = F.when(F.col("source_status") != "accepted", F.col("source_status")).otherwise(F.col("processing_status"))
     return joined.groupBy(status.alias("status")).agg(F.sum("n").alias("n"))
 

@@ -38,7 +38,7 @@ class Bucketed:
         ``groups`` makes one row per key of rows; joined to the rows in
         buckets it needs no shuffle, and of the rest it is broadcast.
         """
-        near = self.regular.join(groups(self.regular), self.key, "left").select(*self.regular.columns, *values)
+        near = self.regular.join(groups(self.regular).hint("merge"), self.key, "left").select(*self.regular.columns, *values)
         if self.hot_keys:
             hot = groups(self.spread.where(F.col(self.key).isNotNull()))
             far = self.spread.join(F.broadcast(hot), self.key, "left").select(*self.spread.columns, *values)

@@ -141,3 +141,23 @@ def test_nothing_and_only_null_keys(spark, state):
     assert rows_of(catalog.join_stored(loose, empty[1])) == rows_of(catalog.join_catalog(state[0].where("content_id is null"), state[1]))
     grown = upsert_bucketed(empty[1], state[1])
     assert rows_of(grown.regular) == rows_of(state[1])
+
+
+def test_only_hot_keys_are_broadcast_by_a_merge(spark):
+    """States and batches are as large as the catalog; by their few columns Spark takes them for small."""
+    batch = materialize(spark.createDataFrame([(f"p{i}", f"p{i}.png", f"c{i % 30}", 10, "PNG", [0.5], T0) for i in range(60)],
+        "path string, filename string, content_id string, file_size long, format string, features array<double>, seen_at timestamp"
+    ).withColumns({c: F.lit(None).cast(t) for c, t in (
+        ("width", "long"), ("height", "long"), ("color_mode", "string"), ("exif", "string"), ("decode_error", "string"),
+        ("split", "string"), ("label", "long"), ("read_error", "string"),
+    )}), "batch")
+    content = materialize(ingest.merge_content(spark.createDataFrame([], S.CONTENT), batch), "content")
+    sources = materialize(ingest.merge_sources(spark.createDataFrame([], S.SOURCES), batch, content), "sources")
+    merges = [
+        ingest.merge_content(content, batch), ingest.merge_sources(sources, batch, content), ingest.upsert(sources, sources.limit(9), "path"),
+        ingest.batch_statuses(sources, content), catalog.join_catalog(sources, content),
+    ]
+    for merged in merges:
+        assert merged.count() and merged.collect()
+        joins = [line for line in merged._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert all("_hot_key" in line for line in joins), joins
