@@ -9,9 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
-from sievemark.llm import chat, importance, periodic_runs
+from sievemark.llm import chat, importance, periodic_runs, surrogates
 from sievemark.llm.chat_template import Const, Output, Template, TemplateError, escaped, escaped_line, folded, parse, unescaped, unescaped_line
 from sievemark.llm.queries import QUERIES
 
@@ -297,3 +298,17 @@ def test_periodic_runs_odd_rows(odd, nothing):
     assert not expected - rows and sum(rows.values()) == len(ODD)
     assert periodic_runs.repetitions(odd).filter("doc_id = 1").first()["length"] == 10
     assert periodic_runs.repetitions(nothing).count() == 0
+
+
+def test_the_written_form_names_its_surrogate_once(spark):
+    """A surrogate spelled out in each branch of its written form makes a plan that fills the driver."""
+    rows = spark.createDataFrame([("email", "Ann@Post.org", "ann@post.org"), ("card", "4111 1111 1111 1111", "4111111111111111")], "kind string, text string, value string")
+    drawn = surrogates.surrogate(F.col("kind"), F.col("value"), F.lit(0))
+
+    def size(column):
+        return len(rows.select(column)._jdf.queryExecution().analyzed().toString())
+
+    assert size(surrogates.in_form_of(F.col("kind"), F.col("text"), drawn)) < 3 * size(drawn)
+    written = [r[0] for r in rows.select(surrogates.in_form_of(F.col("kind"), F.col("text"), drawn)).collect()]
+    plain = [r[0] for r in rows.select(drawn).collect()]
+    assert [w.lower() for w in written[:1]] == plain[:1] and written[1].replace(" ", "") == plain[1] and written[1].count(" ") == 3
